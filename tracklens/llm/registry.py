@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding, urlfilter
+from . import quality, sharding, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_robust_outliers": quality.op1_robust_outliers,
         "op4_url_digests": urlfilter.op4_url_digests,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_minimax_shards": sharding.op8_minimax_shards,
     }
 
