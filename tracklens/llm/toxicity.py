@@ -35,7 +35,6 @@ SEED_TOXIC = 4.0
 #: An entry needs this log ratio, and this many nats of evidence against the base rate.
 LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, 18.0
 SHORTEST, LONGEST = 3, 8
-SAME = 0.95
 THRESHOLD = 0.7
 END = "\x01"
 
@@ -115,26 +114,24 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
     seeds = [phrase(w)[:-1] for w in INSULTS]
     found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin(seeds)).collect()  # bounded by the sample
     count_of = {r.entry: (r.toxic, r.other) for r in found}
-    by_start: dict[str, list[str]] = {}
-    for e in count_of:
-        by_start.setdefault(e[: SHORTEST + 1], []).append(e)
+    def strength(e: str) -> float:
+        t, o = count_of.get(e, (0, 0))
+        return evidence(t + SEED_TOXIC * (e in seeds), t + o + SEED_TOXIC * (e in seeds), base)
+
+    # The strongest evidence first, of equals the longest: it says most exactly what was learned.
     lexicon: dict[str, float] = {}
     taken: set[str] = set()
-    for e in sorted({*count_of, *seeds}, key=lambda e: (len(e), e)):
-        if any(e[:n] in taken for n in range(SHORTEST + 1, len(e) + 1)):
+    for e in sorted({*count_of, *seeds}, key=lambda e: (-round(strength(e), 6), -len(e), e)):
+        if e in taken or any(e[:n] in lexicon for n in range(SHORTEST + 1, len(e))):
             continue  # an entry that begins alike stands for it
         t, o = count_of.get(e, (0, 0))
         if e in seeds:
             w = weight(t + SEED_TOXIC, o, n_toxic + 2 * SEED_TOXIC, n_other + 2 * SEED_TOXIC)
-            ok = True
         else:
             w = weight(t, o, n_toxic, n_other)
-            ok = evidence(t, t + o, base) >= LEAST_EVIDENCE
-        if ok and w >= LEAST_WEIGHT:
-            taken.add(e)
-            # The longest start that keeps nearly all of the toxic documents says most exactly what was learned.
-            same = [x for x in by_start.get(e[: SHORTEST + 1], []) if x.startswith(e) and count_of[x][0] >= max(SAME * t, 1)]
-            lexicon[max(same, key=lambda x: (len(x), x), default=e)] = w
+        if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= LEAST_EVIDENCE):
+            lexicon[e] = w
+            taken.update(e[:n] for n in range(SHORTEST + 1, len(e) + 1))
     # A longer word or start that other documents use without being toxic silences the entry.
     starts = [e for e in lexicon if count_of.get(e, (0, 0))[1] >= 3]
     if starts:
