@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text (op6).
 
 Folding lower-cases, replaces look-alike letters and full-width forms, and reads digits and signs that stand inside a
-word as the letters they imitate. The lexicon holds word starts (`` lowe`` fits every word that begins so), whole words
+word as the letters they imitate. The lexicon holds word starts (`` lowe`` fits every longer word that begins so), whole words
 and exception phrases; of the entries that begin at one place the longest counts, so a harmless longer word or phrase
 silences the entry inside it. Weights are log ratios of document frequencies in toxic and other labelled documents; a
 list of common insults enters with the frequencies of ``SEED_TOXIC`` imaginary documents. The sum of the weights, as
@@ -76,7 +76,7 @@ def entries_of(folded: str) -> set[str]:
     for w in set(folded.split(END)):
         if w:
             out.add(w + END)
-            out.update(w[: n + 1] for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
+            out.update(w[: n + 1] for n in range(SHORTEST, min(LONGEST, len(w) - 2) + 1))  # starts of longer words
     return out
 
 
@@ -112,10 +112,15 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
     base = max(n_toxic, 1) / max(n_toxic + n_other, 2)
     enough = math.ceil(LEAST_EVIDENCE / math.log(1 / min(0.9, base)))
     seeds = [phrase(w)[:-1] for w in INSULTS]
-    found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin(seeds)).collect()  # bounded by the sample
+    found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin([*seeds, *(s + END for s in seeds)])).collect()  # bounded by the sample
     count_of = {r.entry: (r.toxic, r.other) for r in found}
+    def counts(e: str) -> tuple[int, int]:
+        """A learned start fits longer words; a listed insult fits its own word too."""
+        a, b = count_of.get(e, (0, 0)), count_of.get(e + END, (0, 0)) if e in seeds else (0, 0)
+        return a[0] + b[0], a[1] + b[1]
+
     def strength(e: str) -> float:
-        t, o = count_of.get(e, (0, 0))
+        t, o = counts(e)
         return evidence(t + SEED_TOXIC * (e in seeds), t + o + SEED_TOXIC * (e in seeds), base)
 
     # The strongest evidence first, of equals the longest: it says most exactly what was learned.
@@ -124,7 +129,7 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
     for e in sorted({*count_of, *seeds}, key=lambda e: (-round(strength(e), 6), -len(e), e)):
         if e in taken or any(e[:n] in lexicon for n in range(SHORTEST + 1, len(e))):
             continue  # an entry that begins alike stands for it
-        t, o = count_of.get(e, (0, 0))
+        t, o = counts(e)
         if e in seeds:
             w = weight(t + SEED_TOXIC, o, n_toxic + 2 * SEED_TOXIC, n_other + 2 * SEED_TOXIC)
         else:
@@ -132,6 +137,9 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
         if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= LEAST_EVIDENCE):
             lexicon[e] = w
             taken.update(e[:n] for n in range(SHORTEST + 1, len(e) + 1))
+    for e in [e for e in lexicon if e[-1] != END and e not in seeds]:
+        if weight(*count_of.get(e + END, (0, 0)), n_toxic, n_other) < LEAST_WEIGHT:
+            lexicon.setdefault(e + END, 0.0)  # the start as a word of its own was not learned
     # A longer word or start that other documents use without being toxic silences the entry.
     starts = [e for e in lexicon if count_of.get(e, (0, 0))[1] >= 3]
     if starts:
