@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity, urlfilter
+from . import decontamination, mixing, quality, sharding, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_robust_outliers": quality.op1_robust_outliers,
         "op4_url_digests": urlfilter.op4_url_digests,
+        "op5_spaced_seeds": decontamination.op5_spaced_seeds,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_temperature_mix": mixing.op7_temperature_mix,
         "op8_minimax_shards": sharding.op8_minimax_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_digests": urlfilter.oracle()}
+    return {"op4_url_digests": urlfilter.oracle(), "op5_spaced_seeds": decontamination.oracle()}
