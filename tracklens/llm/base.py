@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens.sources.durable import dropped, shared_dir, stored  # noqa: F401
+
 #: The characters that separate words, for Java and RE2 patterns; ``bytes.split()`` splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -23,45 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where no such setting exists (tests on one machine) a temporary folder is made and set.
-    """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tracklens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    It cuts the lineage as ``checkpoint()`` does, in compressed columns, and survives the loss of executors. The
-    files go when the application ends, or with ``dropped``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path  # type: ignore[attr-defined]
-    return out
-
-
-def dropped(*dfs: DataFrame) -> None:
-    """Delete what ``stored`` wrote, once nothing that is still to run reads it."""
-    for df in dfs:
-        spark = df.sparkSession
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)  # type: ignore[attr-defined]
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def released(spark: SparkSession) -> None:
     """Let Spark's context cleaner remove shuffle files of plans that nothing refers to any more."""
     import gc
@@ -117,12 +76,3 @@ def batches(rows: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[lis
     for b in rows:
         if b.num_rows:
             yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns)
-
-
-def total_rows(df: DataFrame) -> int:
-    return df.count()
-
-
-def deal(spark: SparkSession, rows: int, per_task: int) -> int:
-    """How many partitions hold ``rows`` rows at ``per_task`` each, at least the session's own number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality, sharding, toxicity, urlfilter
+from . import decontamination, jaccard, mixing, quality, sharding, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_robust_outliers": quality.op1_robust_outliers,
+        "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_url_digests": urlfilter.op4_url_digests,
         "op5_spaced_seeds": decontamination.op5_spaced_seeds,
         "op6_toxicity": toxicity.op6_toxicity,
