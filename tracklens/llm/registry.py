@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, mixing, quality, sharding, toxicity, urlfilter
+from . import debruijn, decontamination, jaccard, mixing, quality, sharding, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_temperature_mix": mixing.op7_temperature_mix,
         "op8_minimax_shards": sharding.op8_minimax_shards,
+        "op10_debruijn_dedup": debruijn.op10_debruijn_dedup,
     }
 
 
