@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import debruijn, decontamination, jaccard, mixing, quality, sharding, toxicity, urlfilter
+from . import debruijn, decontamination, jaccard, mixing, quality, sharding, suffixes, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_robust_outliers": quality.op1_robust_outliers,
+        "op2_sparse_suffix_array": suffixes.op2_sparse_suffix_array,
         "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
         "op4_url_digests": urlfilter.op4_url_digests,
         "op5_spaced_seeds": decontamination.op5_spaced_seeds,
