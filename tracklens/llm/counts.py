@@ -16,10 +16,15 @@ from pyspark.sql import DataFrame
 BLOCK = 1 << 14
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """In the narrowest of one, two or four bytes a count."""
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(t).max))
+
+
 def dense_counts(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], tables: int, buckets: int) -> np.ndarray:
     """``add`` counts a batch into an array of shape (tables, buckets); returns the sum over all rows, as int64.
 
-    ``buckets`` is a power of two of at least ``BLOCK``.
+    ``buckets`` is a multiple of ``BLOCK``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +37,7 @@ def dense_counts(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], No
         if some:
             flat = own.reshape(-1, BLOCK)
             for i in np.flatnonzero(flat.any(axis=1)).tolist():
-                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], names=["block", "counts"])
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([narrow(flat[i]).tobytes()], pa.binary())], names=["block", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, None
@@ -43,13 +48,14 @@ def dense_counts(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], No
                     if at is not None:
                         yield out()
                     at, total = i, np.zeros(BLOCK, np.int64)
-                total += np.frombuffer(c.as_buffer(), np.uint32)
+                raw = c.as_buffer()
+                total += np.frombuffer(raw, f"u{raw.size // BLOCK}")
         if at is not None:
             yield out()
 
     schema = "block int, counts binary"
     blocks = rows.mapInArrow(count, schema).repartition("block").sortWithinPartitions("block").mapInArrow(merge, schema)
     out = np.zeros((tables * buckets // BLOCK, BLOCK), np.int64)
-    for r in blocks.toLocalIterator():
+    for r in blocks.collect():  # as many blocks as the tables have, whatever the input
         out[r.block] = np.frombuffer(r.counts, np.int64)
     return out.reshape(tables, buckets)

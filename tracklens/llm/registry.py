@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, decontamination, jaccard, mixing, quality, sharding, suffixes, toxicity, urlfilter
+from . import debruijn, decontamination, jaccard, lmscore, mixing, quality, sharding, suffixes, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_temperature_mix": mixing.op7_temperature_mix,
         "op8_minimax_shards": sharding.op8_minimax_shards,
+        "op9_cross_entropy_difference": lmscore.op9_cross_entropy_difference,
         "op10_debruijn_dedup": debruijn.op10_debruijn_dedup,
     }
 
