@@ -190,18 +190,24 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def scored(docs: DataFrame, lexicon: dict[str, float], curve: list[float], schema: str = "doc_id long, score double") -> DataFrame:
+def scorer(lexicon: dict[str, float], curve: list[float]):
+    a, folded = automaton(lexicon), _Folded()
+
+    def score(text: str | None) -> float:
+        joined, n = folded.text(text)
+        z = sum(b * x for b, x in zip(curve, features(total_weight(a, joined), n), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    return score
+
+
+def scored(docs: DataFrame, lexicon: dict[str, float], curve: list[float]) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, folded = automaton(lexicon), _Folded()
+        score = scorer(lexicon, curve)
         for ids, texts in batches(rows, "doc_id", "text"):
-            out = []
-            for t in texts:
-                joined, n = folded.text(t)
-                z = sum(b * x for b, x in zip(curve, features(total_weight(a, joined), n), strict=True))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
@@ -227,5 +233,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents whose score is below the threshold, with their own columns and without any shuffle."""
+    lexicon, curve = model(docs, labels, sample)
+    at = docs.columns.index("text")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(lexicon, curve)
+        for b in rows:
+            yield b.filter(pa.array([score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
