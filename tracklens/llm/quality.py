@@ -38,6 +38,9 @@ PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 #: Bins of log distance: deterministic quantiles from bounded counts.
 BINS_A_UNIT, LOWEST = 16, -160
 
+#: Estimates that may be broadcast: at most this many rows of about 300 bytes.
+MOST_SENT = 100_000
+
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -117,16 +120,20 @@ def estimates(vectors: DataFrame) -> DataFrame:
     rows = vectors.where("NOT base_failed").select(*x, F.explode("keys").alias("key"))
     adds = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}{j}") for i, j in PAIRS]]
     again = [F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(D)], *[F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in PAIRS]]
-    # Exact percentiles of rounded values: the state has at most one entry for each rounded value.
-    middle = rows.groupBy("key").agg(F.count("*").alias("rows"), *[F.percentile(F.round(c, 2), 0.5).alias(f"m{i}") for i, c in enumerate(x)])
-    off = rows.join(middle, "key").groupBy("key").agg(F.first("rows").alias("rows"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(D)], *[F.percentile(F.round(F.abs(F.col(c) - F.col(f"m{i}")), 2), 0.5).alias(f"d{i}") for i, c in enumerate(x)])
+    # Medians and median deviations come from counts of rounded values: a bounded histogram for each group.
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(c, 2).alias("v")) for i, c in enumerate(x)]))
+    shape = stored(rows.select("key", values.alias("s")).groupBy("key", "s.i", "s.v").agg(F.count("*").alias("n")), "mcd-counts")
+    middle = shape.groupBy("key", "i").agg(F.sum("n").alias("rows"), F.percentile("v", 0.5, F.col("n")).alias("m"))
+    off = shape.join(middle, ["key", "i"]).groupBy("key", "i").agg(F.first("rows").alias("rows"), F.first("m").alias("m"), F.percentile(F.abs(F.col("v") - F.col("m")), 0.5, F.col("n")).alias("d"))
+    off = off.groupBy("key").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(D) for c in "md"])
     spread = [F.pow(1.4826 * F.col(f"d{i}"), 2) * CONSISTENT + FLOOR[i] ** 2 for i in range(D)]
     robust = off.select("key", F.lit(0).alias("start"), "rows", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.lit(0.0).alias("logdet"))
     plain = _solved(rows.groupBy("key").agg(*adds).select(F.lit(1).alias("start"), F.col("n").alias("rows"), "*"))
     now = stored(robust.unionByName(plain), "mcd")
+    few = now.count() <= MOST_SENT
     for _ in range(STEPS):
         bin_ = F.greatest(F.lit(LOWEST), F.ceil(F.log(distance() + 1e-12) * BINS_A_UNIT)).cast("int")
-        near = rows.join(now, "key").select("key", "start", "rows", bin_.alias("bin"), *x)
+        near = rows.join(F.broadcast(now) if few else now, "key").select("key", "start", "rows", bin_.alias("bin"), *x)
         by_bin = near.groupBy("key", "start", "rows", "bin").agg(*adds)
         upto = F.expr("sum(n) OVER (PARTITION BY key, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
         inner = by_bin.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") < SHARE * F.col("rows"))
