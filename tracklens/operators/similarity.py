@@ -59,8 +59,10 @@ def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float) ->
 def approximate_edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, width: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
     """The edges that share a bucket of some random projection, with exact cosines; may miss some."""
     rows = usable(vectors, key, column, dim)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = rows.withColumn("u", array_to_vector(F.transform("v", lambda x: x / norm)))
+    # The filter may run after the projection, so the projection must bear any vector.
+    norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-300))
+    whole = F.when(F.size("v") == dim, F.transform("v", lambda x: x / norm)).otherwise(F.array_repeat(F.lit(1.0), dim))
+    unit = rows.withColumn("u", array_to_vector(whole))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
     near = model.approxSimilarityJoin(unit, unit, float(np.sqrt(2 - 2 * above))).where("datasetA.id < datasetB.id")
     return near.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), cosine(F.col("datasetA.v"), F.col("datasetB.v")).alias("sim")).where(F.col("sim") > above)
