@@ -11,7 +11,7 @@ check (cuts anywhere inside a range, cuts only between ranges) narrow the capaci
 can still lie are split further, until every cut lies between two known groups. The result is the exact optimum.
 
 Defined cases: a null text has no bytes (size 1, crc32 0) and groups with other null texts, not with empty ones; an
-empty table gives an empty result; repeated rows and repeated doc_ids keep one slot each, in any order among equal
+empty table gives an empty result; a text without any doc_id stands where doc_id -1 would; repeated rows and repeated doc_ids keep one slot each, in any order among equal
 rows; columns of the input that clash with result names are not read.
 """
 
@@ -157,7 +157,7 @@ def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
         F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"),
     )
     rows = stored(rows, "shard-rows")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("key"), F.sum("size").alias("bytes"))
+    firsts = rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(-1).cast("long")).alias("key"), F.sum("size").alias("bytes"))
     # Two groups never share a smallest doc_id unless doc_ids repeat; then they form one atomic run of the order.
     firsts = stored(firsts, "shard-groups")
     groups = firsts.groupBy("key").agg(F.sum("bytes").alias("bytes"))
