@@ -77,7 +77,7 @@ def edges(rows: DataFrame, places: DataFrame, window: int, k: int) -> DataFrame:
             first, own = firsts(mixed(h) ^ h2.view(np.uint32).astype(np.uint64))
             none = np.zeros(len(first), np.int64)
             yield pa.record_batch([pa.array(signed(h[first])), pa.array(h2[first]), pa.array(key[first]), pa.array(at[first].astype(np.int32)), *(pa.array(none.astype(t)) for t in (np.int32, np.int64, np.int32))], names=names)
-            later = np.flatnonzero(own != np.arange(len(h)))
+            later = np.flatnonzero((key != key[own]) | (at != at[own]))  # not the same place of a row that is there twice
             r = runs(key[later], at[later], key[own[later]], at[own[later]])
             if r.num_rows:
                 deal = signed(mixed(r.column(0).to_numpy().view(np.uint64) + r.column(1).to_numpy().astype(np.uint64)))
@@ -108,7 +108,7 @@ def later_runs(dealt: DataFrame) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = np.flatnonzero(~new)
+            later = np.flatnonzero((key != key[first]) | (at != at[first]))
             if len(later):
                 yield runs(key[later], at[later], key[first[later]], at[first[later]])
             last = tuple(x[first[-1]] for x in (h, h2, key, at))
