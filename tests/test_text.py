@@ -83,7 +83,7 @@ def test_exceptions():
     traces, causes = R.stack_traces(s)
     assert traces and causes
     assert all(s[r.start : r.end] == r.content for r in traces + causes)
-    assert R.stack_traces("a.b.SomeException: nothing more")[0][0].tag == "exception"
+    assert R.stack_traces("a.b.SomeException: nothing more")[0][0].tag == "stacktrace"
 
 
 def test_code_regions():
