@@ -8,7 +8,7 @@ list of common insults enters with the frequencies of ``SEED_TOXIC`` imaginary d
 it is and for each hundred words, goes through a logistic curve fitted on the same rows.
 
 Labels are learned from at most ``SAMPLE`` rows (the smallest hashes of doc_id) whose crc32 of doc_id is not 1 modulo
-3. Everything else covers all rows: each text is folded and scanned whole where it lies, without any shuffle.
+3; near copies among them count once. Everything else covers all rows: each text is folded and scanned whole where it lies, without any shuffle.
 
 Defined cases: a null or empty text scores as one without a match; labels that are null or of unknown documents teach
 nothing, repeated labels of a document count as toxic if one is; with no usable label only the insults count; an empty
@@ -33,7 +33,7 @@ from .base import batches, dropped, id_and_text, stored, table
 SAMPLE = 8000
 SEED_TOXIC = 4.0
 #: An entry needs this log ratio, and this many nats of evidence against the base rate.
-LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, 18.0
+LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, 30.0
 SHORTEST, LONGEST = 3, 8
 THRESHOLD = 0.7
 END = "\x01"
@@ -90,6 +90,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One row of each group of copies: those with the same three smallest word hashes. Copies aren't evidence of their own."""
+    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
+    least = [F.array_min(F.transform(words, lambda w, s=s: F.xxhash64(F.lit(s), w))).alias(f"least{s}") for s in range(3)]
+    return rows.groupBy(*least).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("r")).select("r.*")
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
@@ -211,7 +218,7 @@ def scored(docs: DataFrame, lexicon: dict[str, float], curve: list[float]) -> Da
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    rows = stored(labelled(docs, labels, sample), "toxic-sample")
+    rows = stored(once(labelled(docs, labels, sample)), "toxic-sample")
     lexicon, _ = learn(rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
