@@ -376,7 +376,7 @@ def cluster_listing(v, spark, sf):
 
 @query()
 def lda_topics(v, spark, sf):
-    large = C.sizes(_clusters(spark, sf), 5).select("component")
-    found = _clusters(spark, sf).join(large, "component")
+    found = _clusters(spark, sf)
+    found = found.join(C.sizes(found, 5).select("component"), "component")
     docs = found.join(_kept(v), found.id == F.col("issue_id")).select("issue_id", F.col("t").alias("tokens"))
     return C.topics(docs).select("topic", "rank", "term", F.round("weight", 6).alias("weight"))
