@@ -10,9 +10,9 @@ from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
 from tracklens.operators import similarity as S
+from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
 from tracklens.sources import issues as I
-from tracklens.sources.durable import stored
 from tracklens.sources.fixtures import views, with_views
 
 PROJECT, KEY = "alpha", "alpha-5"
@@ -302,8 +302,7 @@ def sentence_max_similarity(v, spark, sf):
 
 
 def _clusters(spark, sf) -> DataFrame:
-    vertices = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    return stored(C.components(vertices, _edges(spark, sf)), "clusters")
+    return L.clustered(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 64, ABOVE)
 
 
 @query(with_views("SELECT * FROM clusters", *_GRAPH))
@@ -330,15 +329,9 @@ def _terms(v) -> DataFrame:
     return names.unionByName(parts)
 
 
-def _named(v, spark, sf) -> tuple[DataFrame, DataFrame]:
-    found = _clusters(spark, sf)
-    return found, C.labels(found, C.top_terms(found, _terms(v)), v["component_class"])
-
-
 def _pairs(v, spark, sf) -> DataFrame:
-    found, named = _named(v, spark, sf)
-    keyed = found.join(named.select("component", F.col("class_id").alias("prediction")), "component").join(v["issues"].select(F.col("issue_id").alias("id"), "issue_key"), "id")
-    return keyed.join(C.truth(v["issue_component"], v["component_class"]), "issue_key").select("issue_key", "truth", "prediction")
+    found = _clusters(spark, sf)
+    return L.aligned(found, L.labelled(found, _terms(v), v["component_class"]), v["issues"], v["issue_component"], v["component_class"])
 
 
 @query(with_views("SELECT * FROM topterms", *_GRAPH, _TERMS, _LARGE, _TOPTERMS))
@@ -348,7 +341,7 @@ def cluster_topk_terms(v, spark, sf):
 
 @query(with_views("SELECT * FROM named", *_GRAPH, _TERMS, _LARGE, _TOPTERMS, _LABELS))
 def cluster_label(v, spark, sf):
-    return _named(v, spark, sf)[1]
+    return L.labelled(_clusters(spark, sf), _terms(v), v["component_class"])
 
 
 @query(with_views("SELECT * FROM truths", _TRUTH))
@@ -366,7 +359,8 @@ def truth_prediction_join(v, spark, sf):
  (SELECT -sum(n / t * ln(n / t)) AS ha FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM pairs GROUP BY truth)),
  (SELECT -sum(n / t * ln(n / t)) AS hb FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM pairs GROUP BY prediction))""", *_GRAPH, _TERMS, _LARGE, _TOPTERMS, _LABELS, _TRUTH, _PAIRS))
 def nmi(v, spark, sf):
-    return C.nmi(_pairs(v, spark, sf)).select(F.round("nmi", 9).alias("nmi"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return L.agreement(vectors, "vec_id", "embedding", 64, ABOVE, _terms(v), v["issues"], v["issue_component"], v["component_class"]).select(F.round("nmi", 9).alias("nmi"))
 
 
 @query(with_views("SELECT size, component, issue_id, issue_key || '     ' || summary AS line FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM clusters) JOIN issues ON issue_id = id", *_GRAPH))
