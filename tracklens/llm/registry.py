@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import debruijn, decontamination, jaccard, lmscore, mixing, quality, sharding, suffixes, toxicity, urlfilter
+from . import debruijn, decontamination, jaccard, lmscore, mixing, oracles, quality, sharding, suffixes, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_digests": urlfilter.oracle(), "op5_spaced_seeds": decontamination.oracle()}
+    return {"op4_url_digests": urlfilter.oracle(), "op5_spaced_seeds": decontamination.oracle(), "op2_sparse_suffix_array": oracles.passages(), "op3_ngram_jaccard": oracles.jaccard(), "op10_debruijn_dedup": oracles.dedup()}
