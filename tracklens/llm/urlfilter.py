@@ -153,7 +153,7 @@ def joined(pages: DataFrame, rules: dict[str, str], entries: DataFrame, list_len
     """The same verdicts where the list is too long to send out: distinct hosts and path starts are joined with it."""
     none = judge(pages, [*rules.items()], ())
     heads = none.where("rule IS NULL").select("host", "path").distinct()
-    keys = F.transform(F.sequence(F.lit(1), F.size(F.split("host", r"\."))), lambda i: F.substring_index("host", ".", -i))
+    keys = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
     tails = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in list_lengths])
     asked = heads.where("host <> ''").select("host", "path", F.explode(keys).alias("h")).select("host", "path", "h", F.explode(tails).alias("t")).where("t IS NOT NULL")
     hit = asked.select("host", "path", F.concat("h", "t").alias("entry")).join(entries.distinct(), "entry", "left_semi").select("host", "path").distinct().withColumn("hit", F.lit(True))
