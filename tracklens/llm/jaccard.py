@@ -21,6 +21,7 @@ an empty table gives an empty result; clashing extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.graph import star_forest
 
-from .base import dropped, id_and_text, signed, stored, table, window_hashes, word_hashes
+from .base import dropped, id_and_text, released, signed, stored, table, window_hashes, word_hashes
 from .counts import dense_counts
 
 BUCKETS = 1 << 20
 LANES = 8
 STARS = 2
+#: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
+MOST_IDS = 1_000_000
 SIG = [f"s{i}" for i in range(LANES)]
 
 
@@ -116,26 +119,49 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+class _Sets:
+    """Full sets of the documents that verification asked for so far."""
+
+    def __init__(self, docs: DataFrame, n: int):
+        self.text, self.n, self.tables = id_and_text(docs), n, []
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """Sets of all documents of the pairs; those that aren't there yet are made from the texts."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        for t in self.tables:
+            ids = ids.join(t.select("id"), "id", "left_anti")
+        ids = stored(ids, "asked")
+        asked = ids.count()
+        if asked:
+            n = self.n
+
+            def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield pa.record_batch([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "elements"])
+
+            wanted = ids.withColumnRenamed("id", "doc_id")
+            text = self.text.join(F.broadcast(wanted) if asked <= MOST_IDS else wanted, "doc_id", "left_semi")
+            self.tables.append(stored(text.mapInArrow(elements, "id long, elements binary"), "elements"))
+            released(ids.sparkSession)
+        dropped(ids)
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id: the smallest doc_id with the same set."""
     spark = docs.sparkSession
     every = stored(sets(docs, n, percent), "shingles")
-    classes = every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    first = every.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")), "left_semi").dropDuplicates(["doc_id", "digest"])
-    first = stored(first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "prefix", *[F.col("sig")[i].alias(c) for i, c in enumerate(SIG)]), "classes")
-    places = first.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    met = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    places = stored(places.join(met, "gram"), "places")
-    members = stored(first.join(places.select("id").distinct(), "id", "left_semi").drop("prefix"), "members")
-    text = id_and_text(docs).join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingles(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "elements"])
-
-    full = stored(text.mapInArrow(elements, "id long, elements binary"), "elements")
-    placed = stored(places.select("gram", "id", "n", "pos").join(members, ["id", "n"]), "placed")
-    dropped(first, places)
+    classes = stored(every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    first = stored(_first_rows(every, classes), "firsts")
+    wide, every = every, stored(every.select("doc_id", "n_shingles", "digest"), "digests")
+    dropped(wide)
+    released(spark)
+    placed = stored(_places(first), "placed")
+    dropped(first)
+    released(spark)
 
     def fits(a: str, b: str) -> Column:
         need = needed(f"{a}.n", f"{b}.n", percent)
@@ -143,36 +169,53 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         reach = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
         return (reach >= need) & (apart <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need)
 
-    links: DataFrame | None = None
-    known: DataFrame | None = None
-
-    def labelled() -> DataFrame:
-        if known is None:
-            return placed.withColumn("component", F.col("id"))
-        return placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    for turn in range(STARS):
-        here = labelled()
-        centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
-        star = here.alias("a").join(centre.alias("b"), "gram").where((F.col("a.component") != F.col("b.component")) & fits("a", "b"))
-        pairs = star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
-        found = stored(verified(pairs, full, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        known = stored(star_forest(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "known")
-    here = stored(labelled(), "labelled")
+    full = _Sets(docs, n)
+    links, known = [], None
+    for turn in range(STARS + 1):
+        here = placed.withColumn("component", F.col("id")) if known is None else placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        pairs = stored(_stars(here, fits, turn) if turn < STARS else _rest(stored(here, "labelled"), fits), "pairs")
+        released(spark)
+        if pairs.isEmpty():
+            continue
+        links.append(stored(verified(pairs, full.of(pairs), percent), "links"))
+        released(spark)
+        known = stored(star_forest(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "known")
+        released(spark)
+    named = classes.withColumn("component", F.col("id")) if known is None else classes.join(known, "id", "left")
+    named = named.select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    out = every.join(named, "digest", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _first_rows(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of each class that stands for it; a row that occurs twice may stand twice."""
+    same = (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("i"))
+    first = every.join(classes.select(F.col("digest").alias("d"), F.col("id").alias("i")), same, "left_semi")
+    return first.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "prefix", *[F.col("sig")[i].alias(c) for i, c in enumerate(SIG)])
+
+
+def _places(first: DataFrame) -> DataFrame:
+    """The prefix n-grams that more than one class holds, with size, position and parities."""
+    places = first.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
+    met = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    return places.join(met, "gram").join(first.drop("prefix"), ["id", "n"])
+
+
+def _stars(here: DataFrame, fits, turn: int) -> DataFrame:
+    """Each member of a place with one of them, another one each turn; for each document one pair."""
+    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
+    star = here.alias("a").join(centre.alias("b"), "gram").where((F.col("a.component") != F.col("b.component")) & fits("a", "b"))
+    return star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
+
+
+def _rest(here: DataFrame, fits) -> DataFrame:
+    """All pairs at a place that are not connected yet, from the side of its smaller components."""
     sizes = here.groupBy("gram", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).where("k > 1").select("gram", "main")
-    open_ = here.join(main, "gram")
-    left, right = open_.where("component <> main").alias("a"), open_.alias("b")
+    both = here.join(main, "gram")
+    left, right = both.where("component <> main").alias("a"), both.alias("b")
     rest = left.join(right, "gram").where((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & fits("a", "b"))
-    pairs = rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    found = stored(verified(pairs, full, percent), "links")
-    known = stored(star_forest(links.unionByName(found).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "known")
-    named = classes.join(known, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    out = every.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    # A doc_id with several texts has the smallest component of all of them.
-    return out
+    return rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
