@@ -26,7 +26,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklens.operators.graph import star_forest
@@ -198,7 +198,8 @@ def _places(first: DataFrame) -> DataFrame:
     """The prefix n-grams that more than one class holds, with size, position and parities."""
     places = first.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     met = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    return places.join(met, "gram").join(first.drop("prefix"), ["id", "n"])
+    placed = places.join(met, "gram").join(first.drop("prefix"), ["id", "n"])
+    return placed.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
 
 
 def _stars(here: DataFrame, fits, turn: int) -> DataFrame:
@@ -209,12 +210,15 @@ def _stars(here: DataFrame, fits, turn: int) -> DataFrame:
 
 
 def _rest(here: DataFrame, fits) -> DataFrame:
-    """All pairs at a place that are not connected yet, from the side of its smaller components."""
+    """All pairs at a place that are not connected yet, from the side of its smaller components.
+
+    Two documents with the same place before this one meet there already, with no tighter bounds, and are left to it.
+    """
     sizes = here.groupBy("gram", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).where("k > 1").select("gram", "main")
     both = here.join(main, "gram")
     left, right = both.where("component <> main").alias("a"), both.alias("b")
-    rest = left.join(right, "gram").where((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & fits("a", "b"))
+    rest = left.join(right, "gram").where((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True)) & fits("a", "b"))
     return rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
