@@ -94,3 +94,55 @@ def test_anchors_follow_the_words():
 
 def test_word_hash_is_xxh3():
     assert debruijn.hashed(b"a b")[0] == xxhash.xxh3_64_intdigest(b"a")
+
+
+def branching(n):
+    """Texts of a few recurring segments, which branch before and after every segment."""
+    r = np.random.default_rng(11)
+    segments = [" ".join(f"s{i}x{j}" for j in range(r.integers(10, 19))) for i in range(8)]
+    return [" ".join(segments[i] for i in r.integers(0, 8, r.integers(6, 14))) for _ in range(n)]
+
+
+def test_passages_that_branch_on_both_sides(spark):
+    texts = branching(300)
+    count = {}
+    for t in texts:
+        for x in windows(t, 50)[1]:
+            count[x] = count.get(x, 0) + 1
+    want = {}
+    for i, t in enumerate(texts):
+        w, ws = windows(t, 50)
+        covered = np.zeros(len(w), bool)
+        for j, x in enumerate(ws):
+            covered[j : j + 50] |= count[x] > 1
+        if covered.any():
+            want[i] = int(covered.sum())
+    got = suffixes.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeated for r in got} == want
+
+
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_a_long_run_in_pieces(most):
+    """Windows are carried over the pieces of a run: the same spans however it is cut."""
+    least, k = 50, 16
+    rows = []
+    for i, t in enumerate(branching(120)):
+        h = suffixes.hashed(t.encode())
+        runs, anchor = anchors.anchors_of(h, k, least)
+        p = np.unique(anchor)
+        if len(p):
+            a, z = suffixes.sides(h, p, least, least - k)
+            rows += [(int(runs[q]) >> 62, a[j].astype(">u4").tobytes(), a[j], z[j], i, q, len(h)) for j, q in enumerate(p)]
+    rows.sort(key=lambda x: x[:2])
+    cols = [np.array([x[c] for x in rows]) for c in (0, 2, 3, 4, 5, 6)]
+    cols = [cols[0].astype(np.int64), cols[1], cols[2], cols[3].astype(np.int64), cols[4].astype(np.int32), cols[5].astype(np.int32)]
+
+    def covered(size, most):
+        out = set()
+        pieces = ([c[i : i + size] for c in cols] for i in range(0, len(rows), size))
+        for m in suffixes.over_runs(pieces, least, most):
+            for r in m.to_pylist():
+                out.update((r["key"], x) for x in range(r["start"], r["end"]))
+        return out
+
+    assert covered(5, most) == covered(len(rows), len(rows))

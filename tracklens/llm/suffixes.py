@@ -4,15 +4,16 @@ A suffix is kept only at a content-selected place: of each window of ``LEAST`` w
 every passage of ``LEAST`` words keeps one at the same place wherever it stands. Suffixes whose first ``K`` words occur
 nowhere else are dropped first. The others carry the hashes of ``LEAST`` words to the right and of the words to the left
 that a passage around the place can reach, are dealt by their first words and sorted as a suffix array is. Each is
-compared with its neighbours in that order, and with its neighbours in the order of the words to the left among those
-with the same first words; matches are extended right and left, and those of ``LEAST`` words or more are reported for
-both documents. Longer passages are the union of the matches at their successive places.
+compared with all others that have the same first words, by the hashes of the ``LEAST - K + 1`` windows of ``LEAST`` words
+around its place: texts may branch on both sides, so neighbours in an order wouldn't do. What it shares is reported
+for all documents that have it. Longer passages are the union of the matches at their successive places.
 
 A batch deals equal suffixes with equal left sides once and reports the others itself, so a passage in a third of all
-rows costs one row a batch and place. The second order is taken within runs of at most ``CHUNK`` rows; runs beyond are
-handled piece by piece, each piece with the suffix before it.
+rows costs one row a batch and place. Suffixes with the same first words are handled in pieces of ``CHUNK`` rows; the hashes of
+all windows that later rows can share are carried from piece to piece, so a task holds about 1 KB for each different
+suffix of the most common first words.
 
-Words are compared by 32 bits each, a match by ``LEAST`` of them.
+Words are compared by 32 bits each, a window by 64 bits of them.
 
 Defined cases: null, empty and short texts have no suffixes; only documents with a match are returned; rows with one
 doc_id and equal texts are one document; a null doc_id stands before all others; an empty table gives an empty result;
@@ -22,6 +23,7 @@ clashing extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -112,41 +114,105 @@ def matches(key, at, total, i, j, right, left, least: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key[i]), pa.array(total[i].astype(np.int32)), pa.array((at[i] - left).astype(np.int32)), pa.array((at[i] + right).astype(np.int32)), pa.array(key[j])], names=["key", "n_words", "start", "end", "from_key"])
 
 
-def neighbours(g: np.ndarray, r: np.ndarray, l_: np.ndarray, key, at, total, least: int) -> Iterator[pa.RecordBatch]:
-    """Matches between neighbours of the suffix order, then of the order of the left sides, among equal ``g``."""
-    sides_ = np.ascontiguousarray(l_).view(f"V{4 * l_.shape[1]}").ravel() if len(l_) else l_
-    for order in (np.arange(len(g)), np.lexsort((np.unique(sides_, return_inverse=True)[1], g)) if len(g) else np.arange(0)):
-        i, j = order[:-1], order[1:]
-        same = g[i] == g[j]
-        i, j = i[same], j[same]
-        if len(i):
-            right, left = common(r[i], r[j]), common(l_[i], l_[j])
-            yield matches(key, at, total, np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([right] * 2), np.concatenate([left] * 2), least)
+class Seen(NamedTuple):
+    """Windows of a run with ``left`` words before the place, sorted by hash: one place of each, and whether it was told."""
+
+    h: np.ndarray
+    key: np.ndarray
+    at: np.ndarray
+    total: np.ndarray
+    told: np.ndarray
+
+
+def shared_windows(rows: list[np.ndarray], least: int, seen: list[Seen] | None, last: np.ndarray | None, go_on: bool) -> tuple[list[pa.RecordBatch], list[Seen] | None]:
+    """Matches of all rows that share a window of ``least`` words around their places with another row or ``seen``.
+
+    ``rows`` holds whole runs, save that the first may continue ``seen``, whose newest suffix is ``last``. With
+    ``go_on`` it is part of one run, and the windows that rows after it can still have are returned.
+    """
+    g, r, l_, key, at, total = rows
+    n, width = len(g), l_.shape[1]
+    odd = np.random.default_rng(7).integers(1, 1 << 62, least + width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    a = g.view(np.uint64) + (r.astype(np.uint64) * odd[:least]).sum(axis=1, dtype=np.uint64)
+    most, fewest, partner = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    agree = common(r, np.broadcast_to(r[-1], r.shape)) if go_on else None
+    out, after = [], []
+    for left in range(width + 1):
+        if left:
+            a = a - r[:, least - left].astype(np.uint64) * odd[least - left] + l_[:, left - 1].astype(np.uint64) * odd[least + left - 1]
+        whole = np.flatnonzero((r[:, least - left - 1] != 0) & ((l_[:, left - 1] != 0) if left else True))
+        old = seen[left] if seen else Seen(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, bool)])
+        k = len(old.h)
+        h = np.concatenate([old.h, mixed(a[whole])])
+        order = np.argsort(h, kind="stable")  # what was seen stands first among equals
+        same = h[order[1:]] == h[order[:-1]]
+        before, then = np.append(False, same), np.append(same, False)
+        shared = np.flatnonzero(before | then)
+        keys = np.concatenate([old.key, key[whole]])
+        of = order[shared]
+        other = keys[order[np.where(before[shared], shared - 1, shared + 1)]]
+        new = of >= k
+        i = whole[of[new] - k]
+        most[i] = left
+        fewest[i] = np.where(fewest[i] < 0, left, fewest[i])
+        partner[i] = np.minimum(partner[i], other[new])
+        late = ~new
+        late[late] = ~old.told[of[late]]
+        if late.any():
+            o = of[late]
+            out.append(pa.record_batch([pa.array(old.key[o]), pa.array(old.total[o]), pa.array(old.at[o] - np.int32(left)), pa.array(old.at[o] + np.int32(least - left)), pa.array(other[late])], names=["key", "n_words", "start", "end", "from_key"]))
+        if go_on:  # rows to come agree with the last one on every word that they share with rows before it
+            live = np.concatenate([np.full(k, k > 0 and bool((last[: least - left] == r[-1, : least - left]).all())), agree[whole] >= least - left])
+            kept = np.flatnonzero(~before & live[order])
+            of = order[kept]
+            ats, totals = np.concatenate([old.at, at[whole]]), np.concatenate([old.total, total[whole]])
+            after.append(Seen(h[of], keys[of], ats[of], totals[of], then[kept] | np.append(old.told, np.zeros(len(whole), bool))[of]))
+    i = np.flatnonzero(most >= 0)
+    if len(i):
+        # All windows of a place hold it, so they are one passage.
+        out.append(pa.record_batch([pa.array(key[i]), pa.array(total[i]), pa.array((at[i] - most[i]).astype(np.int32)), pa.array((at[i] + least - fewest[i]).astype(np.int32)), pa.array(partner[i])], names=["key", "n_words", "start", "end", "from_key"]))
+    return out, after if go_on else None
+
+
+def over_runs(pieces: Iterator[list[np.ndarray]], least: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """``shared_windows`` of rows in order; of a run beyond ``most`` rows the windows are carried on, not the rows."""
+    held, seen, last = None, None, None  # rows of the newest first words, which may go on in the next piece
+    for now in pieces:
+        if held is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        if cut:
+            out, seen = shared_windows([x[:cut] for x in now], least, seen, last, False)
+            yield from out
+        held = [x[cut:] for x in now]
+        if len(held[0]) > most:
+            out, seen = shared_windows(held, least, seen, last, True)
+            yield from out
+            last, held = held[1][-1].copy(), None
+    if held is not None:
+        yield from shared_windows(held, least, seen, last, False)[0]
 
 
 def matched(dealt: DataFrame, least: int, k: int) -> DataFrame:
     left = least - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of the newest first words, which may go on in the next batch
-        for b in batches:
-            known = pa.array(b.column(4).to_numpy() < 0)
-            if b.num_rows and known.true_count:
-                yield pa.record_batch([b.column(c).filter(known) for c in (3, 5, 6, 7, 8)], names=names)
-                b = b.filter(pa.array(b.column(4).to_numpy() >= 0))
-            if not b.num_rows:
-                continue
-            now = [b.column(0).to_numpy(), _matrix(b.column(1), least), _matrix(b.column(2), left), *(b.column(c).to_numpy() for c in (3, 4, 5))]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
-            if len(now[0]) - cut > CHUNK:
-                cut = len(now[0]) - 1
-            if cut:
-                yield from (m for m in neighbours(*[x[: cut + (now[0][cut] == now[0][cut - 1])] for x in now], least) if m.num_rows)
-            held = [x[cut:] for x in now]
-        if held is not None:
-            yield from (m for m in neighbours(*held, least) if m.num_rows)
+        known = []  # matches that a batch has found itself
+
+        def pieces() -> Iterator[list[np.ndarray]]:
+            for b in batches:
+                found = b.column(4).to_numpy() < 0
+                if found.any():
+                    known.append(pa.record_batch([b.column(c).filter(pa.array(found)) for c in (3, 5, 6, 7, 8)], names=names))
+                    b = b.filter(pa.array(~found))
+                if b.num_rows:
+                    yield [b.column(0).to_numpy(), _matrix(b.column(1), least), _matrix(b.column(2), left), *(b.column(c).to_numpy() for c in (3, 4, 5))]
+
+        for m in over_runs(pieces(), least):
+            yield from known
+            known.clear()
+            yield m
+        yield from known
 
     names = [c.split()[0] for c in MATCH.split(", ")]
     return dealt.mapInArrow(run, MATCH)
