@@ -65,3 +65,20 @@ def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert L.cross_entropy_difference(documents(spark, empty=True), labels).count() == 0
     assert L.cross_entropy_difference(documents(spark), labels).count() == documents(spark).count()
+
+
+def test_words_do_not_share_counts(spark):
+    """More distinct words than any fixed table of 2^18: each loss is that of the word's own count."""
+    rows = [(i, " ".join(f"v{i}x{j}" for j in range(5000))) for i in range(120)]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    n, target = 5000 * 120, 5000
+    out = L.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+
+    def loss(word, pair, total):
+        one = (word + L.WORD_MASS / L.WORDS) / (total + L.WORD_MASS)
+        return -(math.log(one) + 4999 * math.log((pair + L.PAIR_MASS * one) / (word + L.PAIR_MASS))) / 5000
+
+    assert zlib.crc32(b"0") % 3 != 1
+    for r in out:
+        assert abs(r.background_loss - loss(target / n, target / n, target)) < 1e-6
+        assert abs(r.target_loss - (loss(1, 1, target) if r.doc_id == 0 else loss(0, 0, target))) < 1e-6
