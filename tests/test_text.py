@@ -1,6 +1,7 @@
 """Text functions on written inputs; native forms against the Python ones."""
 
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -112,3 +113,30 @@ def test_timeout_is_a_row_error(spark, monkeypatch):
     monkeypatch.setattr(R, "cleaned", lambda *_: (_ for _ in ()).throw(TimeoutError()))
     each = R._guarded(lambda t: R.cleaned(t))
     assert each(["a"]) == [("a", None, None, "regex_timeout")]
+
+
+_PIECES = ["import", "package", "//", "/*", "*/", "class", "=", ";", ";\n", "if", "else", "(", ")", "{", "}", "\n", "\r", " ", "  ", "\n\n", "x", "ab", "a1", "1", ".", "..", "java.", "io.", "EOFException", "Exception", "Error", ":", "at", " at ", "\tat", "a.b(", "A.java", ".java:96)", ".java)", "(A.java:7)", ":7)", "Caused by:", "{noformat}", "{code", "{code}", "{color", "{color:red}", "$", "é", "\xa0"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(_PIECES), max_size=40).map("".join))
+def test_scans_find_what_the_patterns_find(s):
+    spans = lambda p: [m.span() for m in regex.finditer(p, s)]
+    for name, pattern in R.STATEMENTS:
+        assert list(R.statements(name, s)) == spans(pattern), name
+    assert list(R.matched(R._exception, s)) == spans("(?ms)" + R.EXCEPTION)
+    assert list(R.traces_of(s)) == spans(f"(?ms){R.EXCEPTION}(?:{R.REASON})?(?:{R.TRACE_LINE})*")
+    assert list(R.causes_of(s)) == spans("(?ms)" + R.CAUSE)
+    for args, pattern in ((("{noformat}",), R.NOFORMAT_PAIR), (("{code", "}"), R.CODE_PAIR), (("{color", "}"), R.COLOUR_PAIR)):
+        assert list(R.pairs_of(s, *args)) == spans(pattern)
+
+
+def test_long_texts_keep_all_regions(spark):
+    """A pattern that once ran out of time on the prose took the regions of all others with it."""
+    prose = "some words of prose (with an aside) that go on. " * 6000
+    trace = "java.io.EOFException: null\n at org.acme.A.run(A.java:96)\n"
+    s = f"{{ see https://q.z/x \n// note\n{trace}{prose}"
+    df = spark.createDataFrame([(s,)], "t string")
+    got = df.select(R.clean_text(F.col("t"), compat=True).alias("c"), R.found_regions(F.col("t"), "code", True).alias("code"), R.found_regions(F.col("t"), "stack", True).alias("stack")).first()
+    assert got.c.error is None and {"url", "stacktrace", "singlecomment"} <= {r.tag for r in got.c.regions}
+    assert "singlecomment" in {r.tag for r in got.code} and got.stack
