@@ -81,6 +81,26 @@ def test_topics(spark):
     assert a == b and len(a) == 4
 
 
+def test_topics_of_each_cluster(spark):
+    words = {1: (["cat", "dog"], ["sun", "moon"]), 2: (["red", "blue"], ["iron", "gold"]), 3: ([], [])}
+    rows = [(c, 10 * c + i, ts[i % 2] * 3) for c, ts in words.items() for i in range(8)]
+    docs = spark.createDataFrame(rows, "component long, id long, tokens array<string>")
+    for most in (1000, 30):  # by groups, and each by a model of all tasks
+        a, b = (C.topics_of_clusters(docs, words=2, most_tokens=most).orderBy("component", "topic", "rank").collect() for _ in range(2))
+        assert a == b and [(r.component, r.topic, r.rank) for r in a] == [(c, t, i) for c in (1, 2) for t in (0, 1) for i in (1, 2)]
+        assert all(r.term in sum(words[r.component], []) for r in a)
+        if most == 1000:
+            found = {c: {frozenset(r.term for r in a if (r.component, r.topic) == (c, t)) for t in (0, 1)} for c in (1, 2)}
+            assert found == {c: {frozenset(ts) for ts in words[c]} for c in (1, 2)}
+
+
+def test_topics_keep_rare_terms(spark):
+    """No term is dropped before the fit, however many are more frequent."""
+    docs = spark.createDataFrame([(1, i, [f"w{j}" for j in range(i * 14_000, (i + 1) * 14_000)] * 2 + ["zz%d" % i]) for i in range(5)], "component long, id long, tokens array<string>")
+    out = C.topics_of_clusters(docs, words=80_000).where("topic = 0")
+    assert out.select("term").distinct().count() == 70_005
+
+
 def test_sources(spark, tmp_path):
     issues = spark.createDataFrame([("A-1", "A"), ("a-2", "a"), ("AB-1", "AB")], "issue_key string, project string")
     assert I.issues_of_project(issues, "A").count() == 2 and I.issues_of_project(issues, "none").count() == 0

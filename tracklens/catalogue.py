@@ -372,5 +372,5 @@ def cluster_listing(v, spark, sf):
 def lda_topics(v, spark, sf):
     found = _clusters(spark, sf)
     found = found.join(C.sizes(found, 5).select("component"), "component")
-    docs = found.join(_kept(v), found.id == F.col("issue_id")).select("issue_id", F.col("t").alias("tokens"))
-    return C.topics(docs).select("topic", "rank", "term", F.round("weight", 6).alias("weight"))
+    docs = found.join(_kept(v), found.id == F.col("issue_id")).select("component", "id", F.col("t").alias("tokens"))
+    return C.topics_of_clusters(docs).select("component", "topic", "rank", "term", F.round("weight", 6).alias("weight"))
