@@ -75,6 +75,13 @@ def test_labels(spark):
     assert [tuple(r) for r in C.labels(found, top.where("term = 'foo'"), classes).collect()] == [(0, 5, 12)]
 
 
+def test_components_are_whole_or_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        star_forest(path, most_rounds=1)
+    assert {r.component for r in star_forest(path).collect()} == {0}
+
+
 def test_topics(spark):
     docs = spark.createDataFrame([(i, ["cat", "dog"] if i % 2 else ["sun", "moon"]) for i in range(12)], "id long, tokens array<string>")
     a, b = (C.topics(docs, words=2).orderBy("topic", "rank").collect() for _ in range(2))

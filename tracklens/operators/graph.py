@@ -17,7 +17,7 @@ from tracklens.sources.durable import dropped, stored
 def star_forest(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """From (src, dst) to (id, component): each vertex of an edge with the smallest vertex that it reaches.
 
-    Null ends and loops are left out; repeated edges count once.
+    Null ends and loops are left out; repeated edges count once. Raises if ``most_rounds`` don't suffice.
     """
     now = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src IS NOT NULL AND dst IS NOT NULL AND u <> v").distinct()
     now = keep(now, "edges")
@@ -34,4 +34,6 @@ def star_forest(edges: DataFrame, most_rounds: int = 60, keep: Callable[[DataFra
         after = keep(linked.distinct(), "edges")
         dropped(now)
         now = after
+    else:
+        raise RuntimeError(f"components aren't whole after {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
