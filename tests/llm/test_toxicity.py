@@ -57,3 +57,13 @@ def test_awkward(spark):
     assert T.toxicity(docs, labels.limit(0)).count() == docs.count()
     kept = T.without_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
+
+
+def test_only_copies_with_one_label_count_once(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    different = [" ".join(r.choices(words, k=600)) for _ in range(12)]  # of the same words
+    near = different[0].upper() + "\n"
+    rows = [(i, t, i % 2) for i, t in enumerate(different)] + [(50, different[0], 0), (51, near, 0), (52, different[0], 1), (60, None, 0), (61, "", 0), (62, "a b", 0)]
+    kept = T.once(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()
+    assert sorted((x.doc_id, x.toxic) for x in kept) == [*((i, i % 2) for i in range(12)), (52, 1), (60, 0), (62, 0)]  # null and empty texts alike
