@@ -1,6 +1,8 @@
 """The registered queries and the pipeline over the smallest tables."""
 
+import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -59,3 +61,32 @@ def test_pipeline_stages(spark):
             assert all(r.shard == sum(b <= first[text[r.doc_id]] for b in begins) for r in after.collect())
             assert after.count() == len(rows)
         docs = after
+
+
+def test_decontamination_stage_against_sql(spark):
+    docs = P.table(spark, SF, "documents")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    sql = next(q for n, q in registry.oracle_sql().items() if n.startswith("op5_"))
+    held = {r[0] for r in con.execute(f"SELECT doc_id FROM ({sql})").fetchall()}
+    after = dict(P.STAGES)["decontamination"](spark, docs, SF)
+    assert held and sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in held)
+
+
+def test_mixing_stage_draws_in_closed_form(spark):
+    """Budgets t ** a * largest ** (1 - a), with the least a that repeats no source more than twice."""
+    docs = P.table(spark, SF, "documents").collect()
+    size = {r.doc_id: len((r.text or "").split()) for r in docs}
+    total = Counter()
+    for r in docs:
+        total[r.source] += size[r.doc_id]
+    most, least = max(total.values()), min(total.values())
+    a = max(0.0, 1 - math.log(2) / math.log(most / least))
+    drawn = Counter(r.doc_id for r in dict(P.STAGES)["mixing"](spark, P.table(spark, SF, "documents"), SF).collect())
+    for source, t in total.items():
+        goal = t**a * most ** (1 - a)
+        own = [r.doc_id for r in docs if r.source == source]
+        copies = {drawn[i] for i in own if size[i]}
+        assert copies <= {int(goal / t + 1e-6), int(goal / t + 1e-6) + 1}
+        assert goal * 1.001 + 1 >= sum(drawn[i] * size[i] for i in own) >= goal * 0.999 - max(size[i] for i in own) - 1
