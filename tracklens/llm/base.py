@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove shuffle files of plans that nothing refers to any more, and give it time to.
-
-    The first collection finds the plans, the second what only they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, ``more`` and the text as UTF-8 bytes; other columns of the table are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors_of, doc_id, firsts, keyed, repeated_anchors
-from .base import dropped, mixed, released, signed, stored, table, window_hashes, word_hashes, words_of
+from .base import dropped, mixed, signed, stored, table, window_hashes, word_hashes, words_of
 
 WINDOW, K = 20, 8
 #: Bits of an edge's first hash that come from its anchor.
@@ -123,11 +123,9 @@ def spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame,
     rows, many, none = keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = stored(repeated_anchors(rows, hashed, k, window, parts), "anchors")
-    released(spark)
     dealt = edges(rows, places, window, k).repartition(parts, F.shiftrightunsigned("h", 64 - ANCHOR_BITS)).sortWithinPartitions("h", "h2", "key", "at")
     found = stored(later_runs(dealt), "runs")
     dropped(places)
-    released(spark)
     # The runs of one document: as many as its words at most.
     paths = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "len", "from_key", "from_at"))).alias("runs"))
     return rows, paths, many, none

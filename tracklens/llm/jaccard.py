@@ -3,25 +3,29 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams. Equal sets are one class, and only the class's
 smallest doc_id goes on. N-grams are ordered rare first, by counts over all documents in ``BUCKETS`` buckets and then by
 hash; any order that all documents share gives the exact join, the counts only make it short. Two sets that link share
-one of their first n - ceil(t n) + 1 n-grams. Where two sets meet at such an n-gram, the lengths and the two positions
-bound the overlap that is possible, and the suffix filter bounds the difference from below: each set carries the
-parities of its n-grams in ``64 * LANES`` cells, and cells of different parity are different n-grams.
+one of their first n - ceil(t n) + 1 n-grams, and it is among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set.
+Where two sets meet at such an n-gram, the lengths and the two positions bound the overlap that is possible, and the
+suffix filter bounds the difference from below: each set carries the parities of its n-grams in ``64 * LANES`` cells, and
+cells of different parity are different n-grams.
 
 What remains is verified once per pair on the full sets. To lose no link without making all pairs of a large group,
-each meeting place first compares its members with one of them (``STARS`` rounds with different ones) and the links
-found are contracted to components; then all members outside a place's largest component are compared with
-everything there that is not yet in their component. So every pair is linked, filtered out by a proven bound, verified,
-or already known to be connected.
+each meeting place compares its members with one of them, at random for each place and turn; a document verifies the
+partner that its parities put nearest, and what links is contracted to components. Turns go on while they shorten what
+is left. Then all members outside a place's largest component meet everything there that is not yet in their component
+and that the bounds leave: ``NEAREST`` times the nearest pair of every component is verified and contracted, then all
+pairs that are still apart. So every pair is linked, filtered out by a proven bound, verified, or already known to be
+connected.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a text of fewer than n words has its whole
 sequence as its one element; equal texts link; rows with one doc_id are one document, whose every text links for it;
-an empty table gives an empty result; clashing extra columns are not read.
+rows without a doc_id have no component; an empty table gives an empty result; clashing extra columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +35,16 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.graph import star_forest
 
-from .base import dropped, id_and_text, released, signed, stored, table, window_hashes, word_hashes
+from .base import dropped, id_and_text, signed, stored, table, window_hashes, word_hashes
 from .counts import dense_counts
 
 BUCKETS = 1 << 20
 LANES = 8
-STARS = 2
 #: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
 MOST_IDS = 1_000_000
+NEAREST = 3
 SIG = [f"s{i}" for i in range(LANES)]
+PAIR = ["a", "b", "left", "right"]
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -102,7 +107,7 @@ def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The components (left, right) that a pair of linking sets (a, b) connects."""
     a, b = full.select(F.col("id").alias("a"), F.col("elements").alias("x")), full.select(F.col("id").alias("b"), F.col("elements").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +119,9 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * same >= percent * (len(both) - same))
-            yield pa.record_batch([r.column(0), r.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.record_batch([r.column(0), r.column(1)], names=["left", "right"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(a, "a").join(b, "b").select("left", "right", "x", "y").mapInArrow(run, "left long, right long").distinct()
 
 
 class _Sets:
@@ -141,50 +146,86 @@ class _Sets:
 
             wanted = ids.withColumnRenamed("id", "doc_id")
             text = self.text.join(F.broadcast(wanted) if asked <= MOST_IDS else wanted, "doc_id", "left_semi")
-            self.tables.append(stored(text.mapInArrow(elements, "id long, elements binary"), "elements"))
-            released(ids.sparkSession)
+            self.tables.append(stored(text.mapInArrow(elements, "id long, elements binary").where("length(elements) > 0"), "elements"))
         dropped(ids)
-        out = self.tables[0]
-        for t in self.tables[1:]:
-            out = out.unionByName(t)
-        return out
+        return reduce(DataFrame.unionByName, self.tables)
+
+
+class _Components:
+    """Component of every document that is linked so far; of the others it is their own id."""
+
+    def __init__(self):
+        self.known: DataFrame | None = None
+
+    def add(self, links: DataFrame) -> bool:
+        """Contract components that ``links`` (left, right) connects; whether there were any."""
+        edges = stored(links.where("left <> right").distinct(), "links")
+        some = not edges.isEmpty()
+        if some:
+            forest = star_forest(edges.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+            if self.known is not None:
+                to = forest.select(F.col("id").alias("component"), F.col("component").alias("to"))
+                moved = self.known.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                forest = moved.unionByName(forest.join(self.known, "id", "left_anti"))
+            before, self.known = self.known, stored(forest, "components")
+            if before is not None:
+                dropped(before)
+        dropped(edges)
+        return some
+
+    def label(self, rows: DataFrame, key: str = "id", name: str = "component") -> DataFrame:
+        if self.known is None:
+            return rows.withColumn(name, F.col(key))
+        known = self.known.select(F.col("id").alias(key), F.col("component").alias(name))
+        return rows.join(known, key, "left").withColumn(name, F.coalesce(name, key))
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id: the smallest doc_id with the same set."""
-    spark = docs.sparkSession
-    every = stored(sets(docs, n, percent), "shingles")
+    wide = stored(sets(docs, n, percent), "shingles")
+    every = stored(wide.select("doc_id", "n_shingles", "digest"), "digests")
     classes = stored(every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    first = stored(_first_rows(every, classes), "firsts")
-    wide, every = every, stored(every.select("doc_id", "n_shingles", "digest"), "digests")
+    first = stored(_first_rows(wide, classes), "firsts")
     dropped(wide)
-    released(spark)
-    placed = stored(_places(first), "placed")
+    placed = stored(_places(first, percent), "placed")
     dropped(first)
-    released(spark)
-
-    def fits(a: str, b: str) -> Column:
-        need = needed(f"{a}.n", f"{b}.n", percent)
-        apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SIG), F.lit(0))
-        reach = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
-        return (reach >= need) & (apart <= F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * need)
-
-    full = _Sets(docs, n)
-    links, known = [], None
-    for turn in range(STARS + 1):
-        here = placed.withColumn("component", F.col("id")) if known is None else placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = stored(_stars(here, fits, turn) if turn < STARS else _rest(stored(here, "labelled"), fits), "pairs")
-        released(spark)
-        if pairs.isEmpty():
-            continue
-        links.append(stored(verified(pairs, full.of(pairs), percent), "links"))
-        released(spark)
-        known = stored(star_forest(reduce(DataFrame.unionByName, links).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "known")
-        released(spark)
-    named = classes.withColumn("component", F.col("id")) if known is None else classes.join(known, "id", "left")
-    named = named.select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+
+    found, full, tried = _Components(), _Sets(docs, n), []
+    many = every.groupBy("doc_id").agg(F.countDistinct("digest").alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id")
+    found.add(every.join(many, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("left"), F.col("id").alias("right")))
+
+    def link(pairs: DataFrame) -> None:
+        tried.append(stored(pairs.select(*PAIR), "pairs"))
+        if not tried[-1].isEmpty():
+            found.add(verified(tried[-1], full.of(tried[-1]), percent))
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        for t in tried:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        return pairs
+
+    rows, left = placed.count(), None
+    for turn in count():  # each but the first two takes away a tenth of the pairs that are left
+        here = stored(found.label(placed), "labelled")
+        was, left = left, _left(here)
+        if turn > 1 and (left <= rows or 10 * left > 9 * was):
+            break
+        link(untried(_stars(here, percent, turn)).withColumn("of", F.explode(F.array("a", "b"))).groupBy("of").agg(_nearest()).select("p.*").distinct())
+        dropped(here)
+    rest = stored(untried(_rest(here, percent)), "rest")
+    dropped(here, placed)
+    for turn in range(NEAREST + 1):
+        apart = found.label(found.label(untried(rest).drop("left", "right"), "a", "left"), "b", "right").where("left <> right")
+        if turn < NEAREST:
+            apart = apart.withColumn("of", F.explode(F.array("left", "right"))).groupBy("of").agg(_nearest()).select("p.*").distinct()
+        link(apart)
+        if tried[-1].isEmpty():
+            break
+    dropped(rest, *tried, *full.tables)
+
+    named = found.label(classes.withColumnRenamed("id", "class_id"), "class_id", "component_id")
     out = every.join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    return found.label(out, "doc_id", "own").select("doc_id", "n_shingles", F.coalesce("component_id", "own").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _first_rows(every: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,22 +235,45 @@ def _first_rows(every: DataFrame, classes: DataFrame) -> DataFrame:
     return first.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "prefix", *[F.col("sig")[i].alias(c) for i, c in enumerate(SIG)])
 
 
-def _places(first: DataFrame) -> DataFrame:
-    """The prefix n-grams that more than one class holds, with size, position and parities."""
+def _places(first: DataFrame, percent: int) -> DataFrame:
+    """The prefix n-grams at which a pair can meet, with size, position, parities and the place before."""
     places = first.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    met = places.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    smaller = F.col("pos") <= F.col("n") - needed("n", "n", percent)  # the smaller set of a pair has the place here
+    met = places.groupBy("gram").agg(F.count("*").alias("c"), F.max(smaller).alias("met")).where("c > 1 AND met").select("gram")
     placed = places.join(met, "gram").join(first.drop("prefix"), ["id", "n"])
     return placed.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
 
 
-def _stars(here: DataFrame, fits, turn: int) -> DataFrame:
-    """Each member of a place with one of them, another one each turn; for each document one pair."""
-    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
-    star = here.alias("a").join(centre.alias("b"), "gram").where((F.col("a.component") != F.col("b.component")) & fits("a", "b"))
-    return star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
+def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column) -> DataFrame:
+    """Pairs of one place that no bound rules out, smaller id first, each once with its least relative difference."""
+    need = needed("x.n", "y.n", percent)
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    allowed = F.col("x.n") + F.col("y.n") - 2 * need
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIG), F.lit(0))
+    fits = (F.col("x.component") != F.col("y.component")) & (reach >= need) & (apart <= allowed)
+    ends = [F.struct(F.col(f"{t}.id"), F.col(f"{t}.component")) for t in "xy"]
+    met = left.alias("x").join(right.alias("y"), "gram").where(more & fits)
+    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("t"), (apart / F.greatest(allowed, F.lit(1))).alias("apart"))
+    return met.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.col("s.component").alias("left"), F.col("t.component").alias("right"), "apart").groupBy(*PAIR).agg(F.min("apart").alias("apart"))
+
+
+def _nearest() -> Column:
+    return F.min_by(F.struct(*PAIR), F.struct("apart", "a", "b")).alias("p")
+
+
+def _left(here: DataFrame) -> int:
+    """At most how many pairs ``_rest`` would look at."""
+    sizes = here.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
+    return sizes.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
+
+
+def _stars(here: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each member of a place with one of them, another one each turn."""
+    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", "gram", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
+    return _pairs(here, centre, percent, F.lit(True))
 
 
-def _rest(here: DataFrame, fits) -> DataFrame:
+def _rest(here: DataFrame, percent: int) -> DataFrame:
     """All pairs at a place that are not connected yet, from the side of its smaller components.
 
     Two documents with the same place before this one meet there already, with no tighter bounds, and are left to it.
@@ -217,9 +281,8 @@ def _rest(here: DataFrame, fits) -> DataFrame:
     sizes = here.groupBy("gram", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).where("k > 1").select("gram", "main")
     both = here.join(main, "gram")
-    left, right = both.where("component <> main").alias("a"), both.alias("b")
-    rest = left.join(right, "gram").where((F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True)) & fits("a", "b"))
-    return rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    return _pairs(both.where("component <> main"), both, percent, once & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors_of, doc_id, firsts, keyed, repeated_anchors
-from .base import dropped, mixed, released, signed, stored, table, word_hashes, words_of
+from .base import dropped, mixed, signed, stored, table, word_hashes, words_of
 
 LEAST, K = 50, 16
 CHUNK = 100_000
@@ -230,11 +230,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFr
     rows, many, none = keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = stored(repeated_anchors(rows, hashed, k, least, parts), "anchors")
-    released(spark)
     dealt = suffixes(rows, places, least, k).repartition(parts, "g").sortWithinPartitions("g", "right", "left", "key", "at")
     found = stored(matched(dealt, least, k), "matches")
     dropped(places)
-    released(spark)
     # A document has at most a few matches for each of its places.
     whole = found.groupBy("key").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("m"), F.min("from_key").alias("from_key"))
     merge = """aggregate(m, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
