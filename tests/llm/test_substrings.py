@@ -5,16 +5,15 @@ import hashlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tests.llm.fixtures import documents
+from tests.llm.fixtures import documents, texts
 from tracklens.llm import anchors, debruijn, suffixes
 
 
 def in_order(df):
     """Distinct documents in the order of the operators: doc_id (null first), then the hash that Spark gives the text."""
-    from pyspark.sql import functions as F
-
-    rows = df.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("x")).distinct().collect()
+    rows = df.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.col("text").cast("binary")), 1).alias("x")).distinct().collect()
     return sorted(((r.doc_id, r.text, r.x) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2], r[1] or ""))
 
 
@@ -23,9 +22,8 @@ def windows(text, k):
     return w, [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
 
-@pytest.mark.parametrize(("window", "k"), [(20, 8), (6, 3)])
-def test_dedup(spark, window, k):
-    df = documents(spark)
+def deduplicated(df, window):
+    """doc_id to the results of its texts, by plain Python."""
     seen, want = set(), {}
     for doc_id, text, _ in in_order(df):
         w, ws = windows(text, window)
@@ -36,12 +34,62 @@ def test_dedup(spark, window, k):
             seen.add(x)
         stay = [x for x, y in zip(w, keep, strict=True) if y]
         want.setdefault(doc_id, set()).add((len(w), len(w) - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest()))
-    got = debruijn.dedup(df, window, k).collect()
-    assert len(got) == df.count()
+    return want
+
+
+def found_by(got):
     found = {}
     for r in got:
         found.setdefault(r.doc_id, set()).add((r.n_words, r.n_removed, r.kept_sha256))
-    assert found == want
+    return found
+
+
+@pytest.mark.parametrize(("window", "k"), [(20, 8), (6, 3)])
+def test_dedup(spark, window, k):
+    df = documents(spark)
+    got = debruijn.dedup(df, window, k).collect()
+    assert len(got) == df.count()
+    assert found_by(got) == deduplicated(df, window)
+
+
+def far_ids(spark):
+    """Ids at the ends of the longs, some on several rows, and many rows without one."""
+    ids = [2**55 + 1, 2**55 + 2, 2**62 + 5, -(2**63), -(2**63) + 1, 2**63 - 1, 0]
+    t = texts(3, 90)
+    rows = [(ids[i % 7] if i % 3 else None, x) for i, x in enumerate(t)] + [(2**55 + 1, t[13]), (2**55 + 1, t[13]), (-(2**63), t[3]), (None, t[3])]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_far_ids(spark):
+    df = far_ids(spark)
+    assert found_by(debruijn.dedup(df).collect()) == deduplicated(df, 20)
+    got = {}
+    for r in suffixes.repeated_passages(df).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_words, r.n_repeated))
+    assert got == repeated(df, 50)
+
+
+def test_unequal_words_with_equal_hashes_are_found(spark, monkeypatch):
+    """With forged hashes under the first seed, verification sends all through the next one."""
+    weak, tried = debruijn.window_hashes, []
+    edges = debruijn.edges
+    monkeypatch.setattr(debruijn, "window_hashes", lambda h, k, seed=1: weak(h, k, seed) & np.uint64(0x700000 if seed == 1 else 1) if seed < 3 else weak(h, k, seed))
+    monkeypatch.setattr(debruijn, "edges", lambda *a: tried.append(a[-1]) or edges(*a))
+    df = documents(spark)
+    assert found_by(debruijn.dedup(df).collect()) == deduplicated(df, 20)
+    assert tried == list(debruijn.SEEDS[:2])
+
+
+def test_nonbranching_paths(spark):
+    """A passage, part of which one more document shares: paths end where it enters and leaves."""
+    w = [f"p{i}" for i in range(60)]
+    rows = [(0, " ".join(["a"] * 3 + w + ["b"])), (1, " ".join(["c"] * 5 + w + ["d"])), (2, " ".join(["e", *w[10:50], "f"]))]
+    paths = debruijn.repeated_paths(anchors.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {(r.doc, r.at, r.len, r.from_doc, r.from_at) for r in paths.collect()} == {(1, 5, 41, 0, 3), (2, 1, 21, 0, 13)}
+    got = sorted((r.doc_id, r.start, r.n_words, r.copies) for r in debruijn.unitigs(paths).collect())
+    assert got == [(0, 3, 29, 1), (0, 13, 40, 2), (0, 34, 29, 1)]
+    nodes = {(r.doc, p) for r in debruijn.branching(paths, 20).collect() for p in r.places}
+    assert {p for d, p in nodes if d == 0} == {3, 63, 13, 53}
 
 
 def test_spans_name_equal_words(spark):
@@ -61,9 +109,8 @@ def test_empty(spark):
     assert suffixes.repeated_passages(documents(spark, empty=True)).count() == 0
 
 
-@pytest.mark.parametrize(("least", "k"), [(50, 16), (20, 8)])
-def test_passages(spark, least, k):
-    df = documents(spark)
+def repeated(df, least):
+    """doc_id to the results of its texts with a repeated passage, by plain Python."""
     docs = in_order(df)
     count = {}
     for _, text, _ in docs:
@@ -78,10 +125,16 @@ def test_passages(spark, least, k):
                 covered[i : i + least] = True
         if covered.any():
             want.setdefault(doc_id, set()).add((len(w), int(covered.sum())))
+    return want
+
+
+@pytest.mark.parametrize(("least", "k"), [(50, 16), (20, 8)])
+def test_passages(spark, least, k):
+    df = documents(spark)
     got = {}
     for r in suffixes.repeated_passages(df, least, k).collect():
         got.setdefault(r.doc_id, set()).add((r.n_words, r.n_repeated))
-    assert got == want
+    assert got == repeated(df, least)
 
 
 def test_anchors_follow_the_words():
@@ -132,17 +185,17 @@ def test_a_long_run_in_pieces(most):
         p = np.unique(anchor)
         if len(p):
             a, z = suffixes.sides(h, p, least, least - k)
-            rows += [(int(runs[q]) >> 62, a[j].astype(">u4").tobytes(), a[j], z[j], i, q, len(h)) for j, q in enumerate(p)]
+            rows += [(int(runs[q]) >> 62, a[j].astype(">u4").tobytes(), a[j], z[j], i, 0, q, len(h)) for j, q in enumerate(p)]
     rows.sort(key=lambda x: x[:2])
-    cols = [np.array([x[c] for x in rows]) for c in (0, 2, 3, 4, 5, 6)]
-    cols = [cols[0].astype(np.int64), cols[1], cols[2], cols[3].astype(np.int64), cols[4].astype(np.int32), cols[5].astype(np.int32)]
+    cols = [np.array([x[c] for x in rows]) for c in (0, 2, 3, 4, 5, 6, 7)]
+    cols = [cols[0].astype(np.int64), cols[1], cols[2], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[5].astype(np.int32), cols[6].astype(np.int32)]
 
     def covered(size, most):
         out = set()
         pieces = ([c[i : i + size] for c in cols] for i in range(0, len(rows), size))
         for m in suffixes.over_runs(pieces, least, most):
             for r in m.to_pylist():
-                out.update((r["key"], x) for x in range(r["start"], r["end"]))
+                out.update((r["doc"], x) for x in range(r["start"], r["end"]))
         return out
 
     assert covered(5, most) == covered(len(rows), len(rows))

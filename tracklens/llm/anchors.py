@@ -16,28 +16,40 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import mixed, signed, window_hashes
+from .base import mixed, signed, stored, window_hashes
 
+LEAST_LONG = -(1 << 63)
+#: Repeated doc_ids that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
+MOST_IDS = 1_000_000
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, int, int | None]:
-    """key, text (bytes); doc_id is ``key // many``, and null where that is the third value.
 
-    The key orders rows by doc_id. Where a doc_id is on several rows, its different texts get keys of their own; equal
-    ones are one document. A null doc_id stands before all others.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, ord, text (bytes): the pair (doc, ord) names a document and orders all of them.
+
+    ``doc`` is the doc_id and ``ord`` 0. Where a doc_id is on several rows, ``ord`` is a hash of the text, so that
+    different texts are documents of their own and equal ones are one. A null doc_id has the least ``doc`` and an ``ord``
+    below 0, from its text too: it stands before all others, and no key gathers the rows without an id.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    most, low, nulls = ids.groupBy("doc_id").agg(F.count("*").alias("c")).agg(F.max("c"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    none = (0 if low is None else low - 1) if nulls else None
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none).cast("long")).alias("key"), F.col("text").cast("binary").alias("text"))
-    if (most or 1) == 1:
-        return rows, 1, none
-    rank = F.dense_rank().over(Window.partitionBy("key").orderBy(F.xxhash64("text"), "text")) - 1
-    return rows.select((F.col("key") * most + rank).alias("key"), "text"), most, none
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    again = stored(rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    n = again.count()
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    if n:
+        rows = rows.join(F.broadcast(again) if n <= MOST_IDS else again, "doc_id", "left")
+    own = F.when(F.col("again"), h).otherwise(0) if n else F.lit(0)
+    order = F.when(F.col("doc_id").isNull(), h + F.lit(LEAST_LONG)).otherwise(own).cast("long")
+    return rows.select(F.coalesce("doc_id", F.lit(LEAST_LONG)).alias("doc"), order.alias("ord"), "text")
+
+
+def doc_id(doc: str = "doc", ord_: str = "ord"):
+    return F.when(F.col(ord_) >= 0, F.col(doc))
 
 
-def doc_id(key: str, many: int, none: int | None):
-    i = F.floor(F.col(key) / many).cast("long") if many > 1 else F.col(key)
-    return i if none is None else F.nullif(i, F.lit(none).cast("long"))
+def in_order(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """doc and ord of a batch in their order, and which row stands at each place of it."""
+    doc, order = b.column(0).to_numpy(), b.column(1).to_numpy()
+    by = np.lexsort((order, doc))
+    return doc[by], order[by], by.tolist()
 
 
 def anchors_of(h: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,33 +67,36 @@ def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(rows: DataFrame, hashed, k: int, width: int, parts: int) -> DataFrame:
-    """key and the sorted places of its anchors whose words occur at another place too. ``rows``: key, text."""
+    """doc, ord and the places of the anchors whose words occur at another place too. ``rows``: doc, ord, text."""
+    dealt_names, names = ["h", "doc", "ord", "at", "known"], ["doc", "ord", "at"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, key, at = [], [], []
-            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            h, which, at = [], [], []
+            docs, ords, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for i, t in enumerate(texts):
                 runs, anchor = anchors_of(hashed(t), k, width)
                 if len(anchor):
                     p = np.unique(anchor)
                     h.append(runs[p])
                     at.append(p)
-                    key.append(np.full(len(p), x, np.int64))
+                    which.append(np.full(len(p), i))
             if not h:
                 continue
-            h, key, at = map(np.concatenate, (h, key, at))
+            h, which, at = map(np.concatenate, (h, which, at))
+            doc, order = docs[which], ords[which]
             first, own = firsts(h)
             again = np.bincount(own, minlength=len(h))[own] > 1
             later = again & (own != np.arange(len(h)))
-            deal = np.where(later, mixed(key.view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
-            yield pa.record_batch([pa.array(signed(deal)), pa.array(key), pa.array(at.astype(np.int32)), pa.array(again)], names=["h", "key", "at", "known"])
+            deal = np.where(later, spread(doc, order, at), h)
+            yield pa.record_batch([pa.array(signed(deal)), pa.array(doc), pa.array(order), pa.array(at.astype(np.int32)), pa.array(again)], names=dealt_names)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row waits for its successor
 
-        def out(h, key, at, known, before, after):
+        def out(h, doc, order, at, known, before, after):
             same = known.copy()
             same[1:] |= h[1:] == h[:-1]
             same[:-1] |= h[1:] == h[:-1]
@@ -89,7 +104,7 @@ def repeated_anchors(rows: DataFrame, hashed, k: int, width: int, parts: int) ->
                 same[0] |= h[0] == before
             if after is not None and len(h):
                 same[-1] |= h[-1] == after
-            return pa.record_batch([pa.array(key[same]), pa.array(at[same])], names=["key", "at"])
+            return pa.record_batch([pa.array(doc[same]), pa.array(order[same]), pa.array(at[same])], names=names)
 
         before = None
         for b in batches:
@@ -105,5 +120,10 @@ def repeated_anchors(rows: DataFrame, hashed, k: int, width: int, parts: int) ->
         if held is not None:
             yield out(*held, before, None)
 
-    dealt = rows.mapInArrow(emit, "h long, key long, at int, known boolean").repartition(parts, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(flag, "key long, at int").groupBy("key").agg(F.collect_set("at").alias("places"))
+    dealt = rows.mapInArrow(emit, "h long, doc long, ord long, at int, known boolean").repartition(parts, "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(flag, "doc long, ord long, at int").groupBy("doc", "ord").agg(F.collect_set("at").alias("places"))
+
+
+def spread(doc: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each coordinate, to deal rows that are settled already."""
+    return mixed((doc ^ order).view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

@@ -3,10 +3,12 @@
 A suffix is kept only at a content-selected place: of each window of ``LEAST`` words the anchor (see ``anchors``), so
 every passage of ``LEAST`` words keeps one at the same place wherever it stands. Suffixes whose first ``K`` words occur
 nowhere else are dropped first. The others carry the hashes of ``LEAST`` words to the right and of the words to the left
-that a passage around the place can reach, are dealt by their first words and sorted as a suffix array is. Each is
-compared with all others that have the same first words, by the hashes of the ``LEAST - K + 1`` windows of ``LEAST`` words
-around its place: texts may branch on both sides, so neighbours in an order wouldn't do. What it shares is reported
-for all documents that have it. Longer passages are the union of the matches at their successive places.
+that a passage around the place can reach, are dealt by their first words and sorted as a suffix array is. A run of
+neighbours has the same first words. From there each match is extended: with 0, 1, 2 ... words to the left, and as many
+to the right as make ``LEAST``, it is compared with the whole run by the hash of these words; texts may branch on both
+sides, so the next neighbour in one order wouldn't do. What is shared is reported for all documents that have it, from
+the leftmost to the rightmost word that any extension reached; longer passages are the union of the matches at their
+successive places.
 
 A batch deals equal suffixes with equal left sides once and reports the others itself, so a passage in a third of all
 rows costs one row a batch and place. Suffixes with the same first words are handled in pieces of ``CHUNK`` rows; the hashes of
@@ -30,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import anchors_of, doc_id, firsts, keyed, repeated_anchors
+from .anchors import anchors_of, doc_id, firsts, in_order, keyed, repeated_anchors, spread
 from .base import dropped, mixed, signed, stored, table, word_hashes, words_of
 
 LEAST, K = 50, 16
 CHUNK = 100_000
 
-SUFFIX = "g long, right binary, left binary, key long, at int, n_words int, start int, end int, from_key long"
-MATCH = "key long, n_words int, start int, end int, from_key long"
+SUFFIX = "g long, right binary, left binary, doc long, ord long, at int, n_words int, start int, end int, from_doc long, from_ord long"
+MATCH = "doc long, ord long, n_words int, start int, end int, from_doc long, from_ord long"
+_NAMES = [c.split()[0] for c in MATCH.split(", ")]
 
 
 def hashed(text: bytes | None) -> np.ndarray:
@@ -64,42 +67,42 @@ def suffixes(rows: DataFrame, places: DataFrame, least: int, k: int) -> DataFram
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, r, l_, key, at, total = [], [], [], [], [], []
-            texts, marks = b.column(1).to_pylist(), b.column(2)
-            for i, x in enumerate(b.column(0).to_pylist()):
-                w = hashed(texts[i])
+            g, r, l_, which, at, total = [], [], [], [], [], []
+            texts, marks = b.column(2).to_pylist(), b.column(3)
+            docs, ords, by = in_order(b)
+            for i, row in enumerate(by):
+                w = hashed(texts[row])
                 runs, anchor = anchors_of(w, k, least)
-                p = np.intersect1d(anchor, np.asarray(marks[i].values.to_numpy()))
+                p = np.intersect1d(anchor, np.asarray(marks[row].values.to_numpy()))
                 if len(p):
                     a, z = sides(w, p, least, left)
                     g.append(runs[p])
                     r.append(a)
                     l_.append(z)
-                    key.append(np.full(len(p), x, np.int64))
+                    which.append(np.full(len(p), i))
                     at.append(p)
                     total.append(np.full(len(p), len(w), np.int64))
             if not g:
                 continue
-            g, r, l_, key, at, total = map(np.concatenate, (g, r, l_, key, at, total))
-            order = np.lexsort((at, key))
-            g, r, l_, key, at, total = g[order], r[order], l_[order], key[order], at[order], total[order]
+            g, r, l_, which, at, total = map(np.concatenate, (g, r, l_, which, at, total))
+            doc, order = docs[which], ords[which]
             odd = np.random.default_rng(5).integers(1, 1 << 62, least + left, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             both = mixed((r.astype(np.uint64) * odd[:least]).sum(axis=1, dtype=np.uint64) + (l_.astype(np.uint64) * odd[least:]).sum(axis=1, dtype=np.uint64)) ^ g
             first, own = firsts(both)
             none = np.zeros(len(first), np.int32)
-            yield pa.record_batch([pa.array(signed(g[first])), _bytes(r[first]), _bytes(l_[first]), pa.array(key[first]), pa.array(at[first].astype(np.int32)), pa.array(total[first].astype(np.int32)), pa.array(none), pa.array(none), pa.array(none.astype(np.int64))], names=names)
+            yield pa.record_batch([pa.array(signed(g[first])), _bytes(r[first]), _bytes(l_[first]), pa.array(doc[first]), pa.array(order[first]), pa.array(at[first].astype(np.int32)), pa.array(total[first].astype(np.int32)), pa.array(none), pa.array(none), *[pa.array(none.astype(np.int64))] * 2], names=names)
             later = np.flatnonzero(own != np.arange(len(g)))
             if len(later):
                 f = own[later]
                 i, j = np.concatenate([later, f]), np.concatenate([f, later])
-                m = matches(key, at, total, i, j, common(r[i], r[j]), common(l_[i], l_[j]), least)
+                m = matches(doc, order, at, total, i, j, common(r[i], r[j]), common(l_[i], l_[j]), least)
                 if m.num_rows:
-                    deal = signed(mixed(m.column(0).to_numpy().view(np.uint64) + m.column(2).to_numpy().astype(np.uint64)))
+                    deal = signed(spread(*(m.column(c).to_numpy() for c in (0, 1, 3))))
                     blank = pa.array([b""] * len(deal), pa.binary())
-                    yield pa.record_batch([pa.array(deal), blank, blank, m.column(0), pa.array(np.full(len(deal), -1, np.int32)), *m.columns[1:]], names=names)
+                    yield pa.record_batch([pa.array(deal), blank, blank, *m.columns[:2], pa.array(np.full(len(deal), -1, np.int32)), *m.columns[2:]], names=names)
 
     names = [c.split()[0] for c in SUFFIX.split(", ")]
-    return rows.join(places, "key").select("key", "text", "places").mapInArrow(emit, SUFFIX)
+    return rows.join(places, ["doc", "ord"]).select("doc", "ord", "text", "places").mapInArrow(emit, SUFFIX)
 
 
 def _bytes(m: np.ndarray) -> pa.Array:
@@ -107,18 +110,24 @@ def _bytes(m: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 4 * width), pa.py_buffer(np.ascontiguousarray(m).tobytes())])
 
 
-def matches(key, at, total, i, j, right, left, least: int) -> pa.RecordBatch:
+def matches(doc, order, at, total, i, j, right, left, least: int) -> pa.RecordBatch:
     """What rows i share with rows j, where it is long enough; a place never matches itself."""
-    ok = np.flatnonzero((right + left >= least) & ((key[i] != key[j]) | (at[i] != at[j])))
+    ok = np.flatnonzero((right + left >= least) & ((doc[i] != doc[j]) | (order[i] != order[j]) | (at[i] != at[j])))
     i, j, right, left = i[ok], j[ok], right[ok], left[ok]
-    return pa.record_batch([pa.array(key[i]), pa.array(total[i].astype(np.int32)), pa.array((at[i] - left).astype(np.int32)), pa.array((at[i] + right).astype(np.int32)), pa.array(key[j])], names=["key", "n_words", "start", "end", "from_key"])
+    return _matches(doc[i], order[i], total[i], at[i] - left, at[i] + right, doc[j], order[j])
+
+
+def _matches(doc, order, total, start, end, from_doc, from_ord) -> pa.RecordBatch:
+    cols = doc, order, total.astype(np.int32), start.astype(np.int32), end.astype(np.int32), from_doc, from_ord
+    return pa.record_batch([pa.array(c) for c in cols], names=_NAMES)
 
 
 class Seen(NamedTuple):
     """Windows of a run with ``left`` words before the place, sorted by hash: one place of each, and whether it was told."""
 
     h: np.ndarray
-    key: np.ndarray
+    doc: np.ndarray
+    ord: np.ndarray
     at: np.ndarray
     total: np.ndarray
     told: np.ndarray
@@ -130,54 +139,62 @@ def shared_windows(rows: list[np.ndarray], least: int, seen: list[Seen] | None,
     ``rows`` holds whole runs, save that the first may continue ``seen``, whose newest suffix is ``last``. With
     ``go_on`` it is part of one run, and the windows that rows after it can still have are returned.
     """
-    g, r, l_, key, at, total = rows
+    g, r, l_, doc, order_, at, total = rows
     n, width = len(g), l_.shape[1]
     odd = np.random.default_rng(7).integers(1, 1 << 62, least + width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     a = g.view(np.uint64) + (r.astype(np.uint64) * odd[:least]).sum(axis=1, dtype=np.uint64)
-    most, fewest, partner = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    most, fewest = np.full(n, -1), np.full(n, -1)
+    from_doc, from_ord = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)
     agree = common(r, np.broadcast_to(r[-1], r.shape)) if go_on else None
     out, after = [], []
     for left in range(width + 1):
         if left:
             a = a - r[:, least - left].astype(np.uint64) * odd[least - left] + l_[:, left - 1].astype(np.uint64) * odd[least + left - 1]
         whole = np.flatnonzero((r[:, least - left - 1] != 0) & ((l_[:, left - 1] != 0) if left else True))
-        old = seen[left] if seen else Seen(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.int32, np.int32, bool)])
+        old = seen[left] if seen else Seen(*[np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int32, np.int32, bool)])
         k = len(old.h)
         h = np.concatenate([old.h, mixed(a[whole])])
         order = np.argsort(h, kind="stable")  # what was seen stands first among equals
         same = h[order[1:]] == h[order[:-1]]
         before, then = np.append(False, same), np.append(same, False)
         shared = np.flatnonzero(before | then)
-        keys = np.concatenate([old.key, key[whole]])
+        docs, ords = np.concatenate([old.doc, doc[whole]]), np.concatenate([old.ord, order_[whole]])
         of = order[shared]
-        other = keys[order[np.where(before[shared], shared - 1, shared + 1)]]
+        other = order[np.where(before[shared], shared - 1, shared + 1)]
         new = of >= k
         i = whole[of[new] - k]
         most[i] = left
         fewest[i] = np.where(fewest[i] < 0, left, fewest[i])
-        partner[i] = np.minimum(partner[i], other[new])
+        d, o = docs[other[new]], ords[other[new]]
+        less = (d < from_doc[i]) | ((d == from_doc[i]) & (o < from_ord[i]))
+        from_doc[i], from_ord[i] = np.where(less, d, from_doc[i]), np.where(less, o, from_ord[i])
         late = ~new
         late[late] = ~old.told[of[late]]
         if late.any():
             o = of[late]
-            out.append(pa.record_batch([pa.array(old.key[o]), pa.array(old.total[o]), pa.array(old.at[o] - np.int32(left)), pa.array(old.at[o] + np.int32(least - left)), pa.array(other[late])], names=["key", "n_words", "start", "end", "from_key"]))
+            out.append(_matches(old.doc[o], old.ord[o], old.total[o], old.at[o] - left, old.at[o] + least - left, docs[other[late]], ords[other[late]]))
         if go_on:  # rows to come agree with the last one on every word that they share with rows before it
             live = np.concatenate([np.full(k, k > 0 and bool((last[: least - left] == r[-1, : least - left]).all())), agree[whole] >= least - left])
             kept = np.flatnonzero(~before & live[order])
             of = order[kept]
             ats, totals = np.concatenate([old.at, at[whole]]), np.concatenate([old.total, total[whole]])
-            after.append(Seen(h[of], keys[of], ats[of], totals[of], then[kept] | np.append(old.told, np.zeros(len(whole), bool))[of]))
+            after.append(Seen(h[of], docs[of], ords[of], ats[of], totals[of], then[kept] | np.append(old.told, np.zeros(len(whole), bool))[of]))
     i = np.flatnonzero(most >= 0)
     if len(i):
         # All windows of a place hold it, so they are one passage.
-        out.append(pa.record_batch([pa.array(key[i]), pa.array(total[i]), pa.array((at[i] - most[i]).astype(np.int32)), pa.array((at[i] + least - fewest[i]).astype(np.int32)), pa.array(partner[i])], names=["key", "n_words", "start", "end", "from_key"]))
+        out.append(_matches(doc[i], order_[i], total[i], at[i] - most[i], at[i] + least - fewest[i], from_doc[i], from_ord[i]))
     return out, after if go_on else None
 
 
 def over_runs(pieces: Iterator[list[np.ndarray]], least: int, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """``shared_windows`` of rows in order; of a run beyond ``most`` rows the windows are carried on, not the rows."""
-    held, seen, last = None, None, None  # rows of the newest first words, which may go on in the next piece
+    held, seen, last, before = None, None, None, None  # rows of the newest first words, which may go on in the next piece
     for now in pieces:
+        place = np.stack([now[c].astype(np.int64) for c in (3, 4, 5)])
+        new = np.append(before is None or (before != place[:, 0]).any(), (place[:, 1:] != place[:, :-1]).any(axis=0))
+        before, now = place[:, -1], [x[new] for x in now]  # a row that is there twice counts once
+        if not new.any():
+            continue
         if held is not None:
             now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -201,12 +218,12 @@ def matched(dealt: DataFrame, least: int, k: int) -> DataFrame:
 
         def pieces() -> Iterator[list[np.ndarray]]:
             for b in batches:
-                found = b.column(4).to_numpy() < 0
+                found = b.column(5).to_numpy() < 0
                 if found.any():
-                    known.append(pa.record_batch([b.column(c).filter(pa.array(found)) for c in (3, 5, 6, 7, 8)], names=names))
+                    known.append(pa.record_batch([b.column(c).filter(pa.array(found)) for c in (3, 4, 6, 7, 8, 9, 10)], names=_NAMES))
                     b = b.filter(pa.array(~found))
                 if b.num_rows:
-                    yield [b.column(0).to_numpy(), _matrix(b.column(1), least), _matrix(b.column(2), left), *(b.column(c).to_numpy() for c in (3, 4, 5))]
+                    yield [b.column(0).to_numpy(), _matrix(b.column(1), least), _matrix(b.column(2), left), *(b.column(c).to_numpy() for c in (3, 4, 5, 6))]
 
         for m in over_runs(pieces(), least):
             yield from known
@@ -214,7 +231,6 @@ def matched(dealt: DataFrame, least: int, k: int) -> DataFrame:
             yield m
         yield from known
 
-    names = [c.split()[0] for c in MATCH.split(", ")]
     return dealt.mapInArrow(run, MATCH)
 
 
@@ -227,21 +243,21 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
 def repeated_passages(docs: DataFrame, least: int = LEAST, k: int = K) -> DataFrame:
     """doc_id, n_words, n_repeated, spans (start, end) and matched_doc_ids of the documents that share a passage."""
     spark = docs.sparkSession
-    rows, many, none = keyed(docs)
+    rows, here = keyed(docs), ["doc", "ord"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     places = stored(repeated_anchors(rows, hashed, k, least, parts), "anchors")
-    dealt = suffixes(rows, places, least, k).repartition(parts, "g").sortWithinPartitions("g", "right", "left", "key", "at")
+    dealt = suffixes(rows, places, least, k).repartition(parts, "g").sortWithinPartitions("g", "right", "left", *here, "at")
     found = stored(matched(dealt, least, k), "matches")
     dropped(places)
     # A document has at most a few matches for each of its places.
-    whole = found.groupBy("key").agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("m"), F.min("from_key").alias("from_key"))
+    whole = found.groupBy(*here).agg(F.max("n_words").cast("long").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "end"))).alias("m"), F.min(F.struct("from_doc", "from_ord")).alias("f"))
     merge = """aggregate(m, cast(array() as array<struct<start:int,end:int>>), (a, x) ->
       CASE WHEN size(a) > 0 AND x.start <= element_at(a, -1).end
            THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end))))
            ELSE concat(a, array(x)) END)"""
     merged = whole.withColumn("spans", F.expr(merge))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
-    return merged.select(doc_id("key", many, none).alias("doc_id"), "n_words", covered.alias("n_repeated"), "spans", doc_id("from_key", many, none).alias("matched_doc_id"))
+    return merged.select(doc_id().alias("doc_id"), "n_words", covered.alias("n_repeated"), "spans", doc_id("f.from_doc", "f.from_ord").alias("matched_doc_id"))
 
 
 def op2_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
