@@ -10,10 +10,11 @@ cells of different parity are different n-grams.
 
 What remains is verified once per pair on the full sets. To lose no link without making all pairs of a large group,
 each meeting place compares its members with one of them, at random for each place and turn; a document verifies the
-partner that its parities put nearest, and what links is contracted to components. Turns go on while they shorten what
-is left. Then all members outside a place's largest component meet everything there that is not yet in their component
-and that the bounds leave: ``NEAREST`` times the nearest pair of every component is verified and contracted, then all
-pairs that are still apart. So every pair is linked, filtered out by a proven bound, verified, or already known to be
+partner that its parities put nearest, and what links is contracted to components. That settles places of two members;
+at the others turns go on while they shorten what is left. Then all members outside a place's largest component meet
+everything there that is not yet in their component and that the bounds leave. From these pairs and those that the
+first turn put off, ``NEAREST`` times the nearest pair of every component is verified and contracted, then all pairs
+that are still apart. So every pair is linked, filtered out by a proven bound, verified, or already known to be
 connected.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a text of fewer than n words has its whole
@@ -42,6 +43,8 @@ BUCKETS = 1 << 20
 LANES = 8
 #: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
 MOST_IDS = 1_000_000
+#: Documents whose component may be broadcast: at most this many pairs of longs, 16 MB.
+MOST_KNOWN = 1_000_000
 NEAREST = 3
 SIG = [f"s{i}" for i in range(LANES)]
 PAIR = ["a", "b", "left", "right"]
@@ -156,6 +159,7 @@ class _Components:
 
     def __init__(self):
         self.known: DataFrame | None = None
+        self.few = False
 
     def add(self, links: DataFrame) -> bool:
         """Contract components that ``links`` (left, right) connects; whether there were any."""
@@ -168,6 +172,7 @@ class _Components:
                 moved = self.known.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
                 forest = moved.unionByName(forest.join(self.known, "id", "left_anti"))
             before, self.known = self.known, stored(forest, "components")
+            self.few = self.known.count() <= MOST_KNOWN
             if before is not None:
                 dropped(before)
         dropped(edges)
@@ -177,7 +182,7 @@ class _Components:
         if self.known is None:
             return rows.withColumn(name, F.col(key))
         known = self.known.select(F.col("id").alias(key), F.col("component").alias(name))
-        return rows.join(known, key, "left").withColumn(name, F.coalesce(name, key))
+        return rows.join(F.broadcast(known) if self.few else known, key, "left").withColumn(name, F.coalesce(name, key))
 
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -187,7 +192,8 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     classes = stored(every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     first = stored(_first_rows(wide, classes), "firsts")
     dropped(wide)
-    placed = stored(_places(first, percent), "placed")
+    met = stored(_places(first, percent), "met")
+    marks = stored(first.drop("prefix"), "parities")
     dropped(first)
 
     found, full, tried = _Components(), _Sets(docs, n), []
@@ -199,28 +205,38 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         if not tried[-1].isEmpty():
             found.add(verified(tried[-1], full.of(tried[-1]), percent))
 
-    def untried(pairs: DataFrame) -> DataFrame:
-        for t in tried:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        return pairs
+    def nearest(pairs: DataFrame, *ends: str) -> DataFrame:
+        """For each document (``a``, ``b``) or component (``left``, ``right``) its nearest pair."""
+        best = F.min_by(F.struct(*PAIR), F.struct("apart", "a", "b")).alias("p")
+        return pairs.withColumn("of", F.explode(F.array(*ends))).groupBy("of").agg(best).select("p.*").distinct()
 
+    def untried(pairs: DataFrame, since: int = 0) -> DataFrame:
+        return pairs.join(reduce(DataFrame.unionByName, tried[since:]).select("a", "b"), ["a", "b"], "left_anti")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return found.label(found.label(pairs.drop("left", "right"), "a", "left"), "b", "right").where("left <> right")
+
+    first_turn = stored(_marked(_stars(found.label(met), percent, 0), marks, percent), "first-turn")
+    link(nearest(first_turn, "a", "b"))
+    placed = stored(_larger(met, marks), "placed")
+    dropped(met, marks)
     rows, left = placed.count(), None
-    for turn in count():  # each but the first two takes away a tenth of the pairs that are left
+    for turn in count(1):  # each but the first takes away a tenth of the pairs that are left
         here = stored(found.label(placed), "labelled")
         was, left = left, _left(here)
-        if turn > 1 and (left <= rows or 10 * left > 9 * was):
+        if left <= rows or (was is not None and 10 * left > 9 * was):
             break
-        link(untried(_stars(here, percent, turn)).withColumn("of", F.explode(F.array("a", "b"))).groupBy("of").agg(_nearest()).select("p.*").distinct())
+        link(nearest(untried(_stars(here, percent, turn, SIG)), "a", "b"))
         dropped(here)
-    rest = stored(untried(_rest(here, percent)), "rest")
-    dropped(here, placed)
+    rest = stored(apart(untried(_rest(here, percent).unionByName(first_turn.select("a", "b", "apart")).groupBy("a", "b").agg(F.min("apart").alias("apart")))), "rest")
+    dropped(here, placed, first_turn)
     for turn in range(NEAREST + 1):
-        apart = found.label(found.label(untried(rest).drop("left", "right"), "a", "left"), "b", "right").where("left <> right")
-        if turn < NEAREST:
-            apart = apart.withColumn("of", F.explode(F.array("left", "right"))).groupBy("of").agg(_nearest()).select("p.*").distinct()
-        link(apart)
-        if tried[-1].isEmpty():
+        if rest.isEmpty():
             break
+        link(nearest(rest, "left", "right") if turn < NEAREST else rest)
+        now = stored(apart(untried(rest, -1)), "rest")
+        dropped(rest)
+        rest = now
     dropped(rest, *tried, *full.tables)
 
     named = found.label(classes.withColumnRenamed("id", "class_id"), "class_id", "component_id")
@@ -236,29 +252,44 @@ def _first_rows(every: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _places(first: DataFrame, percent: int) -> DataFrame:
-    """The prefix n-grams at which a pair can meet, with size, position, parities and the place before."""
+    """gram, c, id, n, pos: the prefix n-grams at which a pair can meet, and how many sets hold them."""
     places = first.select("id", "n", F.posexplode("prefix").alias("pos", "gram"))
     smaller = F.col("pos") <= F.col("n") - needed("n", "n", percent)  # the smaller set of a pair has the place here
-    met = places.groupBy("gram").agg(F.count("*").alias("c"), F.max(smaller).alias("met")).where("c > 1 AND met").select("gram")
-    placed = places.join(met, "gram").join(first.drop("prefix"), ["id", "n"])
-    return placed.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
+    met = places.groupBy("gram").agg(F.count("*").alias("c"), F.max(smaller).alias("met")).where("c > 1 AND met").select("gram", "c")
+    return places.join(met, "gram")
+
+
+def _larger(met: DataFrame, marks: DataFrame) -> DataFrame:
+    """The places of more than two, with the parities and the place before."""
+    more = met.where("c > 2").drop("c").join(marks, ["id", "n"])
+    return more.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
+
+
+def _apart(x: str, y: str, percent: int) -> tuple[Column, Column]:
+    """The least difference of two sets by their parities, and the largest that links."""
+    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SIG), F.lit(0))
+    return apart, F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed(f"{x}.n", f"{y}.n", percent)
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column, sig: list[str] = SIG) -> DataFrame:
     """Pairs of one place that no bound rules out, smaller id first, each once with its least relative difference."""
-    need = needed("x.n", "y.n", percent)
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    allowed = F.col("x.n") + F.col("y.n") - 2 * need
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIG), F.lit(0))
-    fits = (F.col("x.component") != F.col("y.component")) & (reach >= need) & (apart <= allowed)
+    fits = (F.col("x.component") != F.col("y.component")) & (reach >= needed("x.n", "y.n", percent))
+    ratio = F.lit(0.0)
+    if sig:
+        apart, allowed = _apart("x", "y", percent)
+        fits, ratio = fits & (apart <= allowed), apart / F.greatest(allowed, F.lit(1))
     ends = [F.struct(F.col(f"{t}.id"), F.col(f"{t}.component")) for t in "xy"]
     met = left.alias("x").join(right.alias("y"), "gram").where(more & fits)
-    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("t"), (apart / F.greatest(allowed, F.lit(1))).alias("apart"))
+    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("t"), ratio.alias("apart"))
     return met.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.col("s.component").alias("left"), F.col("t.component").alias("right"), "apart").groupBy(*PAIR).agg(F.min("apart").alias("apart"))
 
 
-def _nearest() -> Column:
-    return F.min_by(F.struct(*PAIR), F.struct("apart", "a", "b")).alias("p")
+def _marked(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities don't rule out."""
+    apart, allowed = _apart("x", "y", percent)
+    both = pairs.drop("apart").join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
+    return both.where(apart <= allowed).groupBy(*PAIR).agg(F.min(apart / F.greatest(allowed, F.lit(1))).alias("apart"))
 
 
 def _left(here: DataFrame) -> int:
@@ -267,10 +298,10 @@ def _left(here: DataFrame) -> int:
     return sizes.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
 
 
-def _stars(here: DataFrame, percent: int, turn: int) -> DataFrame:
+def _stars(here: DataFrame, percent: int, turn: int, sig: list[str] = []) -> DataFrame:  # noqa: B006
     """Each member of a place with one of them, another one each turn."""
-    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", "gram", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
-    return _pairs(here, centre, percent, F.lit(True))
+    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *sig), F.struct(F.xxhash64("id", "gram", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
+    return _pairs(here, centre, percent, F.lit(True), sig)
 
 
 def _rest(here: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +313,7 @@ def _rest(here: DataFrame, percent: int) -> DataFrame:
     main = sizes.groupBy("gram").agg(F.count("*").alias("k"), F.max_by("component", F.struct("c", "component")).alias("main")).where("k > 1").select("gram", "main")
     both = here.join(main, "gram")
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    return _pairs(both.where("component <> main"), both, percent, once & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)))
+    return _pairs(both.where("component <> main"), both, percent, once & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))).drop("left", "right")
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
