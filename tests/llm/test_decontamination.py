@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from tests.llm.fixtures import WORDS, documents, texts
 from tracklens.llm import decontamination as D
@@ -62,4 +63,18 @@ def test_awkward(spark):
     assert {3, None} <= hit
     left = D.decontaminated(df, items)
     assert left.columns == df.columns and not {3, None} & {r.doc_id for r in left.collect()}
+    clean = spark.createDataFrame([(None, "nothing of an item here"), (None, "so " + items.first().text), (3, "as clean as can be")], "doc_id long, text string")
+    assert [r.text for r in D.decontaminated(clean, items).orderBy("text").collect()] == ["as clean as can be", "nothing of an item here"]
     assert D.overlaps(documents(spark, empty=True), items).count() == 0 == D.overlaps(df, items.limit(0)).count()
+
+
+def test_one_word_over_and_over(spark):
+    """A text of one word hits everywhere: time in proportion to its length."""
+    items = spark.createDataFrame([(1, "na " * 20)], "item_id long, text string")
+    took = []
+    for n in (4000, 8000, 16000, 32000):
+        began = time.perf_counter()
+        got = D.overlaps(spark.createDataFrame([(1, "na " * n)], "doc_id long, text string"), items).collect()
+        took.append(time.perf_counter() - began)
+        assert [(r.window_matched, r.matched) for r in got] == [(13, 20)]
+    assert took[3] < 4 * took[1]

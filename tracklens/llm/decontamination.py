@@ -5,15 +5,16 @@ of a few consecutive ones. The two masks together hit every stretch of ``WINDOW`
 at whatever positions; so does the first mask in a shorter item without one, and an item of five or six words is a
 seed as a whole. Seeds of all documents are probed against those of the items, and around each hit the item is laid
 over the document: it is found if some ``WINDOW`` consecutive words of it (or all of a shorter item) hold at least
-``LEAST`` equal ones (or all). Hence the result doesn't depend on the masks: it is every such overlap.
+``LEAST`` equal ones (or all). Hence the result doesn't depend on the masks: it is every such overlap. The hits of a
+document are gathered to one list of places for each item, so its text is split once and the time grows with its words.
 
 The items' seeds are sent to all executors only up to ``MOST_SEEDS`` rows; more are joined by shuffling, where AQE
 splits a seed that many documents share. Documents that no seed hits are read once and never shuffled as words; texts
-are shuffled once, to those with hits.
+are shuffled once, to those with hits, by doc_id and a hash of the text.
 
 Defined cases: null and empty texts and items hold no words and match nothing, nor do items of fewer than five words;
-equal items are all reported; repeated doc_ids give one row with their best overlap; empty tables give an empty
-result; clashing extra columns are not read.
+equal items are all reported; repeated and null doc_ids give one row with their best overlap, but of the documents
+that share one only those that hold an item go; empty tables give an empty result; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -55,8 +56,8 @@ def found_at(masks) -> Column:
     return start
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_item, window_matched and matched of every document that holds an item."""
+def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, mark (of the text), item_id, n_item, window_matched and matched of every document that holds an item."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), word_array("text").alias("item")).where(F.size("item") >= SHORTEST)
     items = stored(items, "items")
     short = sorted(r[0] for r in items.where(F.size("item") < MASKS[0][-1] + 1).select(F.size("item")).distinct().collect())  # 5, 6 or none
@@ -70,25 +71,45 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     test = stored(test, "item-seeds")
     few = test.count() <= MOST_SEEDS
     test, sent = (F.broadcast(test), F.broadcast(items)) if few else (test, items)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    probes = texts.select("doc_id", word_array("text").alias("words")).select("doc_id", F.size("words").alias("n"), F.posexplode(seeds("words", masks)).alias("pos", "seed"))
-    hits = probes.join(test, "seed").select("doc_id", "item_id", (found_at(masks) - F.col("item_at")).cast("int").alias("offset"))
-    hits = stored(hits.distinct(), "seed-hits")
-    laid = hits.join(texts, hits.doc_id.eqNullSafe(texts.doc_id)).select(hits.doc_id, "item_id", "offset", word_array("text").alias("words")).join(sent, "item_id")
-    same = F.transform("item", lambda w, j: F.when(F.when(F.col("offset") + j >= 0, F.get("words", F.col("offset") + j)) == w, 1).otherwise(0))
-    laid = laid.select("doc_id", "item_id", F.size("item").alias("n_item"), same.alias("same"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark(), "text")
+    probes = texts.select("doc_id", "mark", word_array("text").alias("words")).select("doc_id", "mark", F.size("words").alias("n"), F.posexplode(seeds("words", masks)).alias("pos", "seed"))
+    hits = probes.join(test, "seed").select("doc_id", "mark", "item_id", (found_at(masks) - F.col("item_at")).cast("int").alias("offset"))
+    # Of one document and item at most as many places as both have words.
+    hits = stored(hits.groupBy("doc_id", "mark", "item_id").agg(F.collect_set("offset").alias("offsets")), "seed-hits")
+    whole = hits.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "offsets")).alias("hits"))
+    laid = whole.join(texts, whole.doc_id.eqNullSafe(texts.doc_id) & (whole.mark == texts.mark)).select(whole.doc_id, whole.mark, "hits", word_array("text").alias("words"))
+    laid = laid.select("doc_id", "mark", "words", F.explode("hits").alias("hit")).select("doc_id", "mark", "words", "hit.*").join(sent, "item_id").withColumn("n_item", F.size("item"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
-    inside = F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_item") - width + 1), lambda i: F.aggregate(F.slice("same", i, width), F.lit(0), lambda a, x: a + x)))
-    laid = laid.withColumns({"window_matched": inside, "matched": F.aggregate("same", F.lit(0), lambda a, x: a + x)})
     need = F.when(F.col("n_item") < WINDOW, F.col("n_item")).otherwise(LEAST)
-    best = laid.where(F.col("window_matched") >= need).groupBy("doc_id", "item_id")
+
+    def at(offset: Column) -> Column:
+        return F.transform("item", lambda w, j: F.when(F.when(offset + j >= 0, F.get("words", offset + j)) == w, 1).otherwise(0))
+
+    def inside(same: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.col("n_item") - width + 1), lambda i: F.aggregate(F.slice(same, i, width), F.lit(0), lambda a, x: a + x)))
+
+    laid = laid.withColumn("same", F.transform("offsets", at))
+    found = F.transform("same", lambda s: F.struct(inside(s).alias("window_matched"), F.aggregate(s, F.lit(0), lambda a, x: a + x).alias("matched")))
+    laid = laid.withColumn("found", F.filter(found, lambda f: f["window_matched"] >= need)).where(F.size("found") > 0)
+    best = [F.array_max(F.col(f"found.{c}")).alias(c) for c in ("window_matched", "matched")]
+    return laid.select("doc_id", "mark", "item_id", "n_item", *best)
+
+
+def mark() -> Column:
+    """Tells the texts of one doc_id apart, and the documents without one."""
+    return F.xxhash64("text").alias("mark")
+
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item, window_matched and matched of every document that holds an item."""
+    best = _held(docs, items).groupBy("doc_id", "item_id")
     return best.agg(F.first("n_item").alias("n_item"), F.max("window_matched").alias("window_matched"), F.max("matched").alias("matched"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    held = overlaps(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    held = _held(docs, items).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
 
 
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
