@@ -48,7 +48,9 @@ def best(sizes, k):
             cap += 1
         for r in runs:
             begins |= {r[c] for c in greedy([sizes[i] for i in r], cap)}
-    return sorted(begins)[1:]
+    cuts, n = sorted(begins)[1:], len(sizes)
+    last = list(range(n - min(k, n) + 1, n))  # each shard that follows has a group left
+    return [min(c, x) for c, x in zip([*cuts, *last[len(cuts) :]], last, strict=True)]
 
 
 def groups(rows):
@@ -85,6 +87,19 @@ def test_hot_group(spark):
     check(spark, [(i, "copy " * 40 if i % 3 == 0 else f"text {i} " * (i % 5)) for i in range(300)], 8)
 
 
+@pytest.mark.parametrize("n", [3, 15, 16, 17, 40])
+def test_no_shard_is_empty(spark, n):
+    rows = [(i, f"{i:04d}") for i in range(n)]
+    check(spark, rows, 16)
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16)
+    assert got.select("shard").distinct().count() == min(n, 16)
+
+
+def test_far_ids(spark):
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 7, 2**62 + 5, 2**63 - 1]
+    check(spark, [(x, f"text {x}" * (1 + i % 3)) for i, x in enumerate(ids)], 4)
+
+
 def test_split_again(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCKS", 4)
     monkeypatch.setattr(sharding, "SPLIT", 8)

@@ -3,8 +3,9 @@
 Documents with equal texts form one atomic group. Groups stand in the order of their smallest doc_id and are cut into
 at most ``n_shards`` contiguous runs so that the largest run has as few bytes as possible: the capacity is found by
 binary search, each try is checked greedily, and the cuts are where the greedy check of the smallest feasible
-capacity puts them. A group larger than an even share forces the capacity up to its own size; it then gets a shard
-of its own and the rest is cut anew into the shards that are left, so that one huge group doesn't leave shards empty.
+capacity puts them, or as much earlier as leaves a group for each shard that follows, so that no shard is empty while
+there are groups. A group larger than an even share forces the capacity up to its own size; it then gets a shard of its
+own and the rest is cut anew into the shards that are left.
 
 The driver never sees all groups. It holds sums over at most ``BLOCKS`` ranges of the order; two bounds on the greedy
 check (cuts anywhere inside a range, cuts only between ranges) narrow the capacity, and only the ranges in which a cut
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .base import dropped, shared_dir, stored, table
 
+#: Keys as unsigned numbers in the same order: the sign bit changes.
+SIGN = 1 << 63
 #: Ranges whose sums the driver holds at first, and to which the ranges with cuts are split in each round.
 BLOCKS = 4096
 SPLIT = 65536
@@ -75,19 +78,19 @@ def cut_points(groups: DataFrame, n_shards: int) -> list[int]:
     low, high = groups.agg(F.min("key"), F.max("key")).first()
     if low is None:
         return []
-    level = max(0, (high - low).bit_length() - (BLOCKS.bit_length() - 1))
+    unsigned = F.col("key").bitwiseXOR(F.lit(-SIGN))
+    level = max(0, ((low + SIGN) ^ (high + SIGN)).bit_length() - (BLOCKS.bit_length() - 1))  # all higher bits are the same
 
     def summed(df: DataFrame, level: int) -> list[tuple]:
-        block = F.expr(f"shiftright(key - {low}L, {level})")
-        found = df.groupBy(block.alias("b")).agg(F.sum("bytes").alias("s"), F.max("bytes").alias("m"), F.count("*").alias("n")).collect()
-        return [((r.b << level) + low, level, r.s, r.m, r.n) for r in found]
+        found = df.groupBy(F.shiftrightunsigned(unsigned, level).alias("b")).agg(F.sum("bytes").alias("s"), F.max("bytes").alias("m"), F.count("*").alias("n")).collect()
+        return [((r.b % (2 * SIGN)) << level, level, r.s, r.m, r.n) for r in found]
 
     rows = summed(groups, level)
     while True:
         o = _Order(rows)
         cuts, doubt = _solve(o, n_shards)
         if not doubt:
-            return cuts
+            break
         split: dict[int, list[int]] = {}
         for i in doubt:
             split.setdefault(o.key[i][1], []).append(o.key[i][0])
@@ -95,8 +98,11 @@ def cut_points(groups: DataFrame, n_shards: int) -> list[int]:
         rows = [r for r in rows if r[0] not in gone or r[4] == 1]
         step = max(1, (SPLIT // len(doubt)).bit_length() - 1)
         for at, keys in split.items():
-            chosen = groups.sparkSession.createDataFrame([((k - low) >> at,) for k in keys], "b long")
-            rows += summed(groups.join(F.broadcast(chosen), F.expr(f"shiftright(key - {low}L, {at})") == F.col("b"), "left_semi"), max(0, at - step))
+            chosen = groups.sparkSession.createDataFrame([((k >> at) - 2 * SIGN * (k >> at >= SIGN),) for k in keys], "b long")
+            rows += summed(groups.join(F.broadcast(chosen), F.shiftrightunsigned(unsigned, at) == F.col("b"), "left_semi"), max(0, at - step))
+    last = sorted(r.key for r in groups.select("key").orderBy(F.desc("key")).limit(n_shards - 1).collect() if r.key != low)
+    found = [k - SIGN for k in cuts][: len(last)]
+    return [min(x, y) for x, y in zip([*found, *last[len(found) :]], last, strict=True)]
 
 
 def _solve(o: _Order, k: int) -> tuple[list[int], set[int]]:
