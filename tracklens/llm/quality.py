@@ -3,15 +3,18 @@
 Each text becomes a vector of five transformed statistics. For each pair of language and source, for each language and
 for all rows an MCD estimate of centre and scatter is fitted by concentration steps from two deterministic starts
 (median with median deviations; mean with covariance): distances of all rows, their quantile at ``SHARE``, then mean
-and covariance of the rows within it. The start with the smaller determinant wins. A document is judged by the finest
-estimate with at least ``LEAST`` rows and rejected if its squared Mahalanobis distance exceeds ``CUT``.
+and covariance of the rows within it. The start with the smaller determinant wins. Every pair of language and source has
+an estimate of its own at any size: centre and scatter of its n rows weigh n against ``PRIOR`` rows of its language's,
+and these in turn n against ``PRIOR`` rows of all. A document is rejected if its squared Mahalanobis distance from its
+pair's estimate exceeds ``CUT``.
 
 Every step is one aggregation over all rows: a task adds up counts, sums and products for each bin of the distance, so
 a hot source costs one row a bin and task in the shuffle, no group is ever gathered, and nothing goes to the driver.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and sources are groups of
 their own; repeated rows are judged alike; an empty table gives an empty result; a statistic that is constant in a
-group keeps the spread ``FLOOR``; clashing extra columns are not read.
+group keeps the spread ``FLOOR``; a pair without any row that passes the base rules is its language's, a language
+without one that of all; clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .base import batches, dropped, id_and_text, stored, table, words_of
 
 SYMBOLS = b"#*$%&|<>"
-STEPS, SHARE, LEAST = 5, 0.75, 400
+STEPS, SHARE = 5, 0.75
+#: Rows of the coarser estimate that a finer one is shrunk with: ten for each statistic.
+PRIOR = 50
 #: Least spread of each transformed statistic: log words, log mean word length, roots of the shares of symbols, repeated lines, repeated words.
 FLOOR = (0.5, 0.08, 0.05, 0.25, 0.25)
 #: Chi-squared quantile of 5 degrees at 1 - 1e-6, and the factor that makes the covariance of the inner 75 % consistent.
@@ -92,7 +97,7 @@ def vectors(found: DataFrame) -> DataFrame:
 
 
 def _solved(sums: DataFrame) -> DataFrame:
-    """From count, sums and products to centre, inverse scatter and its log determinant: a row for each estimate."""
+    """From count, sums and products to centre, scatter, its inverse and its log determinant: a row for each estimate."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -103,10 +108,41 @@ def _solved(sums: DataFrame) -> DataFrame:
                 for i, j in PAIRS:
                     cov[i, j] = cov[j, i] = getattr(r, f"p{i}{j}") / r.n - mean[i] * mean[j]
                 cov = CONSISTENT * cov + np.diag(np.square(FLOOR))
-                out.append((r.key, r.start, r.rows, mean.tolist(), np.linalg.inv(cov)[tuple(zip(*PAIRS, strict=True))].tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(out, columns=["key", "start", "rows", "mean", "inverse", "logdet"])
+                out.append((r.key, r.start, r.rows, mean.tolist(), upper(cov), upper(np.linalg.inv(cov)), float(np.linalg.slogdet(cov)[1])))
+            yield pd.DataFrame(out, columns=["key", "start", "rows", "mean", "scatter", "inverse", "logdet"])
 
-    return sums.mapInPandas(run, "key string, start int, rows long, mean array<double>, inverse array<double>, logdet double")
+    return sums.mapInPandas(run, "key string, start int, rows long, mean array<double>, scatter array<double>, inverse array<double>, logdet double")
+
+
+def upper(m: np.ndarray) -> list[float]:
+    return m[tuple(zip(*PAIRS, strict=True))].tolist()
+
+
+def shrunk(pairs: DataFrame, fitted: DataFrame) -> DataFrame:
+    """pair, mean, inverse: the estimate of each pair, drawn towards its language's and that of all.
+
+    ``pairs``: keys (pair, language, all).
+    """
+    for level in range(3):
+        e = fitted.select(F.col("key").alias(f"k{level}"), F.struct("rows", "mean", "scatter").alias(f"e{level}"))
+        pairs = pairs.withColumn(f"k{level}", F.col("keys")[level]).join(e, f"k{level}", "left")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                mean, cov = None, None
+                for e in (r.e2, r.e1, r.e0):
+                    if e is not None:
+                        share = 1.0 if mean is None else e["rows"] / (e["rows"] + PRIOR)
+                        m, c = np.asarray(e["mean"], float), np.zeros((D, D))
+                        for x, (i, j) in zip(e["scatter"], PAIRS, strict=True):
+                            c[i, j] = c[j, i] = x
+                        mean, cov = (m, c) if mean is None else (share * m + (1 - share) * mean, share * c + (1 - share) * cov)
+                out.append((r.k0, mean.tolist(), upper(np.linalg.inv(cov))) if mean is not None else (r.k0, None, None))
+            yield pd.DataFrame(out, columns=["pair", "mean", "inverse"])
+
+    return pairs.select("k0", "e0", "e1", "e2").mapInPandas(run, "pair string, mean array<double>, inverse array<double>")
 
 
 def distance():
@@ -115,7 +151,7 @@ def distance():
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """key, rows, mean, inverse: the MCD estimate of every group of each level."""
+    """key, rows, mean, scatter: the MCD estimate of every group of each level."""
     x = [f"x{i}" for i in range(D)]
     rows = vectors.where("NOT base_failed").select(*x, F.explode("keys").alias("key"))
     adds = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}{j}") for i, j in PAIRS]]
@@ -127,7 +163,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
     off = shape.join(middle, ["key", "i"]).groupBy("key", "i").agg(F.first("rows").alias("rows"), F.first("m").alias("m"), F.percentile(F.abs(F.col("v") - F.col("m")), 0.5, F.col("n")).alias("d"))
     off = off.groupBy("key").agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(D) for c in "md"])
     spread = [F.pow(1.4826 * F.col(f"d{i}"), 2) * CONSISTENT + FLOOR[i] ** 2 for i in range(D)]
-    robust = off.select("key", F.lit(0).alias("start"), "rows", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.lit(0.0).alias("logdet"))
+    robust = off.select("key", F.lit(0).alias("start"), "rows", F.array(*[F.col(f"m{i}") for i in range(D)]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("scatter"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.lit(0.0).alias("logdet"))
     plain = _solved(rows.groupBy("key").agg(*adds).select(F.lit(1).alias("start"), F.col("n").alias("rows"), "*"))
     now = stored(robust.unionByName(plain), "mcd")
     few = now.count() <= MOST_SENT
@@ -140,20 +176,15 @@ def estimates(vectors: DataFrame) -> DataFrame:
         step = stored(_solved(inner.groupBy("key", "start", "rows").agg(*again)), "mcd")
         dropped(now)
         now = step
-    return now.groupBy("key").agg(F.max("rows").alias("rows"), F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("e")).select("key", "rows", "e.mean", "e.inverse")
+    return now.groupBy("key").agg(F.max("rows").alias("rows"), F.min_by(F.struct("mean", "scatter"), F.struct("logdet", "start")).alias("e")).select("key", "rows", "e.mean", "e.scatter")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Every document with its statistics, ``base_failed`` and ``kept``."""
     v = stored(vectors(stats(docs)), "quality")
-    fitted = stored(estimates(v), "mcd-best")
-    sized = fitted.where((F.col("rows") >= LEAST) | (F.col("key") == '{"level":2}'))
-    out = v
-    for level in range(3):
-        e = sized.select(F.col("key").alias(f"k{level}"), F.struct("mean", "inverse").alias(f"e{level}"))
-        out = out.withColumn(f"k{level}", F.col("keys")[level]).join(e, f"k{level}", "left")
-    best = F.coalesce("e0", "e1", "e2")
-    out = out.withColumns({"mean": best["mean"], "inverse": best["inverse"]})
+    fitted = stored(shrunk(v.select("keys").distinct(), estimates(v)), "mcd-best")
+    sent = F.broadcast(fitted) if fitted.count() <= MOST_SENT else fitted
+    out = v.join(sent, F.col("keys")[0] == F.col("pair"), "left")
     far = F.coalesce(distance() > CUT, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
