@@ -66,3 +66,15 @@ def dropped(*dfs: DataFrame) -> None:
     for df in dfs:
         fs, where = _filesystem(df.sparkSession, df._stored_at)  # type: ignore[attr-defined]
         fs.delete(where, True)
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """The path of a file with these bytes in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}"
+    fs, where = _filesystem(spark, path)
+    if not fs.exists(where):
+        out = fs.create(where)
+        out.write(data)
+        out.close()
+        fs.deleteOnExit(where)
+    return path
