@@ -33,10 +33,32 @@ def test_joined_list_agrees(spark):
 
 @pytest.mark.parametrize("digest", [lambda b: 7, lambda b: len(b)])
 def test_collisions(tmp_path, digest):
-    d = U.Digests(*U.Digests.write(["a", "bb", "cc", "dd"], str(tmp_path), digest))
+    for name, data in zip("ks", U.Digests.pack(["a", "bb", "cc", "dd"], digest), strict=True):
+        (tmp_path / name).write_bytes(data)
+    d = U.Digests(str(tmp_path / "k"), str(tmp_path / "s"))
     assert d.find([b"bb", b"dd", b"zz", b"a", b"b"], digest).tolist() == [True, True, False, True, False]
     assert isinstance(d.keys, np.memmap)
 
 
 def test_empty(spark, tmp_path):
     assert judged(spark, []) == {} and judged(spark, ["http://a/"], blocked=[])[0][3] == "allow"
+
+
+def test_list_from_a_table(spark, tmp_path):
+    """A million entries from Parquet, sent out or joined; repeated, null and capital ones are no trouble."""
+    path = str(tmp_path / "list")
+    spark.range(1_000_000).selectExpr("concat('H', id, '.spam.example', if(id % 3 = 0, '/p/', '')) AS entry").unionByName(spark.createDataFrame([(None,), ("h1.spam.example",)], "entry string")).write.parquet(path)
+    blocked = spark.read.parquet(path)
+    urls = ["http://h1.spam.example", "http://x.H2.spam.example/q", "http://h3.spam.example/p/1", "http://h3.spam.example/q", "http://h1000000.spam.example", "http://spam.example", None] * 2
+    want = ["block", "block", "block", "allow", "allow", "allow", "allow"] * 2
+    for most in (64 << 20, U.MOST_BYTES):
+        got = judged(spark, urls, blocked=blocked, most_bytes=most)
+        assert [got[i][3] for i in range(14)] == want
+
+
+def test_very_long_hosts(spark):
+    """Only as many ends of a host are probed as the list has depths."""
+    host = ".".join(["a"] * 200_000) + ".q.org"
+    shape = U.Shape.of(["q.org", "b.c.org/x/"])
+    assert len(U.candidates(host, "/" + "y" * 100_000, shape)) == 4
+    assert judged(spark, [f"http://{host}/x", "http://" + "." * 100_000], blocked=["q.org"])[0][3] == "block"

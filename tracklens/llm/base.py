@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklens.sources.durable import dropped, shared_dir, stored  # noqa: F401
+from tracklens.sources.durable import dropped, shared_dir, shared_file, stored  # noqa: F401
 
 #: The characters that separate words, for Java and RE2 patterns; ``bytes.split()`` splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -1,25 +1,27 @@
 """URL rules and a digest list (op4).
 
-A blocked URL is found in a sorted array of 64-bit xxhash keys. The array and the full strings are two files that every
-executor fetches once (``SparkContext.addFile``) and memory-maps; the candidates of a whole batch of URLs are probed by
-one vectorised binary search, and each hit is confirmed against the stored full string, so that two strings with one
-digest are told apart. A list is only sent out up to ``MOST_BYTES``; a longer one is joined instead (``joined``), with
-the candidates of each URL as keys.
+A blocked URL is found in a sorted array of 64-bit xxhash keys. The array and the full strings are two files, written once
+to the shared folder under a name made of their contents; every executor fetches them once (``SparkContext.addFile``) and
+memory-maps them. The candidates of a whole batch of URLs are probed by one vectorised binary search, and each hit is
+confirmed against the stored full string, so that two strings with one digest are told apart. The list is a sequence or a
+table (column ``entry``, any number of rows). It is only sent out up to ``MOST_BYTES``; a longer one stays a table and is
+joined (``joined``), with the candidates of each URL as keys.
 
 A list entry is ``host`` or ``host/path``, matched as rules are: it fits its host and all subdomains if the URL's path
-starts with the entry's path; an entry without a slash fits any path.
+starts with the entry's path; an entry without a slash fits any path. Of a URL only those starts of the path and ends of
+the host are candidates whose length and number of labels some entry has, however many dots the host holds.
 
 Defined cases: a null URL, an empty one, or one without ``://`` has an empty host and path, no rule, and is allowed;
 host labels are compared after A-Z are lower-cased and no other letter; of two rules of one length the one with the
-longer host wins; repeated rows are judged alike; an empty table gives an empty result; extra columns are not read.
+longer host wins; null entries are none; repeated rows are judged alike; an empty table gives an empty result; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import shared_file, table
 
-#: Above this size a list is joined, not sent to every executor.
-MOST_BYTES = 256 << 20
+#: Above this size, with 16 bytes an entry, a list is joined, not sent to every executor.
+MOST_BYTES = 32 << 20
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Hosts that the query's list blocks.
+#: Hosts that the query blocks where no list is given: the tables hold none.
 BLOCKED = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
@@ -68,14 +70,11 @@ class Digests:
         self.raw = raw[8 * (n + 1) :]
 
     @staticmethod
-    def write(entries: list[str], folder: str, digest=xxhash.xxh64_intdigest) -> tuple[str, str]:
-        name = uuid.uuid4().hex
+    def pack(entries: Sequence[str], digest=xxhash.xxh64_intdigest) -> tuple[bytes, bytes]:
+        """The contents of the two files."""
         ordered = sorted((digest(e), e) for e in {e.encode() for e in entries})
-        np.array([k for k, _ in ordered], np.uint64).tofile(keys := f"{folder}/{name}.keys")
-        with open(strings := f"{folder}/{name}.strings", "wb") as out:
-            np.cumsum([0] + [len(e) for _, e in ordered], dtype=np.int64).tofile(out)
-            out.write(b"".join(e for _, e in ordered))
-        return keys, strings
+        places = np.cumsum([0] + [len(e) for _, e in ordered], dtype=np.int64)
+        return np.array([k for k, _ in ordered], np.uint64).tobytes(), places.tobytes() + b"".join(e for _, e in ordered)
 
     def find(self, asked: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
         """For each string whether the list holds it: one binary search for all, then a look at the full strings."""
@@ -94,37 +93,51 @@ class Digests:
         return found
 
 
-def candidates(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
-    """Every entry that could fit: host suffixes, with each path length that occurs among the entries (0: host alone)."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))] if host else []
-    return [h + path[:n] for h in hosts for n in lengths if n <= len(path)]
+class Shape(NamedTuple):
+    """Numbers of labels and lengths of the path that occur among some entries."""
 
+    depths: tuple[int, ...]
+    lengths: tuple[int, ...]
+
+    @staticmethod
+    def of(entries) -> Shape:
+        split = [parts(e) for e in entries]
+        return Shape(tuple(sorted({h.count(".") + 1 for h, _ in split})), tuple(sorted({len(p) for _, p in split})))
 
-def best_rule(host: str, path: str, rules: dict[str, str], lengths: tuple[int, ...]) -> str | None:
-    fits = [c for c in candidates(host, path, lengths) if c in rules]
-    return max(fits, key=lambda c: (len(c), c.find("/"))) if fits else None
 
+def candidates(host: str, path: str, shape: Shape) -> list[str]:
+    """Every entry that could fit."""
+    labels = host.rsplit(".", shape.depths[-1]) if host and shape.depths else []  # the first may hold several
+    n = host.count(".") + 1
+    hosts = [host if d == n else ".".join(labels[-d:]) for d in shape.depths if labels and d <= n]
+    return [h + path[:k] for h in hosts for k in shape.lengths if k <= len(path)]
 
-def _lengths(entries) -> tuple[int, ...]:
-    return tuple(sorted({len(parts(e)[1]) for e in entries}))
+
+def best_rule(host: str, path: str, rules: dict[str, str], shape: Shape) -> str | None:
+    fits = [c for c in candidates(host, path, shape) if c in rules]
+    return max(fits, key=lambda c: (len(c), c.find("/"))) if fits else None
 
 
 _open: dict[tuple[str, str], Digests] = {}
 
 
-def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED, most_bytes: int = MOST_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, blocked: DataFrame | Sequence[str] = BLOCKED, most_bytes: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page. Rules come first, then the list, then ``allow``."""
     spark = pages.sparkSession
     rules = {"".join(parts(r)): v for r, v in rules}
+    if isinstance(blocked, DataFrame):
+        size = blocked.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
+        if size > most_bytes:
+            return joined(pages, rules, blocked)
+        blocked = [r.entry for r in blocked.where("entry IS NOT NULL").select("entry").collect()]  # at most ``most_bytes``
     entries = sorted({"".join(parts(b)) for b in blocked})
     if sum(16 + len(e.encode()) for e in entries) > most_bytes:
-        return joined(pages, rules, spark.createDataFrame([(e,) for e in entries], "entry string"), _lengths(entries))
-    keys, strings = Digests.write(entries, tempfile.gettempdir())
-    for f in (keys, strings):
-        spark.sparkContext.addFile(f)
-    names = os.path.basename(keys), os.path.basename(strings)
-    rule_lengths, list_lengths = _lengths(rules), _lengths(entries)
+        return joined(pages, rules, spark.createDataFrame([(e,) for e in entries], "entry string"))
+    packed = Digests.pack(entries)
+    names = tuple(f"{kind}-{xxhash.xxh3_128_hexdigest(data)}" for kind, data in zip(("keys", "strings"), packed, strict=True))
+    for name, data in zip(names, packed, strict=True):
+        spark.sparkContext.addFile(shared_file(spark, name, data))
+    rule_shape, list_shape = Shape.of(rules), Shape.of(entries)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if names not in _open:
@@ -133,11 +146,11 @@ def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED, most_bytes: int = MOST
         digests = _open[names]
         for b in rows:
             split = [host_and_path(u) for u in b.column(1).to_pylist()]
-            rule = [best_rule(h, p, rules, rule_lengths) for h, p in split]
+            rule = [best_rule(h, p, rules, rule_shape) for h, p in split]
             asked, whose = [], []
             for i, (h, p) in enumerate(split):
                 if rule[i] is None:
-                    own = candidates(h, p, list_lengths)
+                    own = candidates(h, p, list_shape)
                     asked += [c.encode() for c in own]
                     whose += [i] * len(own)
             hit = np.zeros(len(split), bool)
@@ -149,14 +162,21 @@ def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED, most_bytes: int = MOST
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(run, SCHEMA)
 
 
-def joined(pages: DataFrame, rules: dict[str, str], entries: DataFrame, list_lengths: tuple[int, ...]) -> DataFrame:
-    """The same verdicts where the list is too long to send out: distinct hosts and path starts are joined with it."""
+def joined(pages: DataFrame, rules: dict[str, str], entries: DataFrame) -> DataFrame:
+    """The same verdicts where the list is too long to send out: distinct hosts and path starts are joined with it.
+
+    Only the numbers of labels and path lengths that occur among the entries reach the driver.
+    """
+    host = F.substring_index("entry", "/", 1)
+    lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    entries = entries.where("entry IS NOT NULL").select(F.concat(lower, F.expr("substr(entry, length(substring_index(entry, '/', 1)) + 1)")).alias("entry"), host.alias("h")).distinct()
+    shape = entries.agg(F.array_sort(F.collect_set(F.size(F.split("h", "[.]")))), F.array_sort(F.collect_set(F.length("entry") - F.length("h")))).first()
     none = judge(pages, [*rules.items()], ())
-    heads = none.where("rule IS NULL").select("host", "path").distinct()
-    keys = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
-    tails = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in list_lengths])
-    asked = heads.where("host <> ''").select("host", "path", F.explode(keys).alias("h")).select("host", "path", "h", F.explode(tails).alias("t")).where("t IS NOT NULL")
-    hit = asked.select("host", "path", F.concat("h", "t").alias("entry")).join(entries.distinct(), "entry", "left_semi").select("host", "path").distinct().withColumn("hit", F.lit(True))
+    heads = none.where("rule IS NULL AND host <> ''").select("host", "path").distinct()
+    hosts = F.transform(F.filter(F.lit(shape[0] or [0]), lambda d: (d > 0) & (d <= F.size(F.split("host", "[.]")))), lambda d: F.call_function("substring_index", F.col("host"), F.lit("."), -d))
+    tails = F.transform(F.filter(F.lit(shape[1] or [0]), lambda n: n <= F.length("path")), lambda n: F.substring("path", 1, n))
+    asked = heads.select("host", "path", F.explode(hosts).alias("h")).select("host", "path", "h", F.explode(tails).alias("t"))
+    hit = asked.select("host", "path", F.concat("h", "t").alias("entry")).join(entries, "entry", "left_semi").select("host", "path").distinct().withColumn("hit", F.lit(True))
     out = none.join(hit, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNull() & F.col("hit"), "block").otherwise(F.col("verdict")).alias("verdict"))
 
