@@ -8,14 +8,14 @@ Where two sets meet at such an n-gram, the lengths and the two positions bound t
 suffix filter bounds the difference from below: each set carries the parities of its n-grams in ``64 * LANES`` cells, and
 cells of different parity are different n-grams.
 
-What remains is verified once per pair on the full sets. To lose no link without making all pairs of a large group,
-each meeting place compares its members with one of them, at random for each place and turn; a document verifies the
-partner that its parities put nearest, and what links is contracted to components. That settles places of two members;
-at the others turns go on while they shorten what is left. Then all members outside a place's largest component meet
-everything there that is not yet in their component and that the bounds leave. From these pairs and those that the
-first turn put off, ``NEAREST`` times the nearest pair of every component is verified and contracted, then all pairs
-that are still apart. So every pair is linked, filtered out by a proven bound, verified, or already known to be
-connected.
+What remains is verified once per pair on the full sets. At a place of up to ``SMALL`` members all pairs meet, at most
+half as many for each row. To lose no link without making all pairs of a larger group, its place compares the members
+with one of them, at random for each place and turn; a document verifies the partner that its parities put nearest, and
+what links is contracted to components. Turns go on while they shorten what is left. Then all members outside a larger
+place's main component meet everything there that is not yet in their component and that the bounds leave. From these
+pairs and those of the small places ``NEAREST`` times the nearest pair of every component is verified and contracted,
+then all pairs that are still apart. So every pair is linked, filtered out by a proven bound, verified, or already known
+to be connected.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a text of fewer than n words has its whole
 sequence as its one element; equal texts link; rows with one doc_id are one document, whose every text links for it;
@@ -45,7 +45,7 @@ LANES = 8
 MOST_IDS = 1_000_000
 #: Documents whose component may be broadcast: at most this many pairs of longs, 16 MB.
 MOST_KNOWN = 1_000_000
-NEAREST = 3
+NEAREST, SMALL = 3, 16
 SIG = [f"s{i}" for i in range(LANES)]
 PAIR = ["a", "b", "left", "right"]
 
@@ -216,20 +216,20 @@ def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     def apart(pairs: DataFrame) -> DataFrame:
         return found.label(found.label(pairs.drop("left", "right"), "a", "left"), "b", "right").where("left <> right")
 
-    first_turn = stored(_marked(_stars(found.label(met), percent, 0), marks, percent), "first-turn")
-    link(nearest(first_turn, "a", "b"))
+    small = stored(_marked(_small(met, percent), marks, percent), "small-places")
+    link(nearest(apart(small), "a", "b"))
     placed = stored(_larger(met, marks), "placed")
     dropped(met, marks)
     rows, left = placed.count(), None
-    for turn in count(1):  # each but the first takes away a tenth of the pairs that are left
+    for turn in count():  # each but the first takes away a tenth of the pairs that are left
         here = stored(found.label(placed), "labelled")
         was, left = left, _left(here)
         if left <= rows or (was is not None and 10 * left > 9 * was):
             break
-        link(nearest(untried(_stars(here, percent, turn, SIG)), "a", "b"))
+        link(nearest(untried(_stars(here, percent, turn)), "a", "b"))
         dropped(here)
-    rest = stored(apart(untried(_rest(here, percent).unionByName(first_turn.select("a", "b", "apart")).groupBy("a", "b").agg(F.min("apart").alias("apart")))), "rest")
-    dropped(here, placed, first_turn)
+    rest = stored(apart(untried(_rest(here, percent).unionByName(small).groupBy("a", "b").agg(F.min("apart").alias("apart")))), "rest")
+    dropped(here, placed, small)
     for turn in range(NEAREST + 1):
         if rest.isEmpty():
             break
@@ -259,49 +259,58 @@ def _places(first: DataFrame, percent: int) -> DataFrame:
     return places.join(met, "gram")
 
 
-def _larger(met: DataFrame, marks: DataFrame) -> DataFrame:
-    """The places of more than two, with the parities and the place before."""
-    more = met.where("c > 2").drop("c").join(marks, ["id", "n"])
-    return more.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
+def _bounds(percent: int) -> tuple[Column, Column]:
+    """Of rows x and y of a place: whether lengths and positions allow a link, and the largest difference that links."""
+    need = needed("x.n", "y.n", percent)
+    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return reach >= need, F.col("x.n") + F.col("y.n") - 2 * need
+
+
+def _differ() -> Column:
+    """The least difference of x and y by their parities."""
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIG), F.lit(0))
+
+
+def _small(met: DataFrame, percent: int) -> DataFrame:
+    """a < b, and their sizes, of all pairs at places of up to ``SMALL`` that lengths and positions don't rule out."""
+    rows = met.where(F.col("c") <= SMALL)
+    pairs = rows.alias("x").join(rows.alias("y"), "gram").where((F.col("x.id") < F.col("y.id")) & _bounds(percent)[0])
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _marked(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the parities don't rule out, with their least relative difference."""
+    allowed = F.col("x.n") + F.col("y.n") - 2 * needed("x.n", "y.n", percent)
+    both = pairs.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
+    return both.where(_differ() <= allowed).groupBy("a", "b").agg(F.min(_differ() / F.greatest(allowed, F.lit(1))).alias("apart"))
 
 
-def _apart(x: str, y: str, percent: int) -> tuple[Column, Column]:
-    """The least difference of two sets by their parities, and the largest that links."""
-    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SIG), F.lit(0))
-    return apart, F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * needed(f"{x}.n", f"{y}.n", percent)
+def _larger(met: DataFrame, marks: DataFrame) -> DataFrame:
+    """The larger places, with the parities and the larger place before."""
+    more = met.where(F.col("c") > SMALL).drop("c").join(marks, ["id", "n"])
+    return more.withColumn("before", F.lag("gram").over(Window.partitionBy("id", "n", SIG[0]).orderBy("pos")))
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column, sig: list[str] = SIG) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, percent: int, more: Column) -> DataFrame:
     """Pairs of one place that no bound rules out, smaller id first, each once with its least relative difference."""
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (F.col("x.component") != F.col("y.component")) & (reach >= needed("x.n", "y.n", percent))
-    ratio = F.lit(0.0)
-    if sig:
-        apart, allowed = _apart("x", "y", percent)
-        fits, ratio = fits & (apart <= allowed), apart / F.greatest(allowed, F.lit(1))
+    reach, allowed = _bounds(percent)
+    fits = (F.col("x.component") != F.col("y.component")) & reach & (_differ() <= allowed)
     ends = [F.struct(F.col(f"{t}.id"), F.col(f"{t}.component")) for t in "xy"]
     met = left.alias("x").join(right.alias("y"), "gram").where(more & fits)
-    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("t"), ratio.alias("apart"))
+    met = met.select(F.least(*ends).alias("s"), F.greatest(*ends).alias("t"), (_differ() / F.greatest(allowed, F.lit(1))).alias("apart"))
     return met.select(F.col("s.id").alias("a"), F.col("t.id").alias("b"), F.col("s.component").alias("left"), F.col("t.component").alias("right"), "apart").groupBy(*PAIR).agg(F.min("apart").alias("apart"))
 
 
-def _marked(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the parities don't rule out."""
-    apart, allowed = _apart("x", "y", percent)
-    both = pairs.drop("apart").join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
-    return both.where(apart <= allowed).groupBy(*PAIR).agg(F.min(apart / F.greatest(allowed, F.lit(1))).alias("apart"))
-
-
 def _left(here: DataFrame) -> int:
     """At most how many pairs ``_rest`` would look at."""
     sizes = here.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
     return sizes.agg(F.sum((F.col("n") - F.col("most")) * F.col("n"))).first()[0] or 0
 
 
-def _stars(here: DataFrame, percent: int, turn: int, sig: list[str] = []) -> DataFrame:  # noqa: B006
+def _stars(here: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each member of a place with one of them, another one each turn."""
-    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *sig), F.struct(F.xxhash64("id", "gram", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
-    return _pairs(here, centre, percent, F.lit(True), sig)
+    centre = here.groupBy("gram").agg(F.min_by(F.struct("id", "n", "pos", "component", *SIG), F.struct(F.xxhash64("id", "gram", F.lit(turn)), "id", "pos")).alias("c")).select("gram", "c.*")
+    return _pairs(here, centre, percent, F.lit(True))
 
 
 def _rest(here: DataFrame, percent: int) -> DataFrame:
