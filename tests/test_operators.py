@@ -5,10 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracklens import schema
 from tracklens.operators import clusters as C
 from tracklens.operators import encoders, ranking
 from tracklens.operators import similarity as S
 from tracklens.operators.graph import star_forest
+from tracklens.plans.preprocess import preprocessed, trained_vectors
+from tracklens.plans.reports import assignee_by_component
 from tracklens.sources import issues as I
 from tracklens.streaming.texts import term_counts, token_stream
 
@@ -57,12 +60,88 @@ def test_edges(spark):
     assert [(r.src, r.dst) for r in S.edges(df, "id", "v", 2, 0.8).collect()] == [(1, 2)]
     assert [(r.src, r.dst) for r in S.approximate_edges(df, "id", "v", 2, 0.8).collect()] == [(1, 2)]
     assert S.edges(df.limit(0), "id", "v", 2, 0.8).count() == 0
+    with pytest.raises(ValueError):
+        S.edges(df, "id", "v", 2, 0.8, most=1)
+
+
+def test_recall_of_approximate_edges(spark):
+    """Of planted pairs around and above the threshold at least nine in ten are found, and nothing below it."""
+    r = random.Random(6)
+    unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
+    rows = []
+    for i in range(150):
+        v = unit([r.gauss(0, 1) for _ in range(32)])
+        rows += [(2 * i, v), (2 * i + 1, unit([x + r.gauss(0, 0.06 + 0.0005 * i) for x in v]))]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    exact = {(e.src, e.dst) for e in S.edges(df, "id", "v", 32, 0.85).collect()}
+    near = {(e.src, e.dst) for e in S.approximate_edges(df, "id", "v", 32, 0.85).collect()}
+    assert len(exact) > 80 and near <= exact and len(near) >= 0.9 * len(exact)
 
 
 def test_mean_vectors(spark):
     words = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "z")], "id long, word string")
     vectors = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 3.0])], "word string, v array<double>")
     assert sorted(tuple(r) for r in S.mean_vectors(words, vectors).collect()) == [(1, 0, 2.0), (1, 1, 1.0)]
+    assert [tuple(r) for r in S.mean_vectors(words, vectors, whole=True).collect()] == [(1, [2.0, 1.0])]
+
+
+def test_preprocess(spark):
+    issues = spark.createDataFrame([(1, "The cats ran 12 miles {noformat}raw cats{noformat} home"), (2, None), (3, "the")], "issue_id long, summary string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("ran", "run")], "word string, lemma string")
+    vectors = spark.createDataFrame([("cat", [3.0, 0.0]), ("run", [0.0, 3.0])], "word string, v array<double>")
+    got = {r.issue_id: r for r in preprocessed(issues, ["the"], lemmas, vectors).collect()}
+    assert got[1].tokens == ["cat", "run", "miles", "home"] and list(got[1].vector) == [1.5, 1.5] and got[1].error is None
+    assert got[2].tokens == [] == got[3].tokens and got[2].vector is None and got[2].cleaned == ""
+    assert {r.issue_id: r.tokens for r in preprocessed(issues, ["the"]).collect()}[1] == ["cats", "ran", "miles", "home"]
+
+
+def test_trained_vectors(spark):
+    lists = spark.createDataFrame([(["a", "b", "c"] * 4,), (["b", "c"] * 3,)], "tokens array<string>")
+    a, b = (sorted((r.word, tuple(r.v)) for r in trained_vectors(lists, 8, 5).collect()) for _ in range(2))
+    assert a == b and [w for w, _ in a] == ["b", "c"] and all(len(v) == 8 for _, v in a)
+
+
+def test_equal_rows_have_one_first_appearance(spark):
+    issues = spark.createDataFrame([(f"A-{i}", "A", f"2020-01-01T00:0{i}:00.000+0000", f"dev{j}") for i in (1, 1, 2) for j in range(20)], "issue_key string, project string, create_time string, assignee string")
+    parts = spark.createDataFrame([("A-1", "server"), ("A-2", "server")], "issue_key string, component string")
+    points = assignee_by_component(issues, parts, "A").collect()
+    assert points and all(sum(p.first_appearance for p in points if p.assignee == a) == 1 for a in {p.assignee for p in points})
+
+
+def test_schemas(spark):
+    rows = spark.createDataFrame([("7", "A-1", "x")], "Component string, ISSUE_KEY string, more string")
+    out = I.conformed(rows, schema.ISSUE_COMPONENT)
+    assert out.schema == schema.ISSUE_COMPONENT and [tuple(r) for r in out.collect()] == [("A-1", "7")]
+    with pytest.raises(ValueError):
+        I.conformed(rows, schema.EDGE)
+    spark.sql("DROP TABLE IF EXISTS tracklens_test")
+    for _ in range(2):
+        I.saved(rows, schema.ISSUE_COMPONENT, "tracklens_test")
+    assert spark.table("tracklens_test").count() == 2
+    spark.sql("DROP TABLE tracklens_test")
+
+
+def test_jdbc_options():
+    got = I.jdbc_options("jdbc:x://h/issue", "t", "u", "p", key="id", high=9, parts=4, fetchsize="5")
+    assert got == {"url": "jdbc:x://h/issue", "dbtable": "t", "user": "u", "password": "p", "fetchsize": "5", "partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "4"}
+    assert "partitionColumn" not in I.jdbc_options("j", "t", "u", "p")
+
+
+def test_members(spark):
+    found = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, component long")
+    assert sorted(tuple(r) for r in C.members(found, 2).collect()) == [(1, 2, 1), (1, 2, 2)]
+
+
+def test_dense_matrix_in_splits(spark, tmp_path):
+    """Lines keep their number when the file is read by many tasks."""
+    n = 120
+    (tmp_path / "m.csv").write_text("".join(",".join(str(float(i * n + j)) for j in range(n)) + "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        cells = I.read_dense_matrix(spark, str(tmp_path / "m.csv"), -1.0)
+        assert cells.count() == n * (n - 1) // 2 and cells.where(f"sim <> src * {n} + dst").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_labels(spark):

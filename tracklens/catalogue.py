@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens import region_sql as Q
 from tracklens.functions import regions as R
 from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
@@ -12,6 +13,7 @@ from tracklens.operators import clusters as C
 from tracklens.operators import similarity as S
 from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
+from tracklens.plans.preprocess import preprocessed
 from tracklens.sources import issues as I
 from tracklens.sources.fixtures import views, with_views
 
@@ -130,8 +132,7 @@ def parse_create_time(v, spark, sf):
 
 # Text ----------------------------------------------------------------------------------------------------------------
 
-#: White space as Unicode has it, for RE2.
-_SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE = Q.SPACE
 _URL = rf"https?://[^{_SPACE}]+"
 
 
@@ -169,8 +170,11 @@ def colour_regions(v, spark, sf):
     return _exploded(v, X.colour_regions)
 
 
-@query(with_views(r"""SELECT issue_id, CASE WHEN c IS NULL THEN description ELSE string_agg(gap || CASE WHEN o <= len(m) THEN ' ' || substr(m[o], length(regexp_extract(m[o], '(?s)^\{color.*?\}')) + 1, length(m[o]) - length(regexp_extract(m[o], '(?s)^\{color.*?\}')) - 7) || ' ' ELSE '' END, '' ORDER BY o) END AS stripped
- FROM (SELECT issue_id, description, m, g, len(g) AS c, unnest(range(1, len(g) + 1)) AS o, unnest(g) AS gap FROM (SELECT issue_id, description, regexp_extract_all(description, '(?s)\{color.*?\}.*?\{color.*?\}') AS m, string_split_regex(description, '(?s)\{color.*?\}.*?\{color.*?\}') AS g FROM issues WHERE description IS NOT NULL)) GROUP BY issue_id, description, c"""))
+_STRIPPED = r"""SELECT issue_id, CASE WHEN c IS NULL THEN description ELSE string_agg(gap || CASE WHEN o <= len(m) THEN ' ' || substr(m[o], length(regexp_extract(m[o], '(?s)^\{color.*?\}')) + 1, length(m[o]) - length(regexp_extract(m[o], '(?s)^\{color.*?\}')) - 7) || ' ' ELSE '' END, '' ORDER BY o) END AS stripped
+ FROM (SELECT issue_id, description, m, g, len(g) AS c, unnest(range(1, len(g) + 1)) AS o, unnest(g) AS gap FROM (SELECT issue_id, description, regexp_extract_all(description, '(?s)\{color.*?\}.*?\{color.*?\}') AS m, string_split_regex(description, '(?s)\{color.*?\}.*?\{color.*?\}') AS g FROM issues WHERE description IS NOT NULL)) GROUP BY issue_id, description, c"""
+
+
+@query(with_views(_STRIPPED))
 def color_strip(v, spark, sf):
     return v["issues"].where("description IS NOT NULL").select("issue_id", X.without_colour(F.col("description")).alias("stripped"))
 
@@ -228,33 +232,58 @@ def term_frequency(v, spark, sf):
     return _kept(v).select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query()
+_SENTENCES = ("sentences", rf"""SELECT issue_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS sentence FROM (SELECT issue_id, string_split(regexp_replace(trim(summary), '([.!?])[{_SPACE}]+([\p{{Lu}}\p{{Nd}}"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM issues WHERE summary IS NOT NULL)""")
+
+
+@query(with_views(f"SELECT issue_id, sentence::INT AS sentence, array_to_string(list_transform(regexp_extract_all(t, '{_TOKEN}'), lambda x: lower(x)), ' ') AS tokens FROM sentences", _SENTENCES))
 def paragraph_tokens(v, spark, sf):
     rows = v["issues"].where("summary IS NOT NULL").select("issue_id", F.posexplode(X.sentence_tokens(F.col("summary"))).alias("sentence", "t"))
     return rows.select("issue_id", "sentence", F.array_join("t", " ").alias("tokens"))
 
 
-@query()
+@query(with_views("SELECT DISTINCT assignee, '#' || upper(substr(md5(assignee), 1, 6)) AS colour FROM issues WHERE assignee IS NOT NULL"))
 def assignee_colour(v, spark, sf):
     return v["issues"].where("assignee IS NOT NULL").select("assignee").distinct().withColumn("colour", X.colour_of(F.col("assignee")))
 
 
-@query()
+def _cleaned(text: str) -> list[tuple[str, str]]:
+    """Views up to ``cleaned`` for a column of the issues."""
+    explicit = _EXPLICIT[1].replace("0 AS kind", "0 AS kind, ord").replace("SELECT issue_id, 1,", "SELECT issue_id, 1, ord,")
+    return [
+        ("stripped", f"SELECT issue_id, stripped AS s FROM ({_STRIPPED.replace('description', text)})"),
+        _places("urls", "s", _URL, "stripped"),
+        _places("noformats", "s", r"(?s)\{noformat\}.*?\{noformat\}", "stripped"),
+        _places("codes", "s", r"(?s)\{code.*?\}.*?\{code.*?\}", "stripped"),
+        ("explicits", explicit),
+        *Q.cleaned(),
+    ]
+
+
+@query(with_views("SELECT issue_id, coalesce(s, '') AS raw, coalesce(n_regions, 0)::INT AS n_regions, coalesce(cleaned, '') AS cleaned, NULL::VARCHAR AS error FROM issues LEFT JOIN stripped USING (issue_id) LEFT JOIN cleaned USING (issue_id)", *_cleaned("description")))
 def clean_text(v, spark, sf):
     rows = v["issues"].select("issue_id", R.clean_text(F.col("description"), compat=True).alias("c"))
     return rows.select("issue_id", "c.raw", F.size("c.regions").alias("n_regions"), "c.cleaned", "c.error")
 
 
-@query()
+_WHOLE = ("whole", "SELECT issue_id, 0 AS part, description AS t FROM issues WHERE description IS NOT NULL")
+
+
+@query(with_views('SELECT issue_id, "start"::INT AS "start", "end"::INT AS "end", tag, content FROM stack', _WHOLE, *Q.stack("whole")))
 def stack_trace_regions(v, spark, sf):
     return _exploded(v, lambda t: R.found_regions(t, "stack", compat=True))
 
 
-@query()
+@query(with_views('SELECT issue_id, "start"::INT AS "start", "end"::INT AS "end", tag, content FROM code', _WHOLE, *Q.code("whole")))
 def code_regions(v, spark, sf):
     return _exploded(v, lambda t: R.found_regions(t, "code", compat=True))
 
 
+@query(with_views(f"""SELECT issue_id, cleaned, NULL::VARCHAR AS error, array_to_string(list_filter(list_transform(regexp_extract_all(cleaned, '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')), ' ') AS tokens
+ FROM (SELECT issue_id, coalesce(cleaned, '') AS cleaned FROM issues LEFT JOIN cleaned USING (issue_id))""", *_cleaned("summary")))
+def preprocess(v, spark, sf):
+    return preprocessed(v["issues"], STOP_WORDS, compat=True).select("issue_id", "cleaned", "error", F.array_join("tokens", " ").alias("tokens"))
+
+
 # Vectors, clusters and their score -----------------------------------------------------------------------------------
 
 _WORD_VECTORS = ("word_vectors", "SELECT vec_id, embedding FROM embeddings")
@@ -310,9 +339,14 @@ def connected_components(v, spark, sf):
     return _clusters(spark, sf)
 
 
-@query(with_views("SELECT component, count(*) AS size, array_to_string(list(id ORDER BY id), ' ') AS members FROM clusters GROUP BY 1 HAVING count(*) >= 5", *_GRAPH))
+@query(with_views("SELECT component, count(*) AS size FROM clusters GROUP BY 1 HAVING count(*) >= 5", *_GRAPH))
 def cluster_sizes(v, spark, sf):
-    return C.sizes(_clusters(spark, sf), 5).select("component", "size", F.array_join("members", " ").alias("members"))
+    return C.sizes(_clusters(spark, sf), 5)
+
+
+@query(with_views("SELECT component, size, id FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM clusters) WHERE size >= 5", *_GRAPH))
+def cluster_members(v, spark, sf):
+    return C.members(_clusters(spark, sf), 5)
 
 
 _TERMS = ("terms", "SELECT issue_id AS id, lower(trim(l)) AS term FROM (SELECT issue_id, unnest(string_split_regex(labels, '[;,]')) AS l FROM issues) WHERE trim(l) <> '' UNION ALL SELECT issue_id, component FROM issues JOIN issue_component USING (issue_key)")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +12,8 @@ CODE_PAIR = r"(?s)\{code.*?\}.*?\{code.*?\}"
 COLOUR_PAIR = r"(?s)\{color.*?\}.*?\{color.*?\}"
 LINE_COMMENT = r"(?U)(?s)\s*//.*?[\n\r]"
 TOKEN = r"(?U)(?:[a-zA-Z]\.)+|\$?\d+(?:\.\d+)*%?|\w+(?:[-'.]\w+)*|\.\.\.|[.,;\"?():-_`]"
-NUMBER = r"^-?[0-9]+\.?[0-9]*$"
+DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
+NUMBER = rf"^-?{DIGIT}+\.?{DIGIT}*$"
 
 REGIONS = "array<struct<start:int,end:int,tag:string,content:string>>"
 
@@ -124,7 +123,7 @@ def sentence_tokens(text: Column) -> Column:
 
 
 def is_number(token: Column) -> Column:
-    """An integer or a decimal that begins with a digit, with or without a minus."""
+    """An integer or a decimal that begins with a digit, with or without a minus; digits of all scripts, raised and lowered ones."""
     return token.rlike(NUMBER)
 
 
@@ -141,7 +140,7 @@ def label_names(labels: Column) -> Column:
 
 def colour_of(name: Column) -> Column:
     """A colour for a name, the same each time."""
-    return F.concat(F.lit("#"), F.lpad(F.hex(F.crc32(name.cast("binary")) % 16777216), 6, "0"))
+    return F.concat(F.lit("#"), F.upper(F.substring(F.md5(name.cast("binary")), 1, 6)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -152,11 +151,3 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
-
-#: Chat-message leftovers as plain extractors: bracketed time, speaker, reply marks.
-EXTRACTORS = {
-    "time": re.compile(r"\[\d{4}-\d{2}-\d{2}\s+(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d\]").pattern,
-    "speaker": r"<([a-zA-Z0-9\-~_.]+)>",
-    "colon_reply": r"([a-zA-Z0-9]+):",
-    "at_reply": r"@([a-zA-Z0-9]+)",
-}

@@ -2,7 +2,8 @@
 
 Vectors become unit vectors in blocks of at most ``BLOCK`` rows; each pair of blocks is one matrix product in an Arrow
 function, so every pair of vectors is computed once and only edges leave the task. The work grows with the square of
-the number of vectors; beyond ``EXACT_ROWS`` use ``approximate_edges``, random projections that compare neighbours only.
+the number of vectors; beyond ``EXACT_ROWS`` it is refused, and ``approximate_edges``, random projections that compare
+neighbours only, stands in.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ def usable(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
     return vectors.where((F.size(v) == dim) & (norm > 0)).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float) -> DataFrame:
-    """src < dst and their cosine above ``above``."""
+def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, most: int = EXACT_ROWS) -> DataFrame:
+    """src < dst and their cosine above ``above`` (F6, F8, J3); raises for more than ``most`` vectors."""
     rows = usable(vectors, key, column, dim)
-    n = max(1, -(-rows.count() // BLOCK))
+    total = rows.count()
+    if total > most:
+        raise ValueError(f"{total} vectors are more than {most}: raise `most` or use approximate_edges")
+    n = max(1, -(-total // BLOCK))
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     # Each block meets every other once, under the key of the pair.
     met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"))
@@ -75,11 +80,13 @@ def best_of_parts(part_edges: DataFrame, parts: DataFrame) -> DataFrame:
     return both.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("sim"))
 
 
-def mean_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
+def mean_vectors(words: DataFrame, vectors: DataFrame, whole: bool = False) -> DataFrame:
     """The mean of the vectors of a text's words with repeats. ``words``: id, word; ``vectors``: word, v.
 
-    One row for each number of the result: id, pos, x. Words without a vector are left out; so are texts without any.
+    One row for each number of the result (id, pos, x), or with ``whole`` one for each text (id, vector). Words without a
+    vector are left out; so are texts without any. A task adds up one vector for each text.
     """
     counted = words.groupBy("id", "word").agg(F.count("*").alias("n"))
-    numbers = counted.join(vectors, "word").select("id", "n", F.posexplode("v").alias("pos", "x"))
-    return numbers.groupBy("id", "pos").agg((F.sum(F.col("n") * F.col("x").cast("double")) / F.sum("n")).alias("x"))
+    numbers = counted.join(vectors, "word").select("id", F.col("n").cast("double").alias("n"), array_to_vector(F.col("v").cast("array<double>")).alias("v"))
+    means = numbers.groupBy("id").agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("n"))).alias("vector"))
+    return means if whole else means.select("id", F.posexplode("vector").alias("pos", "x"))

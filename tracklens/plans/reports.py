@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklens.functions.dates import created, release_date
@@ -23,8 +23,9 @@ def component_counts(components: DataFrame, prefix: str) -> DataFrame:
 
 
 def release_ranks(releases: DataFrame) -> DataFrame:
-    """Releases by date, those of one day in their given order. A list of releases is small: one task numbers it."""
-    return ranked(releases, 1 << 20, "release_date", "ordinal", name="version_rank").select("version", "release_date", F.col("version_rank").cast("int").alias("version_rank"))
+    """Releases by date, those of one day in their given order. A project has few releases: one task numbers them all."""
+    rank = F.row_number().over(Window.orderBy("release_date", "ordinal"))
+    return releases.select("version", "release_date", rank.alias("version_rank"))
 
 
 def time_by_version(issues: DataFrame, versions: DataFrame, releases: DataFrame, project: str) -> DataFrame:
@@ -66,6 +67,6 @@ def assignee_by_component(issues: DataFrame, components: DataFrame, project: str
     people = main_assignees(rows).select("assignee")
     tops = main_components(rows).select("component", F.col("component_rank").cast("int").alias("component_rank"))
     points = rows.join(F.broadcast(people), "assignee").join(F.broadcast(tops), "component")  # 5 and 10 rows
-    first = first_appearances(points).withColumn("first_appearance", F.lit(True))
-    marked = points.join(first, ["assignee", "create_time", "issue_key", "component"], "left")
-    return marked.select("issue_key", created().alias("created"), "component", "component_rank", "assignee", F.coalesce("first_appearance", F.lit(False)).alias("first_appearance"))
+    # Of five assignees; of equal rows one is the first.
+    first = F.row_number().over(Window.partitionBy("assignee").orderBy("create_time", "issue_key", "component")) == 1
+    return points.select("issue_key", created().alias("created"), "component", "component_rank", "assignee", first.alias("first_appearance"))

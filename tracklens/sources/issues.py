@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def jdbc_table(spark: SparkSession, url: str, name: str, user: str, password: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options: str) -> DataFrame:
-    """A table of a database (S1), read in ``parts`` ranges of ``key`` where one is given. The driver's jar must be on the class path."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=name, user=user, password=password, **options)
+def jdbc_options(url: str, name: str, user: str, password: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options: str) -> dict[str, str]:
+    """The options of ``jdbc_table``."""
+    out = {"url": url, "dbtable": name, "user": user, "password": password, **options}
     if key:
-        reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts))
-    return reader.load()
+        out |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return out
+
+
+def jdbc_table(spark: SparkSession, *where: str, schema: StructType | None = None, **how) -> DataFrame:
+    """A table of a database (S1), read in ``parts`` ranges of ``key`` where one is given. The driver's jar must be on the class path."""
+    rows = spark.read.format("jdbc").options(**jdbc_options(*where, **how)).load()
+    return rows if schema is None else conformed(rows, schema)
+
+
+def conformed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of a schema by name (F14), whatever their case, in its order and types; raises if one is missing."""
+    there = {c.lower(): c for c in rows.columns}
+    missing = [f.name for f in schema if f.name.lower() not in there]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+    return rows.select(*[F.col(f"`{there[f.name.lower()]}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def saved(rows: DataFrame, schema: StructType, name: str, mode: str = "append") -> None:
+    """Rows into a table of the catalogue, which is made where it doesn't exist."""
+    conformed(rows, schema).write.mode(mode).saveAsTable(name)
 
 
 def same(column: str, value: str) -> Column:
@@ -47,9 +68,15 @@ def write_edges(edges: DataFrame, path: str) -> None:
 
 
 def read_dense_matrix(spark: SparkSession, path: str, min_sim: float = 0.0) -> DataFrame:
-    """Src, dst, sim of the cells above ``min_sim`` of a comma-separated square matrix in one file; upper half."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("src", "line"))
-    cells = lines.select(F.col("src").cast("long").alias("src"), F.posexplode(F.split("line", ",")).alias("dst", "sim"))
+    """Src, dst, sim of the cells above ``min_sim`` of a comma-separated square matrix in one file; upper half.
+
+    The file is read in splits. A line's number is its place in its split and the lines of the splits before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.expr("sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))  # a row for each split
+    placed = lines.join(blocks.select("block", "first", before.alias("before")), "block")
+    cells = placed.select((F.col("before") + F.col("at") - F.col("first")).alias("src"), F.posexplode(F.split(F.rtrim("value"), ",")).alias("dst", "sim"))
     return cells.select("src", F.col("dst").cast("long").alias("dst"), F.col("sim").cast("double").alias("sim")).where((F.col("src") < F.col("dst")) & (F.col("sim") > min_sim))
 
 
