@@ -41,7 +41,8 @@ from .counts import dense_counts
 
 BUCKETS = 1 << 20
 LANES = 8
-#: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
+#: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling. Pairs with
+#: their components are four longs, so a quarter as many are sent.
 MOST_IDS = 1_000_000
 #: Documents whose component may be broadcast: at most this many pairs of longs, 16 MB.
 MOST_KNOWN = 1_000_000
@@ -110,8 +111,10 @@ def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The components (left, right) that a pair of linking sets (a, b) connects."""
-    a, b = full.select(F.col("id").alias("a"), F.col("elements").alias("x")), full.select(F.col("id").alias("b"), F.col("elements").alias("y"))
+    """The components (left, right) that a pair of linking sets (a, b) connects. Only sets of the pairs are shuffled."""
+    sent = F.broadcast if pairs.count() <= MOST_IDS // 4 else lambda df: df
+    a = full.join(sent(pairs), F.col("id") == F.col("a")).select(*PAIR, F.col("elements").alias("x"))
+    b = full.join(sent(pairs.select("b").distinct()), F.col("id") == F.col("b")).select("b", F.col("elements").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -124,7 +127,7 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(both) - same))
             yield pa.record_batch([r.column(0), r.column(1)], names=["left", "right"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("left", "right", "x", "y").mapInArrow(run, "left long, right long").distinct()
+    return a.join(b, "b").select("left", "right", "x", "y").mapInArrow(run, "left long, right long").distinct()
 
 
 class _Sets:
