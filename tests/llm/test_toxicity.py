@@ -1,5 +1,6 @@
 """op6: folding, lexicon, held-out accuracy, bounds."""
 
+import math
 import random
 import zlib
 
@@ -14,6 +15,31 @@ def test_fold(word, runs):
     assert T.fold(word) == runs
 
 
+def plain_score(text, lexicon, curve):
+    """The score by trying every entry at every place: the longest that begins there counts, then on behind it."""
+    words = (text or "").split()
+    folded, found, at = "".join(f" {x}{T.END}" for w in words for x in T.fold(w)), 0.0, 0
+    by_start = {}
+    for e in lexicon:
+        by_start.setdefault(e[:2], []).append(e)
+    while at < len(folded):
+        here = [e for e in by_start.get(folded[at : at + 2], ()) if folded.startswith(e, at)]
+        longest = max(here, key=len, default="")
+        found += lexicon.get(longest, 0.0)
+        at += len(longest) or 1
+    z = curve[0] + curve[1] * math.log1p(100 * found / max(len(words), 20)) + curve[2] * math.log1p(found)
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_plain_search(spark):
+    rows, labels = corpus(300)
+    rows += [(1000, "a trash can, you IDIOTS and idiot!"), (1001, None), (1002, "")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon, curve = T.model(docs, known)
+    got = {r.doc_id: r.score for r in T.toxicity(docs, known).collect()}
+    assert lexicon and all(abs(got[i] - plain_score(t, lexicon, curve)) < 1e-9 for i, t in rows)
+
+
 def corpus(n=900):
     r = random.Random(7)
     rows, labels = [], []

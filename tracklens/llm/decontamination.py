@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import stored, table
+from .base import fresh, stored, table
 
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10))
 WINDOW, LEAST, SHORTEST = 13, 11, 5
@@ -108,8 +108,9 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    held = _held(docs, items).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    held_id, held_mark = fresh(docs, "held_id"), fresh(docs, "held_mark")
+    held = _held(docs, items).select(F.col("doc_id").alias(held_id), F.col("mark").alias(held_mark)).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col(held_id)) & (F.xxhash64("text") == F.col(held_mark)), "left_anti")
 
 
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

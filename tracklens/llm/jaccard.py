@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.graph import star_forest
 
-from .base import dropped, id_and_text, signed, stored, table, window_hashes, word_hashes
+from .base import dropped, fresh, id_and_text, signed, stored, table, window_hashes, word_hashes
 from .counts import dense_counts
 
 BUCKETS = 1 << 20
@@ -330,8 +330,9 @@ def _rest(here: DataFrame, percent: int) -> DataFrame:
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component: the one with the smallest doc_id."""
-    gone = components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    gone_id = fresh(docs, "gone_id")
+    gone = components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, dropped, stored, table
+from .base import WORD, dropped, fresh, stored, table
 
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 16, 4096
 TRIES, ROUNDS = 32, 5
@@ -91,9 +91,10 @@ def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = No
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents as often as they are drawn, with their own columns."""
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.countDistinct("epoch").alias("n")).select(F.col("doc_id").alias("_id"), F.col("n").cast("int").alias("_n"))
-    drawn = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return drawn.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    drawn_id, turns, turn = fresh(docs, "drawn_id"), fresh(docs, "turns"), fresh(docs, "turn")
+    copies = mix(docs, **how).groupBy("doc_id").agg(F.countDistinct("epoch").alias("n")).select(F.col("doc_id").alias(drawn_id), F.col("n").cast("int").alias(turns))
+    drawn = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(drawn_id)))
+    return drawn.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turns)))).select(*docs.columns)
 
 
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import dropped, shared_dir, stored, table
+from .base import dropped, fresh, shared_dir, stored, table
 
 #: Keys as unsigned numbers in the same order: the sign bit changes.
 SIGN = 1 << 63
@@ -189,9 +189,10 @@ def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, n_shards: int) -> DataFrame:
     """The documents with their shard and slot, written as one folder a shard; returns what was written."""
-    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
+    placed_id = fresh(docs, "placed_id")
+    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias(placed_id), "shard", "slot")
     named = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    named.join(placed, F.col("doc_id") == F.col("_id")).drop("_id").write.partitionBy("shard").parquet(path)
+    named.join(placed, F.col("doc_id") == F.col(placed_id)).drop(placed_id).write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
