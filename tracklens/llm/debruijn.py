@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchors import anchors_of, doc_id, firsts, in_order, keyed, repeated_anchors, spread
+from .anchors import MOST_IDS, anchors_of, doc_id, firsts, in_order, keyed, repeated_anchors, spread
 from .base import dropped, mixed, signed, stored, table, window_hashes, word_hashes, words_of
 
 WINDOW, K = 20, 8
@@ -142,7 +142,7 @@ def later_pieces(dealt: DataFrame) -> DataFrame:
 
 
 def compacted(found: DataFrame) -> DataFrame:
-    """``PIECE`` rows of whole paths: pieces of one source joined at every node that has one way in and one way out."""
+    """``PIECE`` rows of whole paths, numbered: pieces of one source joined at every node that has one way in and one way out."""
     line = [*HERE, *THERE, "shift"]
     found = found.withColumn("shift", F.col("from_at") - F.col("at"))
     begins = found.select(*line, F.col("at").alias("node")).distinct().withColumn("b", F.lit(True))
@@ -150,7 +150,7 @@ def compacted(found: DataFrame) -> DataFrame:
     open_ = begins.join(ends, [*line, "node"], "full_outer").where("b IS NULL OR e IS NULL")
     # Along one source begins and ends alternate; a document has at most as many as words.
     paths = open_.withColumn("to", F.lead("node").over(Window.partitionBy(*line).orderBy("node"))).where("b")
-    return paths.select(*HERE, F.col("node").alias("at"), (F.col("to") - F.col("node")).alias("len"), *THERE, (F.col("node") + F.col("shift")).alias("from_at"))
+    return paths.select(*HERE, F.col("node").alias("at"), (F.col("to") - F.col("node")).alias("len"), *THERE, (F.col("node") + F.col("shift")).alias("from_at"), F.monotonically_increasing_id().alias("path"))
 
 
 def branching(paths: DataFrame, window: int) -> DataFrame:
@@ -169,7 +169,7 @@ def unitigs(paths: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def unequal(rows: DataFrame, paths: DataFrame, window: int) -> DataFrame:
-    """The paths whose words differ between document and source."""
+    """The numbers of the paths whose words differ between document and source."""
     value, odd = "doc long, ord long, at int, upto long, power long", 0x9E3779B97F4A7C15
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +185,22 @@ def unequal(rows: DataFrame, paths: DataFrame, window: int) -> DataFrame:
                 n = [len(x[0]) for x in out]
                 yield pa.record_batch([pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in (0, 1)] + [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=_names(value))
 
-    sums_of = rows.join(branching(paths, window), HERE).select(*HERE, "text", "places").mapInArrow(sums, value)
+    nodes = stored(branching(paths, window), "nodes")
+    if nodes.count() <= MOST_IDS // 2:  # other texts needn't be shuffled
+        rows = rows.join(F.broadcast(nodes.select(*HERE)), HERE, "left_semi")
+    sums_of = rows.join(nodes, HERE).select(*HERE, "text", "places").mapInArrow(sums, value)
     ends = [F.struct(F.lit(i).alias("i"), F.col(d).alias("d"), F.col(o).alias("o"), (F.col(a) + more).alias("x")) for i, (d, o, a, more) in enumerate((d, o, a, more) for d, o, a in (("doc", "ord", "at"), (*THERE, "from_at")) for more in (F.lit(0), F.col("len") + (window - 1)))]
-    asked = paths.select(F.struct(*_names(PIECE)).alias("path"), F.explode(F.array(*ends)).alias("e")).select("path", "e.*")
+    asked = paths.select("path", F.explode(F.array(*ends)).alias("e")).select("path", "e.*")
     told = asked.join(sums_of, (F.col("d") == F.col("doc")) & (F.col("o") == F.col("ord")) & (F.col("x") == F.col("at")))
-    four = told.groupBy("path").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in ("upto", "power")])
+    of = ["upto0", "power0", "upto1", "upto2", "power2", "upto3"]
+    four = told.groupBy("path").agg(*[F.max(F.when(F.col("i") == int(c[-1]), F.col(c[:-1]))).alias(c) for c in of])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u0, p0, u1, _, u2, p2, u3, _ = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[len(_names(PIECE)) :])
-            yield pa.record_batch(b.columns[: len(_names(PIECE))], names=_names(PIECE)).filter(pa.array((u1 - u0) * p2 != (u3 - u2) * p0))
+            u0, p0, u1, u2, p2, u3 = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:])
+            yield b.select(["path"]).filter(pa.array((u1 - u0) * p2 != (u3 - u2) * p0))
 
-    return four.select("path.*", *[f"{c}{i}" for i in range(4) for c in ("upto", "power")]).mapInArrow(differ, PIECE)
+    return four.mapInArrow(differ, "path long")
 
 
 def repeated_paths(rows: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
