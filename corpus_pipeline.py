@@ -24,7 +24,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of small sources up to twice, so that sources near the tempered weights."""
+    """Every document once, those of small sources up to twice, so that sources near the tempered weights.
+
+    A stage returns the columns of documents, so the place of each draw in the mixture (``mixing.mix``) isn't kept, and the
+    next stage keeps equal texts together: within a shard it is up to the reader to shuffle.
+    """
     return mixing.mixed_documents(docs, repeats=2.0)
 
 
@@ -41,7 +45,9 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: The stages learn, iterate and cut in ways that SQL can't express; the tests compare them with brute force.
+#: The stages learn, iterate and cut in ways that SQL can't express. The tests compare each on its own input: toxicity with a
+#: plain search of the learned lexicon, near copies with all pairs, decontamination with op5's SQL and every alignment,
+#: mixing with budgets in closed form, sharding with a plain minimax.
 ORACLE_SQL = None
 
 
