@@ -13,8 +13,8 @@ def brute(rows, good):
     n, words, pairs = [0, 0], [Counter(), Counter()], [Counter(), Counter()]
     docs = []
     for i, t in rows:
-        h = L.hashed((t or "").encode())
-        w, p = L.word_bucket(h).tolist(), L.pair_bucket(h).tolist() if len(h) > 1 else []
+        w = (t or "").encode().lower().split()
+        p = list(zip(w, w[1:], strict=False))
         docs.append((i, w, p))
         for k in (0, 1) if i in good else (0,):
             n[k] += len(w)

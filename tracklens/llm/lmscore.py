@@ -183,4 +183,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Losses to six places, so that they don't depend on the order of sums."""
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_tokens", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss", "loss_difference")])

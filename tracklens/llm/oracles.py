@@ -39,3 +39,28 @@ marked AS (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER B
 covered AS (SELECT *, max(again::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS c FROM marked),
 kept AS (SELECT doc_id, any_value(n) AS n, sum(c) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (c = 0) AS t FROM covered GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
+def held_out(key: str = "doc_id") -> str:
+    """crc32 of the key as text, modulo 3, is 1."""
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y)"
+    # Byte by byte: the low byte of the remainder goes through the bits, the rest is shifted.
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({key}::VARCHAR, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: {bits}), 4294967295) % 3 = 1"
+
+
+def cross_entropy(pair_mass: float, word_mass: float, words: int) -> str:
+    """Losses under both bigram models, from whole words."""
+
+    def loss(of: str, scale: str) -> str:
+        one = f"((w.{of} * {scale} + {word_mass} / {words}) / (good + {word_mass}))"
+        return f"avg(-ln(CASE WHEN e.prev IS NULL THEN {one} ELSE (p.{of} * {scale} + {pair_mass} * {one}) / (v.{of} * {scale} + {pair_mass}) END))"
+
+    return f"""
+WITH {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL AND NOT {held_out()}),
+each AS (SELECT doc_id, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prev, doc_id IN (SELECT doc_id FROM target) AS t FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
+n AS (SELECT count(*)::DOUBLE AS every, count(*) FILTER (t)::DOUBLE AS good FROM each),
+w AS (SELECT word, count(*) AS n_all, count(*) FILTER (t) AS n_good FROM each GROUP BY 1),
+p AS (SELECT prev, word, count(*) AS n_all, count(*) FILTER (t) AS n_good FROM each WHERE prev IS NOT NULL GROUP BY 1, 2),
+losses AS (SELECT e.doc_id, {loss("n_good", "1")} AS a, {loss("n_all", "good / every")} AS b FROM each e CROSS JOIN n JOIN w ON w.word = e.word LEFT JOIN w v ON v.word = e.prev LEFT JOIN p ON p.prev = e.prev AND p.word = e.word GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(a, 6) + 0.0 AS target_loss, round(b, 6) + 0.0 AS background_loss, round(a - b, 6) + 0.0 AS loss_difference FROM words LEFT JOIN losses USING (doc_id)"""
