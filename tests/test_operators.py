@@ -10,6 +10,7 @@ from tracklens.operators import clusters as C
 from tracklens.operators import encoders, ranking
 from tracklens.operators import similarity as S
 from tracklens.operators.graph import star_forest
+from tracklens.plans.disentangle import labelled_by_topic
 from tracklens.plans.preprocess import preprocessed, trained_vectors
 from tracklens.plans.reports import assignee_by_component
 from tracklens.sources import issues as I
@@ -180,6 +181,14 @@ def test_topics_of_each_cluster(spark):
             assert found == {c: {frozenset(ts) for ts in words[c]} for c in (1, 2)}
 
 
+def test_labels_by_the_first_topic(spark):
+    found = spark.createDataFrame([(i, c) for c in (1, 2) for i in range(10 * c, 10 * c + 6)], "id long, component long")
+    docs = found.select("component", "id", F.when(F.col("component") == 1, F.array(F.lit("client"), F.lit("stuff"))).otherwise(F.array(F.lit("other"))).alias("tokens"))
+    classes = spark.createDataFrame([("client", 1), ("default other", 12)], "component string, class_id int")
+    a, b = (sorted(tuple(r) for r in labelled_by_topic(found, docs, classes).collect()) for _ in range(2))
+    assert a == b == [(1, 6, 1), (2, 6, 12)]
+
+
 def test_topics_keep_rare_terms(spark):
     """No term is dropped before the fit, however many are more frequent."""
     docs = spark.createDataFrame([(1, i, [f"w{j}" for j in range(i * 14_000, (i + 1) * 14_000)] * 2 + ["zz%d" % i]) for i in range(5)], "component long, id long, tokens array<string>")

@@ -33,7 +33,7 @@ def test_same_rows(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - {"lda_topics"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 

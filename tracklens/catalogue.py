@@ -11,6 +11,7 @@ from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
 from tracklens.operators import similarity as S
+from tracklens.operators.encoders import lemmatized
 from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
 from tracklens.plans.preprocess import preprocessed
@@ -120,6 +121,16 @@ def assignee_component_scatter(v, spark, sf):
     return P.assignee_by_component(v["issues"], v["issue_component"], PROJECT)
 
 
+@query(with_views("SELECT count(*) AS points FROM assigned JOIN people USING (assignee) JOIN tops USING (component)", _ASSIGNED, _PEOPLE, _TOPS))
+def point_count(v, spark, sf):
+    return P.assignee_by_component(v["issues"], v["issue_component"], PROJECT).agg(F.count("*").alias("points"))
+
+
+@query(with_views("SELECT issue_id, issue_key FROM issues WHERE issue_key NOT IN (SELECT issue_key FROM issues WHERE issue_id % 10 = 3)"))
+def key_skip_list(v, spark, sf):
+    return I.without_keys(v["issues"], v["issues"].where("issue_id % 10 = 3")).select("issue_id", "issue_key")
+
+
 @query(with_views("SELECT assignee, create_time, issue_key, component FROM assigned QUALIFY row_number() OVER (PARTITION BY assignee ORDER BY create_time, issue_key, component) = 1", _ASSIGNED))
 def first_appearance(v, spark, sf):
     return P.first_appearances(P.assigned(v["issues"], v["issue_component"], PROJECT))
@@ -265,6 +276,11 @@ def clean_text(v, spark, sf):
     return rows.select("issue_id", "c.raw", F.size("c.regions").alias("n_regions"), "c.cleaned", "c.error")
 
 
+@query(with_views('SELECT issue_id, "start"::INT AS "start", "end"::INT AS "end", tag, content FROM outside', *_cleaned("description")))
+def non_language_regions(v, spark, sf):
+    return _exploded(v, lambda t: R.clean_text(t, compat=True)["regions"])
+
+
 _WHOLE = ("whole", "SELECT issue_id, 0 AS part, description AS t FROM issues WHERE description IS NOT NULL")
 
 
@@ -278,6 +294,22 @@ def code_regions(v, spark, sf):
     return _exploded(v, lambda t: R.found_regions(t, "code", compat=True))
 
 
+@query(with_views('SELECT issue_id, "start"::INT AS "start", "end"::INT AS "end", \'exception\' AS tag, substr(t, "start" + 1, "end" - "start") AS content FROM walk_heads JOIN whole USING (issue_id, part) WHERE last = "start"', _WHOLE, *Q.stack("whole")))
+def exception_heads(v, spark, sf):
+    return _exploded(v, lambda t: R.found_regions(t, "exception", compat=True))
+
+
+_LEMMAS = ("lemmas", "SELECT DISTINCT word, substr(word, 1, length(word) - 1) AS lemma FROM (SELECT unnest(t) AS word FROM tokens) WHERE word LIKE '%s' AND length(word) > 3")
+
+
+@query(with_views("SELECT issue_id AS id, pos::INT AS pos, coalesce(lemma, word) AS word FROM (SELECT issue_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM tokens) LEFT JOIN lemmas USING (word)", _TOKENS, _LEMMAS))
+def lemmas_of_words(v, spark, sf):
+    """Words that end in s stand for a table of lemmas."""
+    words = v["issues"].where("summary IS NOT NULL").select(F.col("issue_id").alias("id"), F.posexplode(X.tokens(F.col("summary"))).alias("pos", "word"))
+    known = words.select("word").distinct().where("word LIKE '%s' AND length(word) > 3").select("word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma"))
+    return lemmatized(words, known)
+
+
 @query(with_views(f"""SELECT issue_id, cleaned, NULL::VARCHAR AS error, array_to_string(list_filter(list_transform(regexp_extract_all(cleaned, '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')), ' ') AS tokens
  FROM (SELECT issue_id, coalesce(cleaned, '') AS cleaned FROM issues LEFT JOIN cleaned USING (issue_id))""", *_cleaned("summary")))
 def preprocess(v, spark, sf):
@@ -299,6 +331,11 @@ def mean_vector(v, spark, sf):
     return S.mean_vectors(words, vectors).select("id", "pos", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
 
+@query("SELECT vec_id AS id FROM embeddings WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0")
+def usable_vectors(v, spark, sf):
+    return S.usable(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 64).select("id")
+
+
 def _edges(spark, sf, above: float = ABOVE) -> DataFrame:
     return S.edges(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 64, above)
 
@@ -402,9 +439,17 @@ def cluster_listing(v, spark, sf):
     return I.cluster_listing(_clusters(spark, sf), v["issues"])
 
 
+def _clustered_tokens(v, found: DataFrame) -> DataFrame:
+    found = C.members(found, 5)
+    return found.join(_kept(v), found.id == F.col("issue_id")).select("component", "id", F.col("t").alias("tokens"))
+
+
 @query()
-def lda_topics(v, spark, sf):
+def cluster_topic_label(v, spark, sf):
     found = _clusters(spark, sf)
-    found = found.join(C.sizes(found, 5).select("component"), "component")
-    docs = found.join(_kept(v), found.id == F.col("issue_id")).select("component", "id", F.col("t").alias("tokens"))
-    return C.topics_of_clusters(docs).select("component", "topic", "rank", "term", F.round("weight", 6).alias("weight"))
+    return L.labelled_by_topic(found, _clustered_tokens(v, found), v["component_class"])
+
+
+@query()
+def lda_topics(v, spark, sf):
+    return C.topics_of_clusters(_clustered_tokens(v, _clusters(spark, sf))).select("component", "topic", "rank", "term", F.round("weight", 6).alias("weight"))
