@@ -60,10 +60,12 @@ def fold(word: str) -> list[str]:
 
 
 class _Folded(dict):
-    """Word to its folded runs, each as `` run\\x01``; emptied when large."""
+    """Word to its folded runs, each as `` run\\x01``; emptied when large, and very long words aren't kept."""
 
     def __missing__(self, word: str) -> str:
-        self[word] = out = "".join(f" {x}{END}" for x in fold(word))
+        out = "".join(f" {x}{END}" for x in fold(word))
+        if len(word) <= 64:
+            self[word] = out
         return out
 
     def text(self, text: str | None) -> tuple[str, int]:
