@@ -32,8 +32,9 @@ from .base import batches, dropped, id_and_text, mixed, stored, table, window_ha
 #: Bound on the labelled rows that the lexicon is learned from.
 SAMPLE = 8000
 SEED_TOXIC = 4.0
-#: An entry needs this log ratio, and this many nats of evidence against the base rate.
-LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, 30.0
+#: An entry needs this log ratio, and this many nats of evidence against the base rate: of a million entries that say
+#: nothing, one passes by chance in a hundred samples.
+LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, math.log(1e6 * 100)
 SHORTEST, LONGEST = 3, 8
 THRESHOLD = 0.7
 #: Hashes that near copies have in common.
