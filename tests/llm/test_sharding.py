@@ -3,10 +3,11 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tests.llm.fixtures import documents
-from tracklens.llm import sharding
+from tracklens.llm import oracles, sharding
 
 
 def greedy(sizes, cap):
@@ -100,6 +101,21 @@ def test_far_ids(spark):
     check(spark, [(x, f"text {x}" * (1 + i % 3)) for i, x in enumerate(ids)], 4)
 
 
+@pytest.mark.parametrize("k", [1, 3, 8, 16, 40])
+def test_sql_is_the_plain_minimax(k):
+    """The SQL that the query is compared with, with huge groups, many of them, and few groups."""
+    for rows in ([(i, "copy " * 40 if i % 3 == 0 else f"text {i} " * (i % 5)) for i in range(200)], [(i, "z" * (300 if i % 9 == 4 else 1 + i % 7) + str(i)) for i in range(60)], [(1, None), (2, ""), (5, "é")], []):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        if rows:
+            con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        got = {r[0]: r for r in con.execute(oracles.minimax(k)).fetchall()}
+        order, first = groups(rows)
+        begins = [order[c][0] for c in best([s for _, s in order], k)]
+        assert {i: r[4] for i, r in got.items()} == {i: sum(b <= first[t] for b in begins) for i, t in rows}
+        assert all(got[i][2] == zlib.crc32((t or "").encode()) for i, t in rows)
+
+
 def test_split_again(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCKS", 4)
     monkeypatch.setattr(sharding, "SPLIT", 8)

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_digests": urlfilter.oracle(), "op5_spaced_seeds": decontamination.oracle(), "op2_sparse_suffix_array": oracles.passages(), "op3_ngram_jaccard": oracles.jaccard(), "op9_cross_entropy_difference": oracles.cross_entropy(lmscore.PAIR_MASS, lmscore.WORD_MASS, lmscore.WORDS), "op10_debruijn_dedup": oracles.dedup()}
+    return {"op4_url_digests": urlfilter.oracle(), "op5_spaced_seeds": decontamination.oracle(), "op2_sparse_suffix_array": oracles.passages(), "op3_ngram_jaccard": oracles.jaccard(), "op9_cross_entropy_difference": oracles.cross_entropy(lmscore.PAIR_MASS, lmscore.WORD_MASS, lmscore.WORDS), "op8_minimax_shards": oracles.minimax(), "op10_debruijn_dedup": oracles.dedup()}
