@@ -109,12 +109,6 @@ def test_merged_regions_are_apart(pairs):
     assert {i for a, n in pairs for i in range(a, a + n)} == {i for r in out for i in range(r.start, r.end)}
 
 
-def test_timeout_is_a_row_error(spark, monkeypatch):
-    monkeypatch.setattr(R, "cleaned", lambda *_: (_ for _ in ()).throw(TimeoutError()))
-    each = R._guarded(lambda t: R.cleaned(t))
-    assert each(["a"]) == [("a", None, None, "regex_timeout")]
-
-
 _PIECES = ["import", "package", "//", "/*", "*/", "class", "=", ";", ";\n", "if", "else", "(", ")", "{", "}", "\n", "\r", " ", "  ", "\n\n", "x", "ab", "a1", "1", ".", "..", "java.", "io.", "EOFException", "Exception", "Error", ":", "at", " at ", "\tat", "a.b(", "A.java", ".java:96)", ".java)", "(A.java:7)", ":7)", "Caused by:", "{noformat}", "{code", "{code}", "{color", "{color:red}", "$", "é", "\xa0"]
 
 
