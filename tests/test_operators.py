@@ -33,9 +33,10 @@ def forest(pairs):
 
 @pytest.mark.parametrize("pairs", [[], [(1, 2), (2, 3), (9, 9)], [(i, i + 1) for i in range(60)], [(random.Random(3).randint(0, 80), i) for i in range(80)]])
 def test_components(spark, pairs):
-    got = star_forest(spark.createDataFrame(pairs, "src long, dst long"))
     want = {k: v for k, v in forest([p for p in pairs if p[0] != p[1]]).items()}
-    assert {r.id: r.component for r in got.collect()} == want
+    for small in (0, 1000):  # by rounds, and by one task
+        got = star_forest(spark.createDataFrame([*pairs, (None, 1), (1, None)], "src long, dst long"), small=small).collect()
+        assert {r.id: r.component for r in got} == want and len(got) == len(want)
     vertices = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
     assert {r.id: r.component for r in C.components(vertices, spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
@@ -158,8 +159,8 @@ def test_labels(spark):
 def test_components_are_whole_or_an_error(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
     with pytest.raises(RuntimeError):
-        star_forest(path, most_rounds=1)
-    assert {r.component for r in star_forest(path).collect()} == {0}
+        star_forest(path, most_rounds=1, small=0)
+    assert {r.component for r in star_forest(path, small=0).collect()} == {0}
 
 
 def test_topics(spark):
