@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tracklens.operators.graph import star_forest
 
-from .base import dropped, fresh, id_and_text, signed, stored, table, window_hashes, word_hashes
+from .base import dropped, fresh, id_and_text, signed, small_batches, stored, table, window_hashes, word_hashes
 from .counts import dense_counts
 
 BUCKETS = 1 << 20
@@ -190,6 +190,11 @@ class _Components:
 
 def components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, and class_id: the smallest doc_id with the same set."""
+    with small_batches(docs.sparkSession):
+        return _components(docs, n, percent)
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     wide = stored(sets(docs, n, percent), "shingles")
     every = stored(wide.select("doc_id", "n_shingles", "digest"), "digests")
     classes = stored(every.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
