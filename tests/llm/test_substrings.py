@@ -88,8 +88,11 @@ def test_nonbranching_paths(spark):
     assert {(r.doc, r.at, r.len, r.from_doc, r.from_at) for r in paths.collect()} == {(1, 5, 41, 0, 3), (2, 1, 21, 0, 13)}
     got = sorted((r.doc_id, r.start, r.n_words, r.copies) for r in debruijn.unitigs(paths).collect())
     assert got == [(0, 3, 29, 1), (0, 13, 40, 2), (0, 34, 29, 1)]
-    nodes = {(r.doc, p) for r in debruijn.branching(paths, 20).collect() for p in r.places}
-    assert {p for d, p in nodes if d == 0} == {3, 63, 13, 53}
+    assert {(r.doc, r.at) for r in debruijn.branching(paths, 20).collect()} == {(0, 3), (0, 63), (0, 13), (0, 53)}
+    wrong = paths.withColumn("from_at", F.when(F.col("doc") == 2, F.col("from_at") + 1).otherwise(F.col("from_at")))
+    rows = anchors.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert debruijn.unequal(rows, paths, 20).count() == 0
+    assert [r.path for r in debruijn.unequal(rows, wrong, 20).collect()] == [r.path for r in paths.where("doc = 2").collect()]
 
 
 def test_spans_name_equal_words(spark):

@@ -12,9 +12,9 @@ paths between branching nodes are the repeated spans, in source coordinates: so
 equal those of that document from there on. ``branching`` has all these nodes and ``unitigs`` cuts the sources at them.
 
 Verification (``unequal``): edges are compared by 96 bits, of which 20 come from their anchor, so that edges with
-one anchor stay together. Every document that has branching nodes is read again, and at both coordinates of both ends of
-each span gives the prefix sums of other word hashes; by them the words of the whole span are compared at source and
-copy. If any span differs, edges that aren't equal had equal hashes, and all is done again with the next seed.
+one anchor stay together. Every document with paths or branching nodes is read again and gives sums of other word hashes,
+over its own paths and up to its nodes; by them the words of each whole span are compared at source and copy. If any
+span differs, edges that aren't equal had equal hashes, and all is done again with the next seed.
 
 Defined cases: null and empty texts have no words, no spans, and the SHA-256 of the empty string; texts of fewer than
 ``WINDOW`` words are left whole; rows with one doc_id and equal texts are one document and get equal results, its
@@ -154,9 +154,9 @@ def compacted(found: DataFrame) -> DataFrame:
 
 
 def branching(paths: DataFrame, window: int) -> DataFrame:
-    """doc, ord, places: where a path begins or ends (after its last word), in its document and in its source."""
-    ends = [F.struct(F.col(d).alias("doc"), F.col(o).alias("ord"), (F.col(a) + more).alias("at")) for d, o, a in (("doc", "ord", "at"), (*THERE, "from_at")) for more in (F.lit(0), F.col("len") + (window - 1))]
-    return paths.select(F.explode(F.array(*ends)).alias("n")).select("n.*").distinct().groupBy(*HERE).agg(F.collect_set("at").alias("places"))
+    """doc, ord, at: where in a source paths begin or end (after their last word)."""
+    ends = [F.struct(F.col("from_doc").alias("doc"), F.col("from_ord").alias("ord"), (F.col("from_at") + more).alias("at")) for more in (F.lit(0), F.col("len") + (window - 1))]
+    return paths.select(F.explode(F.array(*ends)).alias("n")).select("n.*").distinct()
 
 
 def unitigs(paths: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -169,38 +169,60 @@ def unitigs(paths: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def unequal(rows: DataFrame, paths: DataFrame, window: int) -> DataFrame:
-    """The numbers of the paths whose words differ between document and source."""
-    value, odd = "doc long, ord long, at int, upto long, power long", 0x9E3779B97F4A7C15
+    """The numbers of the paths whose words differ between document and source.
+
+    With word hashes h and an odd b, a text's sums are s(x) = sum of h(i) b^i for i < x. Of its own paths a document gives
+    (s(end) - s(begin)) / b^begin, which doesn't depend on the place; as a source it gives s and b^x at its nodes.
+    """
+    value, odd = "path long, doc long, ord long, at int, upto long, power long", 0x9E3779B97F4A7C15
+    inverse = pow(odd, -1, 1 << 64)
+
+    def powers(base: int, n: int) -> np.ndarray:
+        return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, places in zip(b.column(2).to_pylist(), b.column(3), strict=True):
-                words, at = words_of(text), places.values.to_numpy()
-                h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(77)), np.uint64, len(words))
-                power = np.cumprod(np.append(np.uint64(1), np.full(len(words), odd, np.uint64)))
-                upto = np.append(np.uint64(0), np.cumsum(h * power[:-1]))
-                out.append((at, signed(upto[at]), signed(power[at])))
-            if out:
-                n = [len(x[0]) for x in out]
-                yield pa.record_batch([pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in (0, 1)] + [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=_names(value))
-
-    nodes = stored(branching(paths, window), "nodes")
-    if nodes.count() <= MOST_IDS // 2:  # other texts needn't be shuffled
-        rows = rows.join(F.broadcast(nodes.select(*HERE)), HERE, "left_semi")
-    sums_of = rows.join(nodes, HERE).select(*HERE, "text", "places").mapInArrow(sums, value)
-    ends = [F.struct(F.lit(i).alias("i"), F.col(d).alias("d"), F.col(o).alias("o"), (F.col(a) + more).alias("x")) for i, (d, o, a, more) in enumerate((d, o, a, more) for d, o, a in (("doc", "ord", "at"), (*THERE, "from_at")) for more in (F.lit(0), F.col("len") + (window - 1)))]
-    asked = paths.select("path", F.explode(F.array(*ends)).alias("e")).select("path", "e.*")
-    told = asked.join(sums_of, (F.col("d") == F.col("doc")) & (F.col("o") == F.col("ord")) & (F.col("x") == F.col("at")))
-    of = ["upto0", "power0", "upto1", "upto2", "power2", "upto3"]
-    four = told.groupBy("path").agg(*[F.max(F.when(F.col("i") == int(c[-1]), F.col(c[:-1]))).alias(c) for c in of])
+            own, given = [], []
+            for row, (text, mine, places) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)):
+                words = words_of(text)
+                at = places.values.to_numpy() if places.is_valid else np.zeros(0, np.int32)
+                path, begin, n = (mine.values.field(c).to_numpy() for c in range(3)) if mine.is_valid else [np.zeros(0, np.int64)] * 3
+                end = begin + n + (window - 1)
+                ends = np.concatenate([at, begin, end])
+                low, high = int(ends.min()), int(ends.max())  # words outside play no part
+                power = powers(odd, high)
+                h = np.fromiter(map(xxhash.xxh64_intdigest, words[low:high], repeat(77)), np.uint64, high - low)
+                upto = np.append(np.uint64(0), np.cumsum(h * power[low:high]))
+                own.append((path, signed((upto[end - low] - upto[begin - low]) * powers(inverse, high)[begin])))
+                given.append((np.full(len(at), row), at, signed(upto[at - low]), signed(power[at])))
+            if own:
+                path, same = map(np.concatenate, zip(*own, strict=True))
+                row, at, upto, power = map(np.concatenate, zip(*given, strict=True))
+                none = pa.nulls(len(path), pa.int64())
+                yield pa.record_batch([pa.array(path), none, none, none.cast(pa.int32()), pa.array(same), none], names=_names(value))
+                yield pa.record_batch([pa.nulls(len(row), pa.int64()), pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row]), pa.array(at), pa.array(upto), pa.array(power)], names=_names(value))
+
+    # Of a document at most as many paths and nodes as words.
+    mine = paths.groupBy(*HERE).agg(F.collect_list(F.struct("path", "at", "len")).alias("own"))
+    nodes = branching(paths, window).groupBy(*HERE).agg(F.collect_set("at").alias("places"))
+    wanted = stored(mine.join(nodes, HERE, "full_outer"), "nodes")
+    if wanted.count() <= MOST_IDS // 2:  # other texts needn't be shuffled
+        rows = rows.join(F.broadcast(wanted.select(*HERE)), HERE, "left_semi")
+    told = stored(rows.join(wanted, HERE).select(*HERE, "text", "own", "places").mapInArrow(sums, value), "sums")
+    dropped(wanted)
+    ends = [F.struct(F.lit(i).alias("i"), (F.col("from_at") + more).alias("x")) for i, more in enumerate((F.lit(0), F.col("len") + (window - 1)))]
+    asked = paths.select("path", F.col("from_doc").alias("d"), F.col("from_ord").alias("o"), F.explode(F.array(*ends)).alias("e")).select("path", "d", "o", "e.*")
+    source = told.where("path IS NULL").drop("path")
+    sides = asked.join(source, (F.col("d") == F.col("doc")) & (F.col("o") == F.col("ord")) & (F.col("x") == F.col("at"))).select("path", "i", "upto", "power")
+    sides = sides.unionByName(told.where("path IS NOT NULL").select("path", F.lit(2).alias("i"), "upto", "power"))
+    both = sides.groupBy("path").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i, c in ((0, "upto"), (0, "power"), (1, "upto"), (2, "upto"))])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u0, p0, u1, u2, p2, u3 = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:])
-            yield b.select(["path"]).filter(pa.array((u1 - u0) * p2 != (u3 - u2) * p0))
+            begin, power, end, own = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[1:])
+            yield b.select(["path"]).filter(pa.array(end - begin != own * power))
 
-    return four.mapInArrow(differ, "path long")
+    return both.mapInArrow(differ, "path long")
 
 
 def repeated_paths(rows: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
