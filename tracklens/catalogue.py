@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklens import model_sql as M
 from tracklens import region_sql as Q
 from tracklens.functions import regions as R
 from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
 from tracklens.operators import similarity as S
+from tracklens.operators import topics as T
 from tracklens.operators.encoders import lemmatized
 from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
@@ -444,12 +446,16 @@ def _clustered_tokens(v, found: DataFrame) -> DataFrame:
     return found.join(_kept(v), found.id == F.col("issue_id")).select("component", "id", F.col("t").alias("tokens"))
 
 
-@query()
-def cluster_topic_label(v, spark, sf):
-    found = _clusters(spark, sf)
-    return L.labelled_by_topic(found, _clustered_tokens(v, found), v["component_class"])
+_CLUSTERED = ("clustered", "SELECT component, issue_id AS id, t AS tokens FROM clusters JOIN large USING (component) JOIN kept ON issue_id = clusters.id")
+_TOPICS = (*_GRAPH, _LARGE, _TOKENS, _KEPT, _CLUSTERED, *M.topics("clustered", 2, T.PASSES, T.SWEEPS, 5, 1, T.SPREAD))
 
 
-@query()
+@query(with_views("SELECT component, topic, rank, term, round(weight, 6) AS weight FROM topics", *_TOPICS, once=True))
 def lda_topics(v, spark, sf):
-    return C.topics_of_clusters(_clustered_tokens(v, _clusters(spark, sf))).select("component", "topic", "rank", "term", F.round("weight", 6).alias("weight"))
+    return T.topics_of_clusters(_clustered_tokens(v, _clusters(spark, sf))).select("component", "topic", "rank", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(with_views("SELECT component, size, coalesce(min_by(class_id, rank), 12)::INT AS class_id FROM large LEFT JOIN (SELECT t.component, t.rank, k.class_id FROM topics t JOIN component_class k ON k.component = t.term WHERE topic = 0) USING (component) GROUP BY 1, 2", *_TOPICS, once=True))
+def cluster_topic_label(v, spark, sf):
+    found = _clusters(spark, sf)
+    return L.labelled_by_topic(found, _clustered_tokens(v, found), v["component_class"])

@@ -60,7 +60,9 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
-def with_views(sql: str, *more: tuple[str, str]) -> str:
+def with_views(sql: str, *more: tuple[str, str], once: bool = False) -> str:
     """``sql`` for DuckDB with the derived tables, and ``more`` ones, in front."""
     named = [*VIEWS.items(), *more]
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in named) + "\n" + sql
+    # Rounds that are written out refer to the one before many times: each is computed once.
+    kept = lambda n: "MATERIALIZED " if once and n not in VIEWS else ""
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept(n)}({q})" for n, q in named) + "\n" + sql
