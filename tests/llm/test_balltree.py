@@ -31,6 +31,8 @@ def frame(spark, rows):
 
 def brute(rows, k=8, rounds=10):
     """Plain integers throughout."""
+    if not rows:
+        return []
     v = [(i, [math.floor(1024 * float(np.float32(x))) for x in e]) for i, e in rows]
     first = sorted((hashlib.sha256(f"3:{'' if i is None else i}".encode()).hexdigest(), x) for i, x in v)[:k]
     z = [x for _, x in first]
