@@ -27,9 +27,9 @@ def random_texts(n=3000, seed=1):
 def test_same_ids_and_text_as_the_library(theirs):
     own = S.pieces(MODEL)
     for t in random_texts():
-        ids, n, text = own.run(t)
+        ids, n, text, good = own.run([t], theirs)[0]
         want = theirs.encode(t)
-        assert ids == ",".join(map(str, want)) and n == len(want) and text == theirs.decode(want)
+        assert ids == ",".join(map(str, want)) and n == len(want) and text == theirs.decode(want) and good
 
 
 def test_parts_change_nothing(theirs):
@@ -38,7 +38,7 @@ def test_parts_change_nothing(theirs):
     for t in random_texts(300, 2):
         if t:
             whole = own.with_bytes(own.merged(S.MARK + t.replace(" ", S.MARK)))
-            assert own.run(t)[0] == ",".join(map(str, whole))
+            assert own.run([t])[0][0] == ",".join(map(str, whole))
     assert all(own.part.fullmatch(p) for p in own.ids)
 
 
@@ -65,7 +65,18 @@ def test_the_order_of_scores_matters(theirs):
     """A wrong agenda gives other ids, so that equal ids mean something."""
     own = S.Pieces(MODEL)
     own.rank = {p: -r for p, r in own.rank.items()}  # the worst pair first
-    assert own.run("some words")[0] != ",".join(map(str, theirs.encode("some words")))
+    texts = ["understanding", "", "x", "an international organisation", "x understanding"]
+    want = [",".join(map(str, theirs.encode(t))) for t in texts]
+    got = own.run(texts, theirs)
+    assert [r[3] for r in got] == [r[0] == w for r, w in zip(got, want, strict=True)] and [r[3] for r in got][:3] == [False, True, True]
+
+
+def test_kept_parts_go(theirs, monkeypatch):
+    monkeypatch.setattr(S, "KEPT", 40)
+    own, texts = S.Pieces(MODEL), random_texts(300, 5)
+    for i in range(0, 300, 10):
+        assert [r[0] for r in own.run(texts[i : i + 10], theirs)] == [",".join(map(str, theirs.encode(t))) for t in texts[i : i + 10]]
+        assert all(len(p) <= S.LONGEST for p in own.now)
 
 
 def test_other_vocabularies_are_refused():

@@ -8,7 +8,8 @@ pairs that an earlier merge has changed are passed over. A character without a p
 the decoded text of short parts are kept in each Python worker, at most ``KEPT`` parts.
 
 Rows stay where they are read: no shuffle, no state beyond one Arrow batch of ``BATCH`` texts and the kept parts. With
-``check`` the installed library encodes and decodes the same batch, and ``agrees`` says whether ids and text are equal.
+``check`` the installed library encodes and decodes, batch by batch, every part that was merged, and ``agrees`` says
+whether ids and text of all parts of a text are equal. That parts are independent follows from the vocabulary.
 
 Defined cases: a null text is an empty one, without ids; repeated rows give repeated rows; a null doc_id stays null; other
 columns aren't read. Vocabularies with user-defined or unused pieces, without byte fallback, with a normalizer or without
@@ -17,6 +18,7 @@ the mark in front are refused, since their rules differ.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 from .base import batches, id_and_text, small_batches, stored, table
 
 MARK = "▁"
-#: Texts in an Arrow batch; parts that a worker keeps, and the longest part kept in characters: some 80 MB.
-BATCH, KEPT, LONGEST = 500, 200_000, 48
+#: Texts in an Arrow batch; parts that a worker keeps twice over, and the longest part kept in characters: some 220 MB.
+BATCH, KEPT, LONGEST = 500, 500_000, 48
+WHOLE = r"(?s).+"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -98,12 +101,19 @@ class Pieces:
         self.bytes = {i: b for b, i in self.byte.items()}
         long = [p for p in self.ids if len(p) > 1]
         if any(MARK in p.lstrip(MARK) for p in long):
-            self.part = re.compile(r"(?s).+")
+            self.part = re.compile(WHOLE)
         else:
             # Marks with the characters after them that pieces join, marks alone, or one character that no longer piece has.
             families = "|".join(f"[{''.join(map(re.escape, sorted(f)))}]+" for f in joined_characters(p.lstrip(MARK) for p in long))
             self.part = re.compile(rf"(?s){MARK}*(?:{families})|{MARK}+|." if families else rf"(?s){MARK}+|.")
-        self.kept: dict[str, tuple[str, int, str]] = {}
+        # One character that joins no other, to set parts apart where the library encodes many at once.
+        apart = set("".join(long))
+        self.gap = next((c for c in map(chr, range(10, 32)) if c not in apart and c not in self.ids), None)
+        # Ids of parts joined by commas; parts that decode to another text than their own; parts that the library has otherwise.
+        self.now: dict[str, str] = {}
+        self.before: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.wrong: set[str] = set()
 
     def merged(self, part: str) -> list[str]:
         """The symbols of a part once no adjacent pair is a piece."""
@@ -159,28 +169,61 @@ class Pieces:
                 out.append(" ⁇ " if self.kinds[i] == UNKNOWN else self.names[i].replace(MARK, " "))
         return "".join(out)
 
-    def of_part(self, part: str) -> tuple[str, int, str]:
-        """The ids of a part joined by commas, their number, and the text that they decode to."""
-        if (known := self.kept.get(part)) is None:
-            symbols = self.merged(part)
-            ids = [self.ids.get(s) for s in symbols]
-            # Pieces decode to the symbols that they were found by; only bytes have to be put together.
-            text = part.replace(MARK, " ") if None not in ids else None
-            ids = ids if text is not None else self.with_bytes(symbols)
-            known = ",".join(map(str, ids)), len(ids), self.decoded(ids) if text is None else text
-            if len(part) <= LONGEST:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[part] = known
-        return known
-
-    def run(self, text: str) -> tuple[str, int, str]:
-        """The same of a whole text; the blank that stands for the mark in front is not part of the decoded text."""
-        if not text:
-            return "", 0, ""
-        of_part, kept = self.of_part, self.kept.get
-        parts = [kept(p) or of_part(p) for p in self.part.findall(MARK + text.replace(" ", MARK))]
-        return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
+    def of_part(self, part: str) -> tuple[list[int], str]:
+        """The ids of a part and the text that they decode to."""
+        symbols = self.merged(part)
+        ids = [self.ids.get(s) for s in symbols]
+        if None not in ids:
+            return ids, part.replace(MARK, " ")  # pieces decode to the symbols that they were found by
+        ids = self.with_bytes(symbols)
+        return ids, self.decoded(ids)
+
+    def run(self, texts: list[str], check=None) -> list[tuple[str, int, str, bool]]:
+        """Of each text the ids joined by commas, their number, the text that they decode to, and whether all parts agree.
+
+        The blank that stands for the mark in front is not part of the decoded text. ``check``: the library's processor.
+        """
+        split = [self.part.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.now) > KEPT:
+            self.before, self.now = self.now, {}
+        new, now, before = [], self.now, self.before
+        for p in set().union(*split).difference(now):
+            if (known := before.get(p)) is None:
+                ids, text = self.of_part(p)
+                new.append((p, ids, text))
+                known = ",".join(map(str, ids))
+                if text != p.replace(MARK, " "):
+                    self.odd[p] = text
+            now[p] = known
+        if check is not None and new:
+            self.wrong.update(self.differing(new, check))
+        out = []
+        for parts in split:
+            ids = ",".join(map(now.__getitem__, parts))
+            text = "".join(parts).replace(MARK, " ") if self.odd.keys().isdisjoint(parts) else "".join([self.odd.get(p) or p.replace(MARK, " ") for p in parts])
+            out.append((ids, ids.count(",") + 1 if ids else 0, text[1:], self.wrong.isdisjoint(parts)))
+        for p, *_ in new:
+            if len(p) > LONGEST:
+                del now[p]
+                self.odd.pop(p, None)
+        return out
+
+    def differing(self, new: list[tuple[str, list[int], str]], library) -> list[str]:
+        """The parts whose ids or text the library has otherwise.
+
+        It encodes all of them in one text, set apart by a character that joins no other; should that differ, one by one.
+        """
+        mark, gap = self.with_bytes([MARK]), self.with_bytes([self.gap]) if self.gap else []
+
+        def same(some: list[tuple[str, list[int], str]]) -> bool:
+            text = "".join(self.gap + p for p, *_ in some).replace(MARK, " ")
+            ids = mark + [i for _, own, _ in some for i in (*gap, *own)]
+            return library.encode(text) == ids and library.decode(ids) == "".join(self.gap + t for *_, t in some)
+
+        if not self.gap or self.part.pattern == WHOLE:  # parts are whole texts
+            return [p for p, ids, t in new if library.encode(p[1:].replace(MARK, " ")) != ids or library.decode(ids) != t[1:]]
+        some = [x for x in new if self.gap not in x[0]]
+        return [] if same(some) else [x[0] for x in some if not same([x])]
 
 
 def _from_bytes(data: bytes) -> str:
@@ -228,17 +271,20 @@ def encoded(docs: DataFrame, model: bytes, check: bool = True, ids: bool = False
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
+        gc.disable()  # many small objects and no cycles: the collector took a third of the time
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-        for doc, raw in batches(rows, "doc_id", "text"):
-            texts = [(t or b"").decode(errors="replace") for t in raw]
-            made = [own.run(t) for t in texts]
-            columns = [pa.array(doc, pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([sha(m[0]) for m in made]), pa.array([sha(m[2]) for m in made])]
-            if check:
-                theirs = library(model).encode(texts, num_threads=1)
-                columns.append(pa.array([m[0] == ",".join(map(str, x)) and m[2] == y for m, x, y in zip(made, theirs, library(model).decode(theirs, num_threads=1), strict=True)], pa.bool_()))
-            if ids:
-                columns += [pa.array([[int(i) for i in m[0].split(",") if i] for m in made], pa.list_(pa.int32())), pa.array([m[2] for m in made])]
-            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["agrees"] * check, *["ids", "decoded"] * ids])
+        try:
+            for doc, raw in batches(rows, "doc_id", "text"):
+                texts = [(t or b"").decode(errors="replace") for t in raw]
+                made = own.run(texts, library(model) if check else None)
+                columns = [pa.array(doc, pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([sha(m[0]) for m in made]), pa.array([sha(m[2]) for m in made])]
+                if check:
+                    columns.append(pa.array([m[3] for m in made], pa.bool_()))
+                if ids:
+                    columns += [pa.array([[int(i) for i in m[0].split(",") if i] for m in made], pa.list_(pa.int32())), pa.array([m[2] for m in made])]
+                yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["agrees"] * check, *["ids", "decoded"] * ids])
+        finally:
+            gc.enable()
 
     return id_and_text(docs).mapInArrow(run, schema)
 
