@@ -1,9 +1,13 @@
 """Cosine similarity of all vectors, as edges above a threshold.
 
-Vectors become unit vectors in blocks of at most ``BLOCK`` rows; each pair of blocks is one matrix product in an Arrow
-function, so every pair of vectors is computed once and only edges leave the task. The work grows with the square of
-the number of vectors; beyond ``EXACT_ROWS`` it is refused, and ``approximate_edges``, random projections that compare
-neighbours only, stands in.
+The angle between vectors is a metric on the sphere. Up to ``MOST_PIVOTS`` vectors are pivots; each vector belongs to the
+cell of its nearest pivot, and a cell of more than ``BLOCK`` vectors is split by the angle to its pivot into blocks. A
+vector is sent to a block only if no pivot proves, by the triangle inequality, that everything in it is too far: for every
+pivot the vector's angle must be within the threshold's angle of the range that the cell has, and for the cell's own pivot
+of the range that the block has. What meets in a pair of blocks is one matrix product in an Arrow function, so every pair
+of vectors is decided once and only edges leave the task. Where the vectors have no clusters nothing can be proved, and
+the work is that of all pairs, in blocks (``products`` counts it). ``approximate_edges``, random projections that compare
+neighbours only, may miss edges and grows less.
 """
 
 from __future__ import annotations
@@ -19,8 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklens.functions.text import cosine
+from tracklens.sources.durable import dropped, stored
 
-BLOCK, EXACT_ROWS = 2048, 2_000_000
+#: Vectors in a block; vectors for each pivot, and the most pivots: their angles are a matrix that every task gets.
+BLOCK, CELL, MOST_PIVOTS = 4096, 512, 256
+#: Angles near 0 are right to some 1e-8.
+MARGIN = 1e-6
 
 
 def usable(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
@@ -30,35 +38,108 @@ def usable(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
     return vectors.where((F.size(v) == dim) & (norm > 0)).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, most: int = EXACT_ROWS) -> DataFrame:
-    """src < dst and their cosine above ``above`` (F6, F8, J3); raises for more than ``most`` vectors."""
-    rows = usable(vectors, key, column, dim)
+def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ pivots.T, -1, 1))
+
+
+def _matrix(rows: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
+    u = rows.column("u")
+    return (u.combine_chunks() if isinstance(u, pa.ChunkedArray) else u).flatten().to_numpy().reshape(-1, dim)
+
+
+def placed(rows: DataFrame, dim: int, block: int = BLOCK, cell: int = CELL) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Unit vectors with their cell, band and angle; the blocks (cell, band, low, high); the pivots. ``rows``: as ``usable``."""
     total = rows.count()
-    if total > most:
-        raise ValueError(f"{total} vectors are more than {most}: raise `most` or use approximate_edges")
-    n = max(1, -(-total // BLOCK))
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    # Each block meets every other once, under the key of the pair.
-    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), F.col("block").alias("own"))
-
-    def multiply(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        a, b = (k.as_py() for k in key_)
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        m = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        m = m / np.sqrt((m * m).sum(axis=1, keepdims=True))
-        left, right = np.flatnonzero(own == a), np.flatnonzero(own == b)
+    chosen = rows.orderBy(F.xxhash64("id"), "v").limit(min(MOST_PIVOTS, -(-total // cell))).select("v").collect()
+    pivots = np.array([r.v for r in chosen]).reshape(-1, dim)
+    pivots = pivots / np.sqrt((pivots * pivots).sum(axis=1, keepdims=True))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v").flatten().to_numpy().reshape(-1, dim)
+            u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+            angles = _angles(u, pivots)
+            own = angles.argmin(axis=1)
+            yield pa.record_batch([b.column("id"), pa.FixedSizeListArray.from_arrays(pa.array(u.ravel()), dim).cast(pa.list_(pa.float64())), pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], names=["id", "u", "cell", "angle"])
+
+    near = stored(rows.mapInArrow(nearest, "id long, u array<double>, cell int, angle double"), "cells")
+    # A large cell is cut at quantiles of the angle; where many angles are equal some cuts are too, and a hash deals among them.
+    cells = near.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("angle", [i / 1000 for i in range(1001)], 10_000).alias("q"))
+    bands = F.ceil(F.col("n") / block)
+    at = lambda i: F.get("q", F.floor(i * 1000 / bands).cast("int"))
+    cuts = cells.select("cell", F.when(bands > 1, F.transform(F.sequence(F.lit(1), bands - 1), at)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    cut = near.join(F.broadcast(cuts), "cell")  # a row for each pivot
+    below, equal = (F.size(F.filter("cuts", f)) for f in (lambda q: q < F.col("angle"), lambda q: q == F.col("angle")))
+    inside = stored(cut.select("id", "u", "cell", (below + F.pmod(F.xxhash64("id"), equal + 1)).cast("int").alias("band"), "angle"), "blocks")
+    dropped(near)
+    return inside, stored(inside.groupBy("cell", "band").agg(F.min("angle").alias("low"), F.max("angle").alias("high")), "ranges"), pivots
+
+
+def met(inside: DataFrame, blocks: DataFrame, pivots: np.ndarray, dim: int, above: float) -> DataFrame:
+    """id, u and side of each vector in every pair of blocks (a, b) where it may have a neighbour."""
+    k, reach = len(pivots), float(np.arccos(np.clip(above, -1, 1))) + MARGIN
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+        for b in batches:
+            angles, own = _angles(_matrix(b, dim), pivots), b.column("cell").to_numpy()
+            np.minimum.at(low, own, angles)
+            np.maximum.at(high, own, angles)
+        for c in np.flatnonzero(np.isfinite(low[:, 0])):
+            yield pa.record_batch([pa.array([c] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(low[c]), pa.array(high[c])], names=["cell", "pivot", "low", "high"])
+
+    low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+    found = inside.mapInArrow(ranges, "cell int, pivot int, low double, high double").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    for r in found.collect():  # the square of the number of pivots
+        low[r.cell, r.pivot], high[r.cell, r.pivot] = r.low, r.high
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angles = _angles(_matrix(b, dim), pivots)
+            # For each vector the cells that no pivot rules out.
+            fits = np.stack([((angles >= low[c] - reach) & (angles <= high[c] + reach)).all(axis=1) for c in range(k)], axis=1) if b.num_rows else np.zeros((0, k), bool)
+            row, cell = np.nonzero(fits)
+            offsets = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+            to = pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(angles[row, cell])], ["cell", "angle"])
+            yield pa.record_batch([b.column("id"), b.column("u"), b.column("cell"), b.column("band"), pa.ListArray.from_arrays(offsets, to)], names=["id", "u", "own_cell", "own_band", "to"])
+
+    sent = inside.mapInArrow(reached, "id long, u array<double>, own_cell int, own_band int, to array<struct<cell: int, angle: double>>")
+    sent = sent.select("id", "u", F.struct("own_cell", "own_band").alias("own"), F.explode("to").alias("t"))
+    ends = blocks.select(F.struct("cell", "band").alias("other"), "cell", "low", "high")
+    both = sent.join(ends, (F.col("t.cell") == F.col("cell")) & (F.col("t.angle") >= F.col("low") - reach) & (F.col("t.angle") <= F.col("high") + reach))
+    own = F.struct(F.col("own.own_cell").alias("cell"), F.col("own.own_band").alias("band"))
+    return both.select("id", "u", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), F.when(own == F.col("other"), 2).when(own < F.col("other"), 0).otherwise(1).alias("side"))
+
+
+def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """src < dst and their cosine above ``above`` (F6, F8, J3), of all pairs of usable vectors."""
+    rows = usable(vectors, key, column, dim)
+    inside, blocks, pivots = placed(rows, dim, block, cell)
+
+    def multiply(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, side, m = table.column("id").to_numpy(), table.column("side").to_numpy(), _matrix(table, dim)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
         for i in range(0, len(left), 1024):
             part = left[i : i + 1024]
             sims = m[part] @ m[right].T
             x, y = np.nonzero(sims > above)
             p, q = ids[part[x]], ids[right[y]]
-            keep = (p < q) if a == b else np.ones(len(p), bool)
+            keep = (p < q) | (side[part[x]] != 2)  # within a block each pair is met twice
             out.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep], sims[x, y][keep]))
         src, dst, sim = (np.concatenate(c) if c else np.zeros(0) for c in (zip(*out, strict=True) if out else ((), (), ())))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
-    return met.groupBy("a", "b").applyInArrow(multiply, "src long, dst long, sim double").where("src <> dst")
+    return met(inside, blocks, pivots, dim, above).groupBy("a", "b").applyInArrow(multiply, "src long, dst long, sim double").where("src <> dst")
+
+
+def products(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """One row: vectors, and the pairs of them (each counted from both sides, with itself) that ``edges`` multiplies."""
+    rows = usable(vectors, key, column, dim)
+    inside, blocks, pivots = placed(rows, dim, block, cell)
+    side = lambda *s: F.sum(F.col("side").isin(*s).cast("long"))
+    pairs = met(inside, blocks, pivots, dim, above).groupBy("a", "b").agg((side(0, 2) * side(1, 2) * F.when(F.col("a") == F.col("b"), 1).otherwise(2)).alias("n"))
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")).select(F.lit(inside.count()).alias("vectors"), "pairs")
 
 
 def approximate_edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, width: float = 0.5, tables: int = 8, seed: int = 1) -> DataFrame:
