@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,8 +62,34 @@ def test_edges(spark):
     assert [(r.src, r.dst) for r in S.edges(df, "id", "v", 2, 0.8).collect()] == [(1, 2)]
     assert [(r.src, r.dst) for r in S.approximate_edges(df, "id", "v", 2, 0.8).collect()] == [(1, 2)]
     assert S.edges(df.limit(0), "id", "v", 2, 0.8).count() == 0
-    with pytest.raises(ValueError):
-        S.edges(df, "id", "v", 2, 0.8, most=1)
+
+
+def clustered_vectors(spark, groups=12, each=60, dim=24, spread=0.05, seed=4):
+    """Tight groups, two copies of one vector a third of the time, and some without a group."""
+    r = random.Random(seed)
+    gauss = lambda s: [r.gauss(0, s) for _ in range(dim)]
+    centres = [gauss(1) for _ in range(groups)]
+    rows = [[x + y for x, y in zip(c, gauss(spread), strict=True)] for c in centres for _ in range(each)]
+    rows += [rows[5]] * 150 + [gauss(1) for _ in range(40)] + [[-x for x in rows[5]]]
+    return rows, spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>").repartition(5)
+
+
+@pytest.mark.parametrize(("block", "cell", "above"), [(4096, 512, 0.8), (40, 60, 0.8), (40, 60, 0.2), (25, 30, -0.3), (7, 1000, 0.9)])
+def test_edges_with_pivots_against_all_pairs(spark, block, cell, above):
+    rows, df = clustered_vectors(spark)
+    m = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(m @ m.T > above, 1))
+    got = S.edges(df, "id", "v", 24, above, block, cell).select("src", "dst").collect()
+    assert len(got) == len(a) and {(r.src, r.dst) for r in got} == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_blocks_stay_small_and_products_are_spared(spark):
+    rows, df = clustered_vectors(spark)
+    inside, _, pivots = S.placed(S.usable(df, "id", "v", 24), 24, 40, 60)
+    assert inside.count() == len(rows) and inside.groupBy("cell", "band").count().agg(F.max("count")).first()[0] <= 80 and len(pivots) == 16  # equal vectors too
+    done = S.products(df, "id", "v", 24, 0.8, 40, 60).first()
+    assert done.vectors == len(rows) and done.pairs < 0.35 * len(rows) ** 2
+    assert S.products(df, "id", "v", 24, -1.0, 40, 60).first().pairs == len(rows) ** 2
 
 
 def test_recall_of_approximate_edges(spark):

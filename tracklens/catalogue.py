@@ -98,9 +98,9 @@ def time_version_scatter(v, spark, sf):
     return P.time_by_version(v["issues"], v["issue_version"], v["release_dim"], PROJECT)
 
 
-@query(with_views("SELECT version, CAST(release_date AS DATE) AS release_day, version_rank FROM ranks WHERE version = '2.0.0'", _RANKS))
+@query(with_views("SELECT version, CAST(release_date AS DATE) AS release_day, version_rank FROM ranks WHERE version = 'v4'", _RANKS))
 def highlighted_release(v, spark, sf):
-    return P.highlighted(v["release_dim"], "2.0.0")
+    return P.highlighted(v["release_dim"], "v4")
 
 
 @query(with_views("SELECT assignee, count(*) AS n FROM assigned GROUP BY 1", _ASSIGNED))

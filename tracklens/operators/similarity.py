@@ -85,7 +85,7 @@ def met(inside: DataFrame, blocks: DataFrame, pivots: np.ndarray, dim: int, abov
             angles, own = _angles(_matrix(b, dim), pivots), b.column("cell").to_numpy()
             np.minimum.at(low, own, angles)
             np.maximum.at(high, own, angles)
-        for c in np.flatnonzero(np.isfinite(low[:, 0])):
+        for c in np.flatnonzero(np.isfinite(low).any(axis=1)):
             yield pa.record_batch([pa.array([c] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(low[c]), pa.array(high[c])], names=["cell", "pivot", "low", "high"])
 
     low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)

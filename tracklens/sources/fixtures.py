@@ -38,11 +38,11 @@ FROM documents""",
     WHEN 3 THEN 'documentation' WHEN 4 THEN 'build' WHEN 5 THEN 'quorum' WHEN 6 THEN 'c client' WHEN 7 THEN 'security'
     WHEN 8 THEN 'jmx' WHEN 9 THEN 'jute' WHEN 10 THEN 'scripts' ELSE 'server' END AS component FROM issues
   UNION ALL SELECT issue_key, CASE WHEN issue_id % 2 = 0 THEN 'server' ELSE 'quorum' END FROM issues WHERE issue_id % 9 = 4""",
-    "release_dim": """SELECT * FROM (VALUES ('1.0.0', 0, '2008-10-27'), ('1.1.0', 1, '2009-02-13'), ('1.1.2', 2, '2009-12-14'),
-    ('1.2.2', 3, '2009-12-14'), ('2.0.0', 4, '2014-08-06'), ('1.4.0', 5, '2011-11-22'), ('2.0.10', 6, '2022-06-04'))
-    AS t(version, ordinal, release_date)""",
-    "issue_version": """SELECT issue_key, CASE issue_id % 8 WHEN 0 THEN '1.0.0' WHEN 1 THEN '1.1.0' WHEN 2 THEN '1.1.2'
-    WHEN 3 THEN '1.2.2' WHEN 4 THEN '2.0.0' WHEN 5 THEN '1.4.0' WHEN 6 THEN '2.0.10' ELSE '9.9.9' END AS version FROM issues""",
+    # Releases come from the issues: a version's is in the month of its first issue, so some share a day; the last has none.
+    "release_dim": """SELECT 'v' || CAST(issue_id % 8 AS STRING) AS version, CAST(min(issue_id * 5 % 8) AS INT) AS ordinal, min(substr(create_time, 1, 7)) || '-01' AS release_date
+    FROM issues WHERE issue_id % 8 <> 7 GROUP BY issue_id % 8""",
+    "issue_version": """SELECT issue_key, 'v' || CAST(issue_id % 8 AS STRING) AS version FROM issues""",
+    # The component classes.
     "component_class": """SELECT * FROM (VALUES ('server', 0), ('client', 1), ('tests', 2), ('documentation', 3), ('build', 4),
     ('quorum', 5), ('scripts', 6), ('leaderElection', 7), ('security', 8), ('metric system', 9), ('jmx', 10),
     ('jute', 11), ('default other', 12)) AS t(component, class_id)""",
