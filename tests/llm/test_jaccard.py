@@ -93,3 +93,14 @@ def test_rows_without_words_and_id(spark):
 
 def test_empty(spark):
     assert jaccard.components(documents(spark, empty=True)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows of one doc_id, rows without one, and a copy that is the only row with a doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, a), (9, a + " more"), (None, a), (None, b), (None, b), (7, b + " end"), (None, c), (None, c), (None, None), (3, None), (-4, "short"), (4, "short")]
+    df = spark.createDataFrame([(*r, "k", "r") for r in rows], "doc_id long, text string, key string, row string")
+    got = jaccard.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(5, a), (7, b + " end"), (None, c), (None, None), (3, None), (-4, "short")]))
+    assert jaccard.deduplicated(df.limit(0)).count() == 0

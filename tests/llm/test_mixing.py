@@ -67,3 +67,16 @@ def test_awkward(spark):
     drawn = M.mixed_documents(df)
     assert drawn.columns == df.columns and drawn.count() >= df.count()
     assert M.mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).count() == 1
+
+
+def test_documents_are_drawn_by_rows(spark):
+    """As many rows of a source as its draws, also without ids, with one id in two sources, and with repeated rows."""
+    rows = [(None, f"w{i} " * 10, "a") for i in range(100)] + [(None, f"v{i} " * 10, "b") for i in range(10)]
+    rows += [(i, f"u{i} " * 5, s) for i in range(30) for s in "ab"] + [(500, "again and again", "b")] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter((r.doc_id, r.source) for r in M.mix(df).collect())
+    drawn = M.mixed_documents(df).collect()
+    got = Counter((r.doc_id, r.source) for r in drawn)
+    assert sum(got.values()) == sum(want.values()) and Counter(s for _, s in got.elements()) == Counter(s for _, s in want.elements())
+    given = Counter(rows)
+    assert all(given[tuple(r)] <= n <= 3 * given[tuple(r)] for r, n in Counter(map(tuple, drawn)).items()) and set(map(tuple, drawn)) == set(rows)

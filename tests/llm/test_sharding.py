@@ -127,5 +127,11 @@ def test_awkward(spark, tmp_path):
     got = sharding.contract(sharding.assign_shards(df, 16)).collect()
     assert len(got) == df.count() and all(0 <= r.shard < 16 and r.law == "bytes" and r.grown_shard is None for r in got)
     assert sharding.assign_shards(documents(spark, empty=True), 16).count() == 0
-    plain = df.select("doc_id", "text", "lang").where("doc_id < 8").dropDuplicates(["doc_id"])
-    assert sharding.write_shards(plain, str(tmp_path / "out"), 4).count() == plain.count()
+    # Rows that share a doc_id or have none are written once each, with one shard and slot a row.
+    written = sharding.write_shards(df, str(tmp_path / "out"), 4)
+    key = lambda rows: Counter((r.doc_id, r.text, r.lang) for r in rows)
+    assert key(written.collect()) == key(df.collect()) and written.select("shard", "slot").distinct().count() == df.count()
+    rows = [(7, "same")] * 4 + [(None, "none"), (None, "none"), (None, None)] + [(i, f"text {i}") for i in range(28)]
+    few = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.write_shards(few, str(tmp_path / "few"), 4).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)

@@ -20,7 +20,7 @@ from .base import mixed, signed, stored, window_hashes
 
 LEAST_LONG = -(1 << 63)
 #: Repeated doc_ids that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling.
-MOST_IDS = 1_000_000
+MOST_IDS = 100_000
 
 
 def keyed(docs: DataFrame) -> DataFrame:

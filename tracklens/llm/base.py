@@ -42,6 +42,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The table, written once, with a number for each row, and the column's name: rows may share a doc_id or have none."""
+    row = fresh(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, ``more`` and the text as UTF-8 bytes; other columns of the table are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("text"))

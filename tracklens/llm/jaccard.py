@@ -41,12 +41,14 @@ from .counts import dense_counts
 
 BUCKETS = 1 << 20
 LANES = 8
-#: Ids of documents to verify that may be broadcast: at most this many longs, 8 MB; more are joined by shuffling. Pairs with
+#: Ids of documents to verify that may be broadcast: at most this many longs, 0.8 MB; more are joined by shuffling. Pairs with
 #: their components are four longs, so a quarter as many are sent.
-MOST_IDS = 1_000_000
-#: Documents whose component may be broadcast: at most this many pairs of longs, 16 MB.
-MOST_KNOWN = 1_000_000
+MOST_IDS = 100_000
+#: Documents whose component may be broadcast: at most this many pairs of longs, 0.8 MB.
+MOST_KNOWN = 50_000
 NEAREST, SMALL = 3, 16
+#: Below this stand the numbers that rows without a doc_id get in ``deduplicated``.
+LAST = -(1 << 62)
 SIG = [f"s{i}" for i in range(LANES)]
 PAIR = ["a", "b", "left", "right"]
 
@@ -334,10 +336,26 @@ def _rest(here: DataFrame, percent: int) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
-    gone_id = fresh(docs, "gone_id")
-    gone = components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
+    """One document of each component: the one with the smallest doc_id.
+
+    Of rows with one doc_id one stays. A row without a doc_id takes part under a negative number from its text's hash,
+    as the last of its component; of such rows with equal texts one stays.
+    """
+    key = fresh(docs, "key")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("no id"), "text").bitwiseAND(F.lit(~LAST)).bitwiseOR(F.lit(2 * LAST)))
+    rows = docs.withColumn(key, number)
+    # Numbers from hashes come last, behind every doc_id.
+    found = stored(components(docs.select(number.alias("doc_id"), "text"), n, percent).select(F.col("doc_id").alias("id"), "component_id"), "near-copies")
+    first = F.min(F.struct((F.col("id") < LAST).alias("late"), "id"))["id"]
+    stays = found.groupBy(F.coalesce("component_id", "id")).agg(first.alias("id")).select("id")
+    gone_key = fresh(rows, "gone_key")
+    gone = found.join(stays, "id", "left_anti").select(F.col("id").alias(gone_key)).distinct()
+    left = rows.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    # Rows that share a number are few or equal; only they are put together.
+    again_key = fresh(rows, "again_key")
+    again = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias(again_key))
+    once, more = (left.join(again, F.col(key) == F.col(again_key), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.dropDuplicates([key])).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,16 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, dropped, fresh, stored, table
+from .base import WORD, fresh, numbered, stored, table
 
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 16, 4096
 TRIES, ROUNDS = 32, 5
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, source, its key, n_tokens."""
+def tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, its key, n_tokens and the columns ``keep``."""
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("n_tokens")).withColumn("src", F.to_json(F.struct("source")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n.alias("n_tokens"), *keep).withColumn("src", F.to_json(F.struct("source")))
 
 
 def exponent(totals: DataFrame, repeats: float | None = None, entropy: float | None = None) -> float:
@@ -56,9 +56,9 @@ def exponent(totals: DataFrame, repeats: float | None = None, entropy: float | N
     return low if entropy is not None else high
 
 
-def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 7) -> DataFrame:
-    """A row for each time that a document is drawn: doc_id, source, n_tokens, epoch, block, mix_key."""
-    rows = stored(tokens(docs), "mix-rows")
+def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each time that a document is drawn: doc_id, source, n_tokens, epoch, block, mix_key and the columns ``keep``."""
+    rows = stored(tokens(docs, *keep), "mix-rows")
     totals = stored(rows.groupBy("src").agg(F.sum("n_tokens").alias("total")), "mix-totals")
     live = totals.where("total > 0")
     a = exponent(live, repeats, entropy)
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = No
         F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_TOKENS))).cast("long").alias("k"),
     ).withColumn("whole", F.when(F.col("total") > 0, F.expr("goal div greatest(total, 1)")).otherwise(1))
     # Skew of the hot source is harmless: one row a source on this side, and AQE splits the other.
-    dealt = rows.join(plan.select("src", "k"), "src").select("doc_id", "source", "src", "n_tokens", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "k").alias("block"))
+    dealt = rows.join(plan.select("src", "k"), "src").select("doc_id", "source", "src", "n_tokens", *keep, F.pmod(F.xxhash64("doc_id", F.lit(seed)), "k").alias("block"))
     dealt = stored(dealt, "mix-dealt")
     blocks = dealt.groupBy("src", "block").agg(F.sum("n_tokens").alias("size"))
     turns = blocks.join(plan, "src").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"))
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = No
     placed = placed.select("src", "block", "epoch", "at", "goal", ((F.col("epoch") >= F.col("whole")) & (F.col("at") + F.col("size") > F.col("goal"))).alias("cut"), F.round(F.col("at") / F.greatest("goal", F.lit(1)), 9).alias("mix_key"))
     placed = stored(placed, "mix-blocks")
     keys = ["src", "block"]
-    out = ["doc_id", "source", "n_tokens", "epoch", "block", "mix_key"]
+    out = ["doc_id", "source", "n_tokens", "epoch", "block", "mix_key", *keep]
     full = dealt.join(placed.where("NOT cut"), keys).select(*out)
     upto = F.expr("sum(n_tokens) OVER (PARTITION BY src, block ORDER BY turn, doc_id ROWS UNBOUNDED PRECEDING)")
     part = dealt.join(placed.where("cut"), keys).withColumn("turn", F.xxhash64("doc_id", "epoch", F.lit(seed))).withColumn("upto", upto)
@@ -90,11 +90,11 @@ def mix(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = No
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents as often as they are drawn, with their own columns."""
-    drawn_id, turns, turn = fresh(docs, "drawn_id"), fresh(docs, "turns"), fresh(docs, "turn")
-    copies = mix(docs, **how).groupBy("doc_id").agg(F.countDistinct("epoch").alias("n")).select(F.col("doc_id").alias(drawn_id), F.col("n").cast("int").alias(turns))
-    drawn = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(drawn_id)))
-    return drawn.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(turns)))).select(*docs.columns)
+    """The documents as often as they are drawn, with their own columns; draws count for rows, whatever their doc_id is."""
+    rows, row = numbered(docs, "mix-documents")
+    drawn = fresh(rows, "drawn")
+    draws = mix(rows, keep=(row,), **how).select(F.col(row).alias(drawn))
+    return rows.join(draws, F.col(row) == F.col(drawn)).select(*docs.columns)
 
 
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import dropped, fresh, shared_dir, stored, table
+from .base import dropped, fresh, numbered, shared_dir, stored, table
 
 #: Keys as unsigned numbers in the same order: the sign bit changes.
 SIGN = 1 << 63
@@ -150,8 +150,8 @@ def _solve(o: _Order, k: int) -> tuple[list[int], set[int]]:
     return [o.key[o.place(x)][0] for x in begins], set()
 
 
-def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row; slots of a shard run from 0 without gaps.
+def assign_shards(docs: DataFrame, n_shards: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and the columns ``keep`` of every row; slots of a shard run from 0 without gaps.
 
     Only digests, sizes and ids are shuffled, never texts. A huge group is spread over many tasks by (key, doc_id).
     """
@@ -161,6 +161,7 @@ def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"),
+        *keep,
     )
     rows = stored(rows, "shard-rows")
     firsts = rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(-1).cast("long")).alias("key"), F.sum("size").alias("bytes"))
@@ -172,7 +173,7 @@ def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
     shard = F.lit(0)
     for c in cuts:  # at most n_shards - 1
         shard = shard + (F.col("key") >= F.lit(c)).cast("int")
-    keyed = keyed.select("doc_id", "size", "text_crc32", "key", shard.alias("shard"))
+    keyed = keyed.select("doc_id", "size", "text_crc32", "key", shard.alias("shard"), *keep)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     ordered = stored(ranged.select("*", F.monotonically_increasing_id().alias("at")), "shard-order")
@@ -181,18 +182,22 @@ def assign_shards(docs: DataFrame, n_shards: int) -> DataFrame:
     before = F.coalesce(F.expr("sum(n) OVER (PARTITION BY shard ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0))
     offsets = counts.select("part", "shard", "from", before.alias("before"))
     out = ordered.withColumn("part", part).join(offsets, ["part", "shard"])
-    out = out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - F.col("from")).cast("long").alias("slot"))
+    out = out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - F.col("from")).cast("long").alias("slot"), *keep)
     out = stored(out, "shards")
     dropped(rows, firsts, ordered)
     return out
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int) -> DataFrame:
-    """The documents with their shard and slot, written as one folder a shard; returns what was written."""
-    placed_id = fresh(docs, "placed_id")
-    placed = assign_shards(docs, n_shards).select(F.col("doc_id").alias(placed_id), "shard", "slot")
-    named = docs.select(*[c for c in docs.columns if c not in ("shard", "slot")])
-    named.join(placed, F.col("doc_id") == F.col(placed_id)).drop(placed_id).write.partitionBy("shard").parquet(path)
+    """The documents with their shard and slot, written as one folder a shard; returns what was written.
+
+    Every row is written once, also where rows share a doc_id or have none.
+    """
+    rows, row = numbered(docs.select(*[c for c in docs.columns if c not in ("shard", "slot")]), "shard-documents")
+    placed_row = fresh(rows, "placed_row")
+    placed = assign_shards(rows, n_shards, (row,)).select(F.col(row).alias(placed_row), "shard", "slot")
+    rows.join(placed, F.col(row) == F.col(placed_row)).drop(row, placed_row).write.partitionBy("shard").parquet(path)
+    dropped(rows)
     return docs.sparkSession.read.parquet(path)
 
 
