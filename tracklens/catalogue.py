@@ -13,11 +13,13 @@ from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
 from tracklens.operators import similarity as S
 from tracklens.operators import topics as T
+from tracklens.operators import wordvectors as V
 from tracklens.operators.encoders import lemmatized
 from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
 from tracklens.plans.preprocess import preprocessed
 from tracklens.sources import issues as I
+from tracklens.sources.durable import stored
 from tracklens.sources.fixtures import views, with_views
 
 PROJECT, KEY = "alpha", "alpha-5"
@@ -427,10 +429,13 @@ def truth_prediction_join(v, spark, sf):
     return _pairs(v, spark, sf)
 
 
-@query(with_views("""SELECT round(CASE WHEN ha + hb < 1e-15 THEN 1.0 WHEN abs(mi) < 1e-15 THEN 0.0 ELSE 2 * mi / (ha + hb) END, 9) AS nmi FROM
+_NMI = """SELECT round(CASE WHEN ha + hb < 1e-15 THEN 1.0 WHEN abs(mi) < 1e-15 THEN 0.0 ELSE 2 * mi / (ha + hb) END, 9) AS nmi FROM
  (SELECT sum(n / t * ln(t * n / (na * nb))) AS mi FROM (SELECT n::DOUBLE AS n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY truth) AS na, sum(n) OVER (PARTITION BY prediction) AS nb FROM (SELECT truth, prediction, count(*) AS n FROM pairs GROUP BY 1, 2))),
  (SELECT -sum(n / t * ln(n / t)) AS ha FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM pairs GROUP BY truth)),
- (SELECT -sum(n / t * ln(n / t)) AS hb FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM pairs GROUP BY prediction))""", *_GRAPH, _TERMS, _LARGE, _TOPTERMS, _LABELS, _TRUTH, _PAIRS))
+ (SELECT -sum(n / t * ln(n / t)) AS hb FROM (SELECT count(*)::DOUBLE AS n, sum(count(*)) OVER () AS t FROM pairs GROUP BY prediction))"""
+
+
+@query(with_views(_NMI, *_GRAPH, _TERMS, _LARGE, _TOPTERMS, _LABELS, _TRUTH, _PAIRS))
 def nmi(v, spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     return L.agreement(vectors, "vec_id", "embedding", 64, ABOVE, _terms(v), v["issues"], v["issue_component"], v["component_class"]).select(F.round("nmi", 9).alias("nmi"))
@@ -459,3 +464,42 @@ def lda_topics(v, spark, sf):
 def cluster_topic_label(v, spark, sf):
     found = _clusters(spark, sf)
     return L.labelled_by_topic(found, _clustered_tokens(v, found), v["component_class"])
+
+
+# From text to vectors, clusters and their score ------------------------------------------------------------------------
+
+TEXT_ABOVE = 0.95
+_TEXTS = ("texts", "SELECT issue_id AS id, t AS tokens FROM kept")
+_WORDS = ("words", "SELECT DISTINCT unnest(tokens) AS word FROM texts")
+_VECTORS = (*M.context_vectors("texts", V.WINDOW, V.LEAST, V.DIM), *M.all_vectors("words", V.DIM, V.BUCKETS, V.SHORTEST, V.LONGEST))
+
+
+@query(with_views("SELECT word, known, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS length, round(list_sum(v), 4) + 0.0 AS total FROM all_vectors", _TOKENS, _KEPT, _TEXTS, _WORDS, *_VECTORS, once=True))
+def word_vectors(v, spark, sf):
+    """Every word's vector, by its neighbours or, for a rare one, by its parts; as its length and the sum of its numbers."""
+    docs = stored(_kept(v).select(F.col("issue_id").alias("id"), F.col("t").alias("tokens")), "texts")
+    vectors = stored(V.context_vectors(docs), "word-vectors")
+    found = V.vectors_of(docs.select(F.explode_outer("tokens").alias("word")), vectors, V.subword_buckets(vectors))
+    length, total = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return found.select("word", "known", F.round(length, 4).alias("length"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
+
+
+_RAW = ("texts", f"""SELECT issue_id AS id, list_filter(list_transform(regexp_extract_all(coalesce(cleaned, ''), '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')) AS tokens FROM issues LEFT JOIN cleaned USING (issue_id)""")
+_FROM_TEXT = (
+    *_cleaned("summary"), _RAW, _WORDS, *_VECTORS, ("text_means", M.mean_vectors("texts", V.DIM)),
+    ("edges", f"SELECT a.id AS src, b.id AS dst FROM text_means a JOIN text_means b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) > {TEXT_ABOVE}"),
+    _REACH, ("walk", "SELECT issue_id AS id, issue_id AS c FROM issues UNION SELECT b, c FROM walk JOIN reach ON a = id"), _LABELLED, _LARGE,
+)
+_TEXT_TOPICS = (("clustered", "SELECT component, c.id, tokens FROM clusters c JOIN large USING (component) JOIN texts t ON t.id = c.id"), *M.topics("clustered", 2, T.PASSES, T.SWEEPS, 5, 1, T.SPREAD))
+_TEXT_LABELS = ("named", "SELECT component, size, coalesce(min_by(class_id, rank), 12)::INT AS class_id FROM large LEFT JOIN (SELECT t.component, t.rank, k.class_id FROM topics t JOIN component_class k ON k.component = t.term WHERE topic = 0) USING (component) GROUP BY 1, 2")
+
+
+@query(with_views("SELECT * FROM clusters", *_FROM_TEXT, once=True))
+def text_clusters(v, spark, sf):
+    return L.clusters_from_text(v["issues"], STOP_WORDS, TEXT_ABOVE, compat=True)[0]
+
+
+@query(with_views(_NMI, *_FROM_TEXT, *_TEXT_TOPICS, _TEXT_LABELS, _TRUTH, _PAIRS, once=True))
+def text_agreement(v, spark, sf):
+    """The whole chain from raw text to the score, without stand-ins."""
+    return L.agreement_from_text(v["issues"], v["issue_component"], v["component_class"], STOP_WORDS, TEXT_ABOVE, compat=True).select(F.round("nmi", 9).alias("nmi"))
