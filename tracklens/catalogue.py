@@ -11,6 +11,7 @@ from tracklens.functions import regions as R
 from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
+from tracklens.operators import sentences as N
 from tracklens.operators import similarity as S
 from tracklens.operators import topics as T
 from tracklens.operators import wordvectors as V
@@ -247,13 +248,23 @@ def term_frequency(v, spark, sf):
     return _kept(v).select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-_SENTENCES = ("sentences", rf"""SELECT issue_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS sentence FROM (SELECT issue_id, string_split(regexp_replace(trim(summary), '([.!?])[{_SPACE}]+([\p{{Lu}}\p{{Nd}}"''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM issues WHERE summary IS NOT NULL)""")
+_SENTENCES = (("sources", "SELECT issue_id AS id, summary AS text FROM issues WHERE summary IS NOT NULL"), *M.sentences("sources", _SPACE))
 
 
-@query(with_views(f"SELECT issue_id, sentence::INT AS sentence, array_to_string(list_transform(regexp_extract_all(t, '{_TOKEN}'), lambda x: lower(x)), ' ') AS tokens FROM sentences", _SENTENCES))
+def _sources(v) -> DataFrame:
+    return v["issues"].where("summary IS NOT NULL").select(F.col("issue_id").alias("id"), F.col("summary").alias("text"))
+
+
+@query(with_views(f"SELECT id AS issue_id, sentence, array_to_string(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x)), ' ') AS tokens FROM sentences", *_SENTENCES, once=True))
 def paragraph_tokens(v, spark, sf):
-    rows = v["issues"].where("summary IS NOT NULL").select("issue_id", F.posexplode(X.sentence_tokens(F.col("summary"))).alias("sentence", "t"))
-    return rows.select("issue_id", "sentence", F.array_join("t", " ").alias("tokens"))
+    return N.sentences(_sources(v)).select(F.col("id").alias("issue_id"), "sentence", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(with_views("SELECT word, dotted, plain, small, capital, score FROM word_counts LEFT JOIN (SELECT word, round(score, 6) AS score FROM abbreviations) USING (word)", *_SENTENCES, once=True))
+def sentence_statistics(v, spark, sf):
+    """What sentence boundaries are learned from; abbreviations have a score."""
+    counts = stored(N.counted(N.pieces(_sources(v))), "word-counts")
+    return counts.join(N.abbreviations(counts), "word", "left").withColumn("score", F.round("score", 6))
 
 
 @query(with_views("SELECT DISTINCT assignee, '#' || upper(substr(md5(assignee), 1, 6)) AS colour FROM issues WHERE assignee IS NOT NULL"))

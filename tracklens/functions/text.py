@@ -117,11 +117,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower), F.array().cast("array<string>"))
 
 
-def sentence_tokens(text: Column) -> Column:
-    """T14 for a paragraph: sentences end after ``.``, ``!`` or ``?`` before white space and a capital, digit or quote."""
-    return F.transform(F.split(F.trim(text), r"(?U)(?<=[.!?])\s+(?=[\p{Lu}\d\"'])"), tokens)
-
-
 def is_number(token: Column) -> Column:
     """An integer or a decimal that begins with a digit, with or without a minus; digits of all scripts, raised and lowered ones."""
     return token.rlike(NUMBER)
