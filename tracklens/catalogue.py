@@ -378,8 +378,8 @@ def similarity_edges(v, spark, sf):
 @query(with_views("SELECT least(src // 5, dst // 5) AS src, greatest(src // 5, dst // 5) AS dst, round(max(sim), 6) AS sim FROM edges WHERE src // 5 <> dst // 5 GROUP BY 1, 2", _sims(0.2)))
 def sentence_max_similarity(v, spark, sf):
     """Five vectors in a row stand for the sentences of one description."""
-    parts = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.expr("vec_id div 5").alias("owner"))
-    return S.best_of_parts(_edges(spark, sf, 0.2), parts).select("src", "dst", F.round("sim", 6).alias("sim"))
+    parts = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.expr("vec_id div 5").alias("owner"), "embedding")
+    return S.best_of_parts(parts, "embedding", 64, 0.2).select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
 def _clusters(spark, sf) -> DataFrame:
@@ -514,3 +514,17 @@ def text_clusters(v, spark, sf):
 def text_agreement(v, spark, sf):
     """The whole chain from raw text to the score, without stand-ins."""
     return L.agreement_from_text(v["issues"], v["issue_component"], v["component_class"], STOP_WORDS, TEXT_ABOVE, compat=True).select(F.round("nmi", 9).alias("nmi"))
+
+
+SENTENCE_ABOVE = 0.97
+_PARTS = (
+    *_SENTENCES,
+    ("texts", f"SELECT row_number() OVER (ORDER BY id, sentence) AS id, id AS owner, list_filter(list_transform(regexp_extract_all(text, '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')) AS tokens FROM sentences"),
+    _WORDS, *_VECTORS, ("text_means", M.mean_vectors("texts", V.DIM)), ("parts", f"SELECT DISTINCT owner, v::DOUBLE[{V.DIM}] AS v FROM text_means JOIN texts USING (id)"),
+)
+
+
+@query(with_views(f"SELECT a.owner AS src, b.owner AS dst, round(max(array_cosine_similarity(a.v, b.v)), 6) AS sim FROM parts a JOIN parts b ON a.owner < b.owner WHERE array_cosine_similarity(a.v, b.v) > {SENTENCE_ABOVE} GROUP BY 1, 2", *_PARTS, once=True))
+def description_similarity(v, spark, sf):
+    """The best pair of sentences of every two documents."""
+    return L.description_similarity(v["issues"], STOP_WORDS, SENTENCE_ABOVE, text="summary").select("src", "dst", F.round("sim", 6).alias("sim"))

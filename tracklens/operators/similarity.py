@@ -111,11 +111,23 @@ def met(inside: DataFrame, blocks: DataFrame, pivots: np.ndarray, dim: int, abov
     return both.select("id", "u", F.least(own, "other").alias("a"), F.greatest(own, "other").alias("b"), F.when(own == F.col("other"), 2).when(own < F.col("other"), 0).otherwise(1).alias("side"))
 
 
-def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
-    """src < dst and their cosine above ``above`` (F6, F8, J3), of all pairs of usable vectors."""
+def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL, best: bool = False) -> DataFrame:
+    """src < dst and their cosine above ``above`` (F6, F8, J3), of all pairs of usable vectors.
+
+    Where several vectors have one key, two keys have an edge for each pair of their vectors, or with ``best`` the best one
+    of each pair of blocks.
+    """
     rows = usable(vectors, key, column, dim)
     inside, blocks, pivots = placed(rows, dim, block, cell)
 
+    def largest(src: np.ndarray, dst: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not best or not len(src):
+            return src, dst, sim
+        order = np.lexsort((-sim, dst, src))
+        src, dst, sim = src[order], dst[order], sim[order]
+        first = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))
+        return src[first], dst[first], sim[first]
+
     def multiply(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids, side, m = table.column("id").to_numpy(), table.column("side").to_numpy(), _matrix(table, dim)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
@@ -125,12 +137,12 @@ def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, blo
             sims = m[part] @ m[right].T
             x, y = np.nonzero(sims > above)
             p, q = ids[part[x]], ids[right[y]]
-            keep = (p < q) | (side[part[x]] != 2)  # within a block each pair is met twice
-            out.append((np.minimum(p, q)[keep], np.maximum(p, q)[keep], sims[x, y][keep]))
+            keep = (p < q) | (side[part[x]] != 2) & (p != q)  # within a block each pair is met twice
+            out.append(largest(np.minimum(p, q)[keep], np.maximum(p, q)[keep], sims[x, y][keep]))
         src, dst, sim = (np.concatenate(c) if c else np.zeros(0) for c in (zip(*out, strict=True) if out else ((), (), ())))
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
-    return met(inside, blocks, pivots, dim, above).groupBy("a", "b").applyInArrow(multiply, "src long, dst long, sim double").where("src <> dst")
+    return met(inside, blocks, pivots, dim, above).groupBy("a", "b").applyInArrow(multiply, "src long, dst long, sim double")
 
 
 def products(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
@@ -154,11 +166,14 @@ def approximate_edges(vectors: DataFrame, key: str, column: str, dim: int, above
     return near.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), cosine(F.col("datasetA.v"), F.col("datasetB.v")).alias("sim")).where(F.col("sim") > above)
 
 
-def best_of_parts(part_edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """Of the edges between parts (id, owner) the best one between each two owners."""
-    a, b = (parts.select(F.col("id").alias(i), F.col("owner").alias(o)) for i, o in (("src", "x"), ("dst", "y")))
-    both = part_edges.join(a, "src").join(b, "dst").where("x <> y")
-    return both.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("sim"))
+def best_of_parts(parts: DataFrame, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """Src < dst and the best cosine above ``above`` of a part of one owner and a part of the other. ``parts``: owner, ``column``.
+
+    Every part is kept from blocks that no part of it can reach; a task passes on one edge for two owners. With
+    ``above`` below 0 two owners without a positive cosine get 0.
+    """
+    found = edges(parts, "owner", column, dim, above, block, cell, best=True)
+    return found.groupBy("src", "dst").agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("sim"))
 
 
 def mean_vectors(words: DataFrame, vectors: DataFrame, whole: bool = False) -> DataFrame:
