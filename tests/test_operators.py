@@ -123,6 +123,12 @@ def test_preprocess(spark):
     assert {r.issue_id: r.tokens for r in preprocessed(issues, ["the"]).collect()}[1] == ["cats", "ran", "miles", "home"]
 
 
+def test_preprocess_with_learned_lemmas(spark):
+    rows = [(i, "the servers crashed and the server walked on") for i in range(20)] + [(50, "crash the server, walk on"), (51, None), (52, "")]
+    got = {r.issue_id: r.tokens for r in preprocessed(spark.createDataFrame(rows, "issue_id long, summary string"), ["the", "and", "on"], "learned").collect()}
+    assert got[0] == ["server", "crash", "server", "walk"] and got[50] == ["crash", "server", ",", "walk"] and got[51] == [] == got[52]
+
+
 def test_trained_vectors(spark):
     lists = spark.createDataFrame([(["a", "b", "c"] * 4,), (["b", "c"] * 3,)], "tokens array<string>")
     a, b = (sorted((r.word, tuple(r.v)) for r in trained_vectors(lists, 8, 5).collect()) for _ in range(2))

@@ -13,9 +13,9 @@ from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
 from tracklens.operators import sentences as N
 from tracklens.operators import similarity as S
+from tracklens.operators import tagger as G
 from tracklens.operators import topics as T
 from tracklens.operators import wordvectors as V
-from tracklens.operators.encoders import lemmatized
 from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
 from tracklens.plans.preprocess import preprocessed
@@ -314,15 +314,24 @@ def exception_heads(v, spark, sf):
     return _exploded(v, lambda t: R.found_regions(t, "exception", compat=True))
 
 
-_LEMMAS = ("lemmas", "SELECT DISTINCT word, substr(word, 1, length(word) - 1) AS lemma FROM (SELECT unnest(t) AS word FROM tokens) WHERE word LIKE '%s' AND length(word) > 3")
+def _words(v) -> DataFrame:
+    """id, pos, word: the words of all texts."""
+    return v["issues"].select(F.col("issue_id").alias("id"), F.posexplode_outer(X.tokens(F.col("summary"))).alias("pos", "word")).where("word IS NOT NULL")
 
 
-@query(with_views("SELECT issue_id AS id, pos::INT AS pos, coalesce(lemma, word) AS word FROM (SELECT issue_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM tokens) LEFT JOIN lemmas USING (word)", _TOKENS, _LEMMAS))
+_FORMS = " UNION ALL ".join(f"SELECT word, '{t}' AS tag, left(word, length(word) - {len(old)}) || '{new}' AS lemma FROM vocabulary WHERE word LIKE '%{old}' AND length(word) >= {len(old) - len(new) + 2}" for t, rules in G.DETACHED.items() for old, new in rules)
+
+
+@query(with_views(f"SELECT word, tag, arg_min(lemma, (length(lemma), lemma)) AS lemma FROM ({_FORMS}) WHERE lemma IN (SELECT word FROM vocabulary) AND length(lemma) <= length(word) GROUP BY 1, 2", _TOKENS, ("vocabulary", "SELECT DISTINCT unnest(t) AS word FROM tokens")))
+def lemma_forms(v, spark, sf):
+    """For each word and part of speech the form in the vocabulary that it is a form of."""
+    return G.lemma_table(_words(v))
+
+
+@query()
 def lemmas_of_words(v, spark, sf):
-    """Words that end in s stand for a table of lemmas."""
-    words = v["issues"].where("summary IS NOT NULL").select(F.col("issue_id").alias("id"), F.posexplode(X.tokens(F.col("summary"))).alias("pos", "word"))
-    known = words.select("word").distinct().where("word LIKE '%s' AND length(word) > 3").select("word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma"))
-    return lemmatized(words, known)
+    """Parts of speech as trained on these texts, and lemmas."""
+    return G.lemmatized(_words(v))
 
 
 @query(with_views(f"""SELECT issue_id, cleaned, NULL::VARCHAR AS error, array_to_string(list_filter(list_transform(regexp_extract_all(cleaned, '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')), ' ') AS tokens
