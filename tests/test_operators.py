@@ -161,6 +161,42 @@ def test_jdbc_options():
     assert "partitionColumn" not in I.jdbc_options("j", "t", "u", "p")
 
 
+def test_jdbc_on_an_embedded_database(spark, tmp_path):
+    """Written, read in four ranges, with columns and filters left to the database."""
+    url, rows = f"jdbc:derby:{tmp_path}/issues;create=true", [(i, f"A-{i}", "ALPHA" if i % 3 else "BETA", None if i % 5 else f"text {i}") for i in range(100)]
+    issues = spark.createDataFrame(rows, "issue_id long, issue_key string, project string, summary string")
+    issues.write.format("jdbc").options(url=url, dbtable="ISSUE", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="issue_key VARCHAR(40), project VARCHAR(40)").save()
+    table = I.jdbc_table(spark, url, "ISSUE", "", "", key="ISSUE_ID", low=0, high=100, parts=4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert table.rdd.getNumPartitions() == 4 and sorted(map(tuple, table.collect())) == sorted(rows, key=lambda r: r[0])
+    assert [r[0] for r in table.select(F.spark_partition_id()).distinct().orderBy(F.spark_partition_id()).collect()] == [0, 1, 2, 3]
+    some = table.where("PROJECT = 'BETA' AND ISSUE_ID > 50").select("ISSUE_KEY")
+    assert {r[0] for r in some.collect()} == {k for i, k, p, _ in rows if p == "BETA" and i > 50}
+    plan = some._jdf.queryExecution().executedPlan().toString()  # what the database gets
+    assert "*EqualTo(project,BETA)" in plan and "summary" not in plan
+    schema_ = schema.T.StructType([f for f in schema.ISSUE if f.name in ("issue_id", "issue_key", "project", "summary")])
+    named = I.jdbc_table(spark, url, "ISSUE", "", "", schema=schema_, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert named.columns == ["issue_id", "issue_key", "project", "summary"] and named.count() == 100
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_listing_in_order(spark, tmp_path, parts):
+    """The part files in order are the listing of the original, clusters and their separators included."""
+    r = random.Random(4)
+    found = [(i, 0 if i < 40 else i - i % 4 if i < 80 else i) for i in range(90)]
+    keys = {i: (f"A-{i}", f"summary {r.random()}") for i, _ in found}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        I.write_listing(spark.createDataFrame(found, "id long, component long"), spark.createDataFrame([(i, *k) for i, k in keys.items()], "issue_id long, issue_key string, summary string"), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    clusters = {}
+    for i, c in found:
+        clusters.setdefault(c, []).append(i)
+    want = "".join("".join(f"{keys[i][0]}     {keys[i][1]}\n" for i in sorted(ids)) + "-" * 50 + "\n" for _, ids in sorted(clusters.items(), key=lambda x: (-len(x[1]), x[0])))
+    files = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in files) == want and (len(files) > 1) == (parts > 1)
+
+
 def test_members(spark):
     found = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, component long")
     assert sorted(tuple(r) for r in C.members(found, 2).collect()) == [(1, 2, 1), (1, 2, 2)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ from tracklens.plans import disentangle as L
 from tracklens.plans import reports as P
 from tracklens.plans.preprocess import preprocessed
 from tracklens.sources import issues as I
-from tracklens.sources.durable import stored
+from tracklens.sources.durable import shared_dir, stored
 from tracklens.sources.fixtures import views, with_views
+from tracklens.sources.matrix import read_matrix, write_matrix
 
 PROJECT, KEY = "alpha", "alpha-5"
 STOP_WORDS = ["the", "of", "and", "a", "in", "to", "is", "that", "de", "la", "le", "et", "der", "die", "und", "que", "el", "y", ".", ","]
@@ -239,13 +242,27 @@ def token_filter(v, spark, sf):
 
 @query(with_views(f"SELECT DISTINCT term, regexp_matches(term, '{X.NUMBER}') AS is_number FROM (SELECT unnest(t) AS term FROM tokens)", _TOKENS))
 def is_number(v, spark, sf):
-    terms = v["issues"].select(F.explode(X.tokens(F.col("summary"))).alias("term")).distinct()
+    terms = v["issues"].select(F.explode_outer(X.tokens(F.col("summary"))).alias("term")).where("term IS NOT NULL").distinct()
     return terms.select("term", X.is_number(F.col("term")).alias("is_number"))
 
 
 @query(with_views("SELECT term, count(*) AS n FROM (SELECT unnest(t) AS term FROM kept) GROUP BY 1", _TOKENS, _KEPT))
 def term_frequency(v, spark, sf):
-    return _kept(v).select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    # Spark would ask explode() for lists that aren't empty, and make each list twice.
+    terms = v["issues"].where("summary IS NOT NULL").select(F.explode_outer(X.tokens(F.col("summary"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return terms.where(F.col("term").isNotNull() & ~F.col("term").isin(STOP_WORDS) & ~X.is_number(F.col("term")))
+
+
+_OFTEN = ("often", "SELECT word FROM (SELECT unnest(t) AS word FROM tokens) GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 30")
+
+
+@query(with_views("SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM tokens) WHERE word NOT IN (SELECT word FROM often) GROUP BY 1", _TOKENS, _OFTEN))
+def corpus_stop_words(v, spark, sf):
+    """How often words occur besides the 30 most frequent ones, which are kept as a list in a file."""
+    terms = stored(v["issues"].select(F.explode_outer(X.tokens(F.col("summary"))).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")), "terms")
+    path = f"{shared_dir(spark)}/stop-words-{uuid.uuid4().hex}"
+    I.append_lines(terms.orderBy(F.desc("n"), "word").limit(30).select("word"), path)
+    return terms.where(~F.col("word").isin(I.read_stop_words(spark, path)))
 
 
 _SENTENCES = (("sources", "SELECT issue_id AS id, summary AS text FROM issues WHERE summary IS NOT NULL"), *M.sentences("sources", _SPACE))
@@ -350,7 +367,8 @@ _MEANS = ("means", """SELECT issue_id AS id, pos, sum(n * x) / sum(n) AS x FROM
 @query(with_views("SELECT id, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM means", _TOKENS, _KEPT, _MEANS))
 def mean_vector(v, spark, sf):
     """Words of one length share a vector of the table, in place of a trained model."""
-    words = _kept(v).select(F.col("issue_id").alias("id"), F.explode("t").alias("w")).select("id", F.length("w").cast("long").alias("word"))
+    words = v["issues"].select(F.col("issue_id").alias("id"), F.explode_outer(X.tokens(F.col("summary"))).alias("w"))
+    words = words.where(F.col("w").isNotNull() & ~F.col("w").isin(STOP_WORDS) & ~X.is_number(F.col("w"))).select("id", F.length("w").cast("long").alias("word"))
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("word"), F.col("embedding").alias("v"))
     return S.mean_vectors(words, vectors).select("id", "pos", (F.round("x", 6) + F.lit(0.0)).alias("x"))
 
@@ -466,6 +484,16 @@ def cluster_listing(v, spark, sf):
     return I.cluster_listing(_clusters(spark, sf), v["issues"])
 
 
+@query(with_views("SELECT src, dst, round(sim, 6) AS sim FROM edges", _sims(ABOVE)))
+def dense_matrix(v, spark, sf):
+    """The similarities as the lines of a square matrix in files, read back."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n = vectors.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    write_matrix(_edges(spark, sf), n, path)
+    return read_matrix(spark, path, ABOVE).select("src", "dst", F.round("sim", 6).alias("sim"))
+
+
 def _clustered_tokens(v, found: DataFrame) -> DataFrame:
     found = C.members(found, 5)
     return found.join(_kept(v), found.id == F.col("issue_id")).select("component", "id", F.col("t").alias("tokens"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Fixed value: what stands between two clusters of a listing.
+SEPARATOR = "-" * 50
+
 
 def jdbc_options(url: str, name: str, user: str, password: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, **options: str) -> dict[str, str]:
     """The options of ``jdbc_table``."""
@@ -98,3 +101,16 @@ def cluster_listing(clusters: DataFrame, issues: DataFrame) -> DataFrame:
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
     rows = sized.join(issues, sized.id == issues.issue_id)
     return rows.select("size", "component", "issue_id", F.concat_ws("     ", "issue_key", "summary").alias("line"))
+
+
+def write_listing(clusters: DataFrame, issues: DataFrame, path: str) -> None:
+    """The listing as text, largest cluster first, then by component and issue, a line of ``SEPARATOR`` after each cluster.
+
+    Part files in the order of their names are the listing: lines are dealt by ranges of the whole order, so no task has
+    all of them, and a separator is a row of its own behind its cluster, so that no task has to know the next one's rows.
+    """
+    lines = cluster_listing(clusters, issues).select("size", "component", F.lit(0).alias("kind"), "issue_id", "line")
+    ends = lines.groupBy("size", "component").agg(F.lit(1).alias("kind"), F.lit(None).cast("long").alias("issue_id"), F.lit(SEPARATOR).alias("line"))
+    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("size"), F.asc("component"), F.asc("kind"), F.asc("issue_id")]
+    lines.unionByName(ends).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
