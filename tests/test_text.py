@@ -108,6 +108,23 @@ def test_merged_regions_are_apart(pairs):
     assert {i for a, n in pairs for i in range(a, a + n)} == {i for r in out for i in range(r.start, r.end)}
 
 
+# The patterns that the scans stand for.
+STATEMENTS = (
+    ("import", r"(?ms)^\s*import.*;$"),
+    ("package", r"(?ms)^package.*;$"),
+    ("singlecomment", r"(?s)\s*//.*?[\n\r]"),
+    ("multicomment", r"(?s)\s*/\*.*?\*/"),
+    ("class", r"(?ms)^.*?class.*?\{"),
+    ("assignment", r"(?ms)^.*=.*;$"),
+    ("ifstatement", r"(?ms)^.*?if\s*\(.*?\)\s*\{"),
+    ("elsestatement", r"(?ms)^.*?else\s*\{"),
+    ("functiondef", r"(?ms)^.*?(?:[a-zA-Z_][a-zA-Z0-9_])+\s*\(.*?\)\s*\{"),
+    ("functionall", r"(?ms)^.*\(.*?\).*?;$"),
+)
+EXCEPTION = r"(?:[\w<>$]+\.)+[\w<>$]+(?:.\s*Error|.\s*Exception)[\s:]"
+REASON = r":?.*?at\s+(?:[\w<>$]+\.)+[\w<>$]+\s*\(.+?\.java:?\d*\)"
+TRACE_LINE = r"\s*?at\s+(?:[\w<>$\s]+\.)+[\w<>$\s]+\s*(?:.+?\.java:?\d*\))*"
+CAUSE = r"Caused by:.*?(?:Exception|Error).*?(?:\s+at.*?\(.*?:\d+\))+"
 _PIECES = ["import", "package", "//", "/*", "*/", "class", "=", ";", ";\n", "if", "else", "(", ")", "{", "}", "\n", "\r", " ", "  ", "\n\n", "x", "ab", "a1", "1", ".", "..", "java.", "io.", "EOFException", "Exception", "Error", ":", "at", " at ", "\tat", "a.b(", "A.java", ".java:96)", ".java)", "(A.java:7)", ":7)", "Caused by:", "{noformat}", "{code", "{code}", "{color", "{color:red}", "$", "é", "\xa0"]
 
 
@@ -115,12 +132,13 @@ _PIECES = ["import", "package", "//", "/*", "*/", "class", "=", ";", ";\n", "if"
 @given(st.lists(st.sampled_from(_PIECES), max_size=40).map("".join))
 def test_scans_find_what_the_patterns_find(s):
     spans = lambda p: [m.span() for m in regex.finditer(p, s)]
-    for name, pattern in R.STATEMENTS:
+    assert [n for n, _ in STATEMENTS] == list(R.STATEMENTS)
+    for name, pattern in STATEMENTS:
         assert list(R.statements(name, s)) == spans(pattern), name
-    assert list(R.matched(R._exception, s)) == spans("(?ms)" + R.EXCEPTION)
-    assert list(R.traces_of(s)) == spans(f"(?ms){R.EXCEPTION}(?:{R.REASON})?(?:{R.TRACE_LINE})*")
-    assert list(R.causes_of(s)) == spans("(?ms)" + R.CAUSE)
-    for args, pattern in ((("{noformat}",), R.NOFORMAT_PAIR), (("{code", "}"), R.CODE_PAIR), (("{color", "}"), R.COLOUR_PAIR)):
+    assert list(R.matched(R._exception, s)) == spans("(?ms)" + EXCEPTION)
+    assert list(R.traces_of(s)) == spans(f"(?ms){EXCEPTION}(?:{REASON})?(?:{TRACE_LINE})*")
+    assert list(R.causes_of(s)) == spans("(?ms)" + CAUSE)
+    for args, pattern in ((("{noformat}",), X.NOFORMAT_PAIR), (("{code", "}"), X.CODE_PAIR), (("{color", "}"), X.COLOUR_PAIR)):
         assert list(R.pairs_of(s, *args)) == spans(pattern)
 
 

@@ -9,6 +9,5 @@ ISSUE = T.StructType(
 )
 ISSUE_COMPONENT = T.StructType([T.StructField("issue_key", T.StringType()), T.StructField("component", T.StringType())])
 ISSUE_VERSION = T.StructType([T.StructField("issue_key", T.StringType()), T.StructField("version", T.StringType())])
-MESSAGE = T.StructType([T.StructField("id", T.IntegerType(), False), T.StructField("speaker", T.StringType(), False), T.StructField("time", T.TimestampNTZType(), False), T.StructField("text", T.StringType(), False), T.StructField("reply", T.StringType(), False)])
-REGION = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("content", T.StringType())])
 EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()), T.StructField("sim", T.DoubleType())])
+TABLES = {"issues": ISSUE, "issue_component": ISSUE_COMPONENT, "issue_version": ISSUE_VERSION}

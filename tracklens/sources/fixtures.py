@@ -9,6 +9,9 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklens.schema import TABLES
+from tracklens.sources.issues import conformed
+
 VIEWS = {
     "issues": """SELECT doc_id AS issue_id,
   (CASE WHEN doc_id % 4 = 3 THEN 'ALPHA2' ELSE 'ALPHA' END) || '-' || CAST(doc_id AS STRING) AS issue_key,
@@ -56,6 +59,8 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     out = {}
     for name, sql in VIEWS.items():
         out[name] = spark.sql(sql.replace("FROM documents", f"FROM documents_{mark}").replace("FROM issues", f"FROM issues_{mark}"))
+        if name in TABLES:
+            out[name] = conformed(out[name], TABLES[name])
         out[name].createOrReplaceTempView(f"{name}_{mark}")
     return out
 
