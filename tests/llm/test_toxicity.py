@@ -74,6 +74,16 @@ def test_lexicon_learns_a_stem(spark):
     assert T.total_weight(a, T.phrase("you idiot")) > 2 > T.total_weight(a, T.phrase("a trash can")) == 0
 
 
+def test_level_of_evidence_is_chosen_without_the_held_out_third(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels]
+    level, other = (T.chosen(T.once(T.labelled(docs, spark.createDataFrame(y, "doc_id long, toxic int"), T.SAMPLE))) for y in (labels, flipped))
+    assert level == other and level in T.LEVELS
+    clean = spark.createDataFrame([(i, 0) for i, _ in labels], "doc_id long, toxic int")
+    assert T.chosen(T.once(T.labelled(docs, clean, T.SAMPLE))) == T.CHANCE
+
+
 def test_awkward(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, None), (None, 1), (999, 1), (2, 0), (2, 1)], "doc_id long, toxic int")

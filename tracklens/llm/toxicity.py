@@ -8,7 +8,9 @@ list of common insults enters with the frequencies of ``SEED_TOXIC`` imaginary d
 it is and for each hundred words, goes through a logistic curve fitted on the same rows.
 
 Labels are learned from at most ``SAMPLE`` rows (the smallest hashes of doc_id) whose crc32 of doc_id is not 1 modulo
-3; near copies among them with the same label count once. Everything else covers all rows: each text is folded and scanned whole where it lies, without any shuffle.
+3; near copies among them with the same label count once. How much evidence an entry needs is chosen there too: lexicons of
+all levels learned from the rows with remainder 2 are tried on those with remainder 0, which the third with remainder 1
+has no part in. Everything else covers all rows: each text is folded and scanned whole where it lies, without any shuffle.
 
 Defined cases: a null or empty text scores as one without a match; labels that are null or of unknown documents teach
 nothing, repeated labels of a document count as toxic if one is; with no usable label only the insults count; an empty
@@ -32,9 +34,10 @@ from .base import batches, dropped, id_and_text, mixed, stored, table, window_ha
 #: Bound on the labelled rows that the lexicon is learned from.
 SAMPLE = 8000
 SEED_TOXIC = 4.0
-#: An entry needs this log ratio, and this many nats of evidence against the base rate: of a million entries that say
-#: nothing, one passes by chance in a hundred samples.
-LEAST_WEIGHT, LEAST_EVIDENCE = 2.0, math.log(1e6 * 100)
+#: An entry needs this log ratio, and so many nats of evidence against the base rate: of a million entries that say nothing
+#: one passes ``CHANCE`` by chance in a hundred samples. Which of ``LEVELS`` holds is chosen on teachable rows (``chosen``).
+LEAST_WEIGHT, CHANCE = 2.0, math.log(1e6 * 100)
+LEVELS = (12.0, 15.0, CHANCE, 22.0, 26.0, 30.0)
 SHORTEST, LONGEST = 3, 8
 THRESHOLD = 0.7
 #: Hashes that near copies have in common.
@@ -119,10 +122,8 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
-def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
-    """Lexicon from doc_id, text, toxic: entry to weight, 0 for an exception."""
-    sizes = rows.groupBy().agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
-    n_toxic, n_other = sizes[0], sizes[1]
+def entry_counts(rows: DataFrame) -> DataFrame:
+    """entry, toxic, other: in how many documents of each label an entry occurs."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded, seen = _Folded(), {}
@@ -133,9 +134,16 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
         if seen:
             yield pa.record_batch([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["entry", "toxic", "other"])
 
-    counted = rows.select("text", "toxic").mapInArrow(count, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.select("text", "toxic").mapInArrow(count, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+
+
+def learn(rows: DataFrame, least: float = CHANCE, counted: DataFrame | None = None) -> tuple[dict[str, float], tuple[int, int]]:
+    """Lexicon from doc_id, text, toxic: entry to weight, 0 for an exception. ``counted``: what ``entry_counts`` gives of the rows."""
+    sizes = rows.groupBy().agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    n_toxic, n_other = sizes[0], sizes[1]
+    counted = entry_counts(rows) if counted is None else counted
     base = max(n_toxic, 1) / max(n_toxic + n_other, 2)
-    enough = math.ceil(LEAST_EVIDENCE / math.log(1 / min(0.9, base)))
+    enough = math.ceil(least / math.log(1 / min(0.9, base)))
     seeds = [phrase(w)[:-1] for w in INSULTS]
     found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin([*seeds, *(s + END for s in seeds)])).collect()  # bounded by the sample
     count_of = {r.entry: (r.toxic, r.other) for r in found}
@@ -159,7 +167,7 @@ def learn(rows: DataFrame) -> tuple[dict[str, float], tuple[int, int]]:
             w = weight(t + SEED_TOXIC, o, n_toxic + 2 * SEED_TOXIC, n_other + 2 * SEED_TOXIC)
         else:
             w = weight(t, o, n_toxic, n_other)
-        if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= LEAST_EVIDENCE):
+        if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= least):
             lexicon[e] = w
             taken.update(e[:n] for n in range(SHORTEST + 1, len(e) + 1))
     for e in [e for e in lexicon if e[-1] != END and e not in seeds]:
@@ -235,19 +243,52 @@ def scored(docs: DataFrame, lexicon: dict[str, float], curve: list[float]) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
-    rows = stored(once(labelled(docs, labels, sample)), "toxic-sample")
-    lexicon, _ = learn(rows)
+def measured(rows: DataFrame, lexicons: list[dict[str, float]]) -> list[list[tuple[int, int, float, float]]]:
+    """For each lexicon doc_id, toxic and the two features of every row, in order. ``rows``: at most a sample."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, folded = automaton(lexicon), _Folded()
-        for texts, toxic in batches(parts, "text", "toxic"):
-            x = [features(total_weight(a, j), n)[1:] for j, n in map(folded.text, texts)]
-            yield pa.record_batch([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), pa.array(toxic, pa.int32())], names=["a", "b", "y"])
+        found, folded = [automaton(x) for x in lexicons], _Folded()
+        for ids, texts, toxic in batches(parts, "doc_id", "text", "toxic"):
+            joined = [folded.text(t) for t in texts]
+            for k, a in enumerate(found):
+                x = [features(total_weight(a, j), n)[1:] for j, n in joined]
+                yield pa.record_batch([pa.array([k] * len(x), pa.int32()), pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64())], names=["k", "doc_id", "y", "a", "b"])
+
+    out: list[list] = [[] for _ in lexicons]
+    for r in rows.select("doc_id", "text", "toxic").mapInArrow(run, "k int, doc_id long, y int, a double, b double").collect():  # a few numbers a row of the sample
+        out[r.k].append((r.doc_id, r.y, r.a, r.b))
+    return [sorted(x) for x in out]
 
-    got = sorted((r.a, r.b, r.y) for r in rows.select("text", "toxic").mapInArrow(run, "a double, b double, y int").collect())  # at most ``sample`` rows
-    x = np.array([[1.0, a, b] for a, b, _ in got]).reshape(-1, 3)
-    curve = fit(x, np.array([float(y == 1) for _, _, y in got]))
+
+def curve_of(rows: list[tuple[int, int, float, float]]) -> np.ndarray:
+    return fit(np.array([[1.0, a, b] for *_, a, b in rows]).reshape(-1, 3), np.array([float(y == 1) for _, y, *_ in rows]))
+
+
+def chosen(rows: DataFrame) -> float:
+    """The level of evidence whose lexicon, learned from a part of the sample, finds the toxic rows of the other part best.
+
+    Best is the largest F1 at ``THRESHOLD``, of equal ones the highest level; without toxic rows in both parts it is ``CHANCE``.
+    """
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    teach, check = rows.where(part == 2), rows.where(part == 0)
+    if any(x.where("toxic = 1").isEmpty() for x in (teach, check)):
+        return CHANCE
+    counted = stored(entry_counts(teach), "toxic-entries")
+    lexicons = [learn(teach, level, counted)[0] for level in LEVELS]
+    dropped(counted)
+    best = []
+    for level, known, unseen in zip(LEVELS, measured(teach, lexicons), measured(check, lexicons), strict=True):
+        curve = curve_of(known)
+        said = [(1 / (1 + math.exp(-max(-30.0, min(30.0, float(curve @ (1.0, a, b)))))) >= THRESHOLD, y == 1) for _, y, a, b in unseen]
+        both, either = sum(p and y for p, y in said), sum(p + y for p, y in said)
+        best.append((2 * both / either, level))
+    return max(best)[1]
+
+
+def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
+    rows = stored(once(labelled(docs, labels, sample)), "toxic-sample")
+    lexicon, _ = learn(rows, chosen(rows))
+    curve = curve_of(measured(rows, [lexicon])[0])
     dropped(rows)
     return lexicon, curve.tolist()
 
