@@ -13,6 +13,7 @@ from tracklens.functions import regions as R
 from tracklens.functions import text as X
 from tracklens.functions.dates import created, month
 from tracklens.operators import clusters as C
+from tracklens.operators import encoders as E
 from tracklens.operators import sentences as N
 from tracklens.operators import similarity as S
 from tracklens.operators import tagger as G
@@ -532,6 +533,17 @@ def word_vectors(v, spark, sf):
     return found.select("word", "known", F.round(length, 4).alias("length"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
 
 
+_DIGITS = ", ".join(f"avg(instr('0123456789abcdef', substr(h, {i + 1}, 1)) - 8.5)" for i in range(V.DIM))
+
+
+@query(with_views(f"SELECT id, round(list_sum(v), 6) + 0.0 AS total, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS length FROM (SELECT id, [{_DIGITS}] AS v FROM (SELECT id, md5(unnest(tokens)) AS h FROM texts) GROUP BY 1)", _TOKENS, _KEPT, _TEXTS, once=True))
+def encoded_texts(v, spark, sf):
+    """Texts through the slot for sentence encoders; as the sum and the length of their vectors."""
+    found = _kept(v).select(F.col("issue_id").alias("id"), E.encoded(F.col("t"), E.digest_encoder).alias("v")).where("v IS NOT NULL")
+    length, total = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return found.select("id", (F.round(total, 6) + F.lit(0.0)).alias("total"), F.round(length, 6).alias("length"))
+
+
 _RAW = ("texts", f"""SELECT issue_id AS id, list_filter(list_transform(regexp_extract_all(coalesce(cleaned, ''), '{_TOKEN}'), lambda x: lower(x)), lambda x: NOT x IN {_STOP} AND NOT regexp_matches(x, '{X.NUMBER}')) AS tokens FROM issues LEFT JOIN cleaned USING (issue_id)""")
 _FROM_TEXT = (
     *_cleaned("summary"), _RAW, _WORDS, *_VECTORS, ("text_means", M.mean_vectors("texts", V.DIM)),
