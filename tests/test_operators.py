@@ -83,6 +83,20 @@ def test_edges_with_pivots_against_all_pairs(spark, block, cell, above):
     assert len(got) == len(a) and {(r.src, r.dst) for r in got} == set(zip(a.tolist(), b.tolist(), strict=True))
 
 
+@pytest.mark.parametrize(("block", "cell", "above"), [(4096, 512, 0.8), (40, 60, 0.8), (40, 60, 0.2), (25, 30, 0.97), (4096, 4096, -0.3)])
+def test_links_have_the_components_of_all_edges(spark, block, cell, above):
+    rows, df = clustered_vectors(spark, spread=0.3)
+    r = random.Random(8)
+    chain = [[*rows[0]]]  # a long path of small steps
+    for _ in range(80):
+        chain.append([x + r.gauss(0, 0.05) + (0.12 if i % 2 else -0.12) for i, x in enumerate(chain[-1])])
+    rows = rows + chain
+    df = spark.createDataFrame([(7 * i % 10_007, v) for i, v in enumerate(rows)], "id long, v array<double>").repartition(5)
+    every, few = S.edges(df, "id", "v", 24, above, block, cell), S.links(df, "id", "v", 24, above, block, cell)
+    want = forest([(e.src, e.dst) for e in every.collect()])
+    assert {x.id: x.component for x in star_forest(few).collect()} == want and few.where("src >= dst").count() == 0
+
+
 def test_blocks_stay_small_and_products_are_spared(spark):
     rows, df = clustered_vectors(spark)
     inside, _, pivots = S.placed(S.usable(df, "id", "v", 24), 24, 40, 60)

@@ -145,6 +145,38 @@ def edges(vectors: DataFrame, key: str, column: str, dim: int, above: float, blo
     return met(inside, blocks, pivots, dim, above).groupBy("a", "b").applyInArrow(multiply, "src long, dst long, sim double")
 
 
+def links(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = BLOCK) -> DataFrame:
+    """src < dst: edges with the same connected components as those of ``edges``, but few of them.
+
+    A pair of blocks has at most one edge for each vector, to the smallest one that it reaches inside the pair, however
+    many cosines are above the threshold. Keys are of one vector each.
+    """
+    rows = usable(vectors, key, column, dim)
+    inside, blocks, pivots = placed(rows, dim, block, cell)
+
+    def reduce(_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, side, m = table.column("id").to_numpy(), table.column("side").to_numpy(), _matrix(table, dim)
+        order = np.argsort(ids, kind="stable")
+        ids, side, m = ids[order], side[order], m[order]
+        left, right, n = np.flatnonzero(side != 1), np.flatnonzero(side != 0), len(ids)
+        near = [m[left[i : i + 512]] @ m[right].T > above for i in range(0, len(left), 512)]  # a byte a pair of the two blocks
+        label = np.arange(n)
+        while True:
+            after = label.copy()
+            for i, mask in enumerate(near):
+                part = left[512 * i : 512 * i + 512]
+                after[part] = np.minimum(after[part], np.where(mask, label[right], n).min(axis=1, initial=n))
+                after[right] = np.minimum(after[right], np.where(mask, label[part][:, None], n).min(axis=0, initial=n))
+            after = after[after]  # what a vector reaches, reaches further
+            if (after == label).all():
+                break
+            label = after
+        moved = np.flatnonzero(ids[label] != ids)
+        return pa.table({"src": pa.array(ids[label[moved]], pa.int64()), "dst": pa.array(ids[moved], pa.int64())})
+
+    return met(inside, blocks, pivots, dim, above).groupBy("a", "b").applyInArrow(reduce, "src long, dst long")
+
+
 def products(vectors: DataFrame, key: str, column: str, dim: int, above: float, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """One row: vectors, and the pairs of them (each counted from both sides, with itself) that ``edges`` multiplies."""
     rows = usable(vectors, key, column, dim)
