@@ -137,16 +137,23 @@ def entry_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def learn(rows: DataFrame, least: float = CHANCE, counted: DataFrame | None = None) -> tuple[dict[str, float], tuple[int, int]]:
-    """Lexicon from doc_id, text, toxic: entry to weight, 0 for an exception. ``counted``: what ``entry_counts`` gives of the rows."""
+def learn(rows: DataFrame, least: float = CHANCE) -> tuple[dict[str, float], tuple[int, int]]:
+    """Lexicon from doc_id, text, toxic: entry to weight, 0 for an exception."""
+    lexicons, sizes = learned(rows, [least])
+    return lexicons[0], sizes
+
+
+def learned(rows: DataFrame, levels: list[float]) -> tuple[list[dict[str, float]], tuple[int, int]]:
+    """The lexicon of each level of evidence, and the numbers of toxic and of other rows. Entries come to the driver once."""
     sizes = rows.groupBy().agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
     n_toxic, n_other = sizes[0], sizes[1]
-    counted = entry_counts(rows) if counted is None else counted
+    counted = stored(entry_counts(rows), "toxic-entries")
     base = max(n_toxic, 1) / max(n_toxic + n_other, 2)
-    enough = math.ceil(least / math.log(1 / min(0.9, base)))
+    enough = math.ceil(min(levels) / math.log(1 / min(0.9, base)))
     seeds = [phrase(w)[:-1] for w in INSULTS]
-    found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin([*seeds, *(s + END for s in seeds)])).collect()  # bounded by the sample
-    count_of = {r.entry: (r.toxic, r.other) for r in found}
+    found = counted.where((F.col("toxic") >= min(enough, 10)) | F.col("entry").isin([*seeds, *(s + END for s in seeds)])).toArrow()  # bounded by the sample
+    count_of = dict(zip(found.column(0).to_pylist(), zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True), strict=True))
+
     def counts(e: str) -> tuple[int, int]:
         """A learned start fits longer words; a listed insult fits its own word too."""
         a, b = count_of.get(e, (0, 0)), count_of.get(e + END, (0, 0)) if e in seeds else (0, 0)
@@ -157,30 +164,37 @@ def learn(rows: DataFrame, least: float = CHANCE, counted: DataFrame | None = No
         return evidence(t + SEED_TOXIC * (e in seeds), t + o + SEED_TOXIC * (e in seeds), base)
 
     # The strongest evidence first, of equals the longest: it says most exactly what was learned.
-    lexicon: dict[str, float] = {}
-    taken: set[str] = set()
-    for e in sorted({*count_of, *seeds}, key=lambda e: (-round(strength(e), 6), -len(e), e)):
-        if e in taken or any(e[:n] in lexicon for n in range(SHORTEST + 1, len(e))):
-            continue  # an entry that begins alike stands for it
-        t, o = counts(e)
-        if e in seeds:
-            w = weight(t + SEED_TOXIC, o, n_toxic + 2 * SEED_TOXIC, n_other + 2 * SEED_TOXIC)
-        else:
-            w = weight(t, o, n_toxic, n_other)
-        if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= least):
-            lexicon[e] = w
-            taken.update(e[:n] for n in range(SHORTEST + 1, len(e) + 1))
-    for e in [e for e in lexicon if e[-1] != END and e not in seeds]:
-        if weight(*count_of.get(e + END, (0, 0)), n_toxic, n_other) < LEAST_WEIGHT:
-            lexicon.setdefault(e + END, 0.0)  # the start as a word of its own was not learned
-    # A longer word or start that other documents use without being toxic silences the entry.
-    starts = [e for e in lexicon if count_of.get(e, (0, 0))[1] >= 3]
-    if starts:
-        harmless = counted.where((F.col("other") >= 3) & F.col("entry").endswith(END)).where(F.substring("entry", 1, SHORTEST + 1).isin(sorted({s[: SHORTEST + 1] for s in starts})))
-        for r in harmless.collect():
-            if any(r.entry.startswith(s) for s in starts) and weight(r.toxic, r.other, n_toxic, n_other) <= 0:
-                lexicon[r.entry] = 0.0
-    return lexicon | {phrase(p): 0.0 for p in EXCEPTIONS}, (n_toxic, n_other)
+    ranked = sorted({*count_of, *seeds}, key=lambda e: (-round(strength(e), 6), -len(e), e))
+
+    def lexicon_at(least: float) -> dict[str, float]:
+        lexicon: dict[str, float] = {}
+        taken: set[str] = set()
+        for e in ranked:
+            if e in taken or any(e[:n] in lexicon for n in range(SHORTEST + 1, len(e))):
+                continue  # an entry that begins alike stands for it
+            t, o = counts(e)
+            if e in seeds:
+                w = weight(t + SEED_TOXIC, o, n_toxic + 2 * SEED_TOXIC, n_other + 2 * SEED_TOXIC)
+            else:
+                w = weight(t, o, n_toxic, n_other)
+            if w >= LEAST_WEIGHT and (e in seeds or strength(e) >= least):
+                lexicon[e] = w
+                taken.update(e[:n] for n in range(SHORTEST + 1, len(e) + 1))
+        for e in [e for e in lexicon if e[-1] != END and e not in seeds]:
+            if weight(*count_of.get(e + END, (0, 0)), n_toxic, n_other) < LEAST_WEIGHT:
+                lexicon.setdefault(e + END, 0.0)  # the start as a word of its own was not learned
+        # A longer word or start that other documents use without being toxic silences the entry.
+        starts = [e for e in lexicon if count_of.get(e, (0, 0))[1] >= 3]
+        if starts:
+            harmless = counted.where((F.col("other") >= 3) & F.col("entry").endswith(END)).where(F.substring("entry", 1, SHORTEST + 1).isin(sorted({s[: SHORTEST + 1] for s in starts})))
+            for r in harmless.collect():
+                if any(r.entry.startswith(s) for s in starts) and weight(r.toxic, r.other, n_toxic, n_other) <= 0:
+                    lexicon[r.entry] = 0.0
+        return lexicon | {phrase(p): 0.0 for p in EXCEPTIONS}
+
+    lexicons = [lexicon_at(x) for x in levels]
+    dropped(counted)
+    return lexicons, (n_toxic, n_other)
 
 
 def weight(toxic: float, other: float, n_toxic: float, n_other: float) -> float:
@@ -273,9 +287,7 @@ def chosen(rows: DataFrame) -> float:
     teach, check = rows.where(part == 2), rows.where(part == 0)
     if any(x.where("toxic = 1").isEmpty() for x in (teach, check)):
         return CHANCE
-    counted = stored(entry_counts(teach), "toxic-entries")
-    lexicons = [learn(teach, level, counted)[0] for level in LEVELS]
-    dropped(counted)
+    lexicons, _ = learned(teach, list(LEVELS))
     best = []
     for level, known, unseen in zip(LEVELS, measured(teach, lexicons), measured(check, lexicons), strict=True):
         curve = curve_of(known)
