@@ -97,6 +97,20 @@ def test_links_have_the_components_of_all_edges(spark, block, cell, above):
     assert {x.id: x.component for x in star_forest(few).collect()} == want and few.where("src >= dst").count() == 0
 
 
+def test_vectors_are_not_shuffled_for_each_block(spark):
+    """Pairs of packs meet in a join without an exchange, also where the best edge of two keys is asked for."""
+    _, df = clustered_vectors(spark)
+    for best in (False, True):
+        assert "Exchange hashpartitioning" not in S.edges(df, "id", "v", 24, 0.8, 40, 60, best)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("centres", "above"), [(8, 0.8), (60, 0.6)])
+def test_links_beyond_the_centres(spark, centres, above):
+    rows, df = clustered_vectors(spark, spread=0.3)
+    want = forest([(e.src, e.dst) for e in S.edges(df, "id", "v", 24, above, 100).collect()])
+    assert {x.id: x.component for x in star_forest(S.links(df, "id", "v", 24, above, 100, 100, centres)).collect()} == want
+
+
 def test_blocks_stay_small_and_products_are_spared(spark):
     rows, df = clustered_vectors(spark)
     inside, _, pivots = S.placed(S.usable(df, "id", "v", 24), 24, 40, 60)
