@@ -104,6 +104,12 @@ def test_vectors_are_not_shuffled_for_each_block(spark):
         assert "Exchange hashpartitioning" not in S.edges(df, "id", "v", 24, 0.8, 40, 60, best)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_links_do_not_shuffle_vectors_for_each_block(spark):
+    """The links that all queries on components stand on."""
+    _, df = clustered_vectors(spark)
+    assert "Exchange hashpartitioning" not in S.links(df, "id", "v", 24, 0.8, 40, 60)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("centres", "above"), [(8, 0.8), (60, 0.6)])
 def test_links_beyond_the_centres(spark, centres, above):
     rows, df = clustered_vectors(spark, spread=0.3)
