@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 
 from tests.test_tagger import corpus
 from tracklens import catalogue
@@ -43,3 +44,16 @@ def test_sql_of_the_model(spark):
     got = {(i, p - 1): (w, G.STATES[s - 1]) for i, p, w, s in run(" SELECT * FROM hmm_tags")}
     assert got == {(r.id, r.pos): (r.word, r.tag) for r in G.tagged(lists, model).collect()}
     assert len(got) == sum(len(ws) for _, ws in texts)
+
+
+def test_a_chunk_is_a_row_group(spark, monkeypatch):
+    """Writer and reader hold a row group in memory, and a chunk is a row of many megabytes."""
+    monkeypatch.setattr(G, "CHUNK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        laid = G.laid(spark.createDataFrame(corpus(4, 60), "id long, tokens array<string>").coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pq.ParquetFile(f.removeprefix("file://")) for f in laid.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) > 8
+    assert all(f.metadata.row_group(i).num_rows == 1 for f in files for i in range(f.num_row_groups))
